@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_sharding import op1_minimax_shards
+from .op3_language import op3_language_id
+from .op4_quality import op4_adaptive_quality
 from .op6_secrets import op6_secret_scan
 from .op8_token_files import op8_token_files
 from .op9_counts import op9_token_counts
@@ -13,7 +16,7 @@ from .op10_packing import op10_best_fit_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op6_secret_scan, op8_token_files, op9_token_counts, op10_best_fit_packing)
+    own = (op1_minimax_shards, op3_language_id, op4_adaptive_quality, op6_secret_scan, op8_token_files, op9_token_counts, op10_best_fit_packing)
     return {f.__name__: f for f in own}
 
 
