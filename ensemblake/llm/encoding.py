@@ -3,18 +3,42 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
+
+import numpy as np
+
+
+def chunks_of(text: str) -> list[str]:
+    """Those between spaces, tabs and line ends; some may be empty.
+
+    The tokenizer's pattern never joins characters across white space, its normaliser works
+    within it, and no added token holds any: ids of a text are those of its chunks in order.
+    Other Unicode spaces stay inside a chunk, where the library itself splits at them.
+    """
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
 
-#: The tokenizer's pattern never joins characters across white space, its normaliser works
-#: within it, and no added token holds any: ids of a text are those of these chunks in order.
-#: Other Unicode spaces stay inside a chunk, where the library itself splits at them.
-CHUNK = re.compile(r"[^ \t\r\n]+")
 #: Characters of text held as separate chunks at a time.
 SLICE_CHARS = 1_500_000
 
 
+STOPS = (".", ",")
+
+
+def stem_of(chunk: str) -> str:
+    """A chunk with the same ids: ASCII letters in lower case, without one stop after a letter (its ids come after)."""
+    if chunk.isascii() and "<|" not in chunk:  # which may begin an added token, whose case counts
+        chunk = chunk.lower()
+    return chunk[:-1] if chunk[-1:] in STOPS and one_piece(chunk[-2:-1]) else chunk
+
+
+def one_piece(word: str) -> bool:
+    """Letters only, and still so once normalised: one match of the tokenizer's pattern."""
+    return word.isalpha() and (word.isascii() or word.lower().isalpha() and is_normalized("NFC", word) and is_normalized("NFC", word.lower()))
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, with an end id appended.
 
@@ -22,24 +46,56 @@ class WordEncoder:
     so memory is bounded however many distinct words a corpus has.
     """
 
-    def __init__(self, path: str, end_id: int = 1, limit_bytes: int = 24_000_000):
+    def __init__(self, path: str, end_id: int = 1, limit_bytes: int = 32_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.limit = Tokenizer.from_file(path), array("I", [end_id]).tobytes(), limit_bytes
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.size = 0
 
     def _learn(self, chunks: list[list[str]]) -> None:
         if self.size > self.limit:
             self.known, self.size = {}, 0
-        fresh = list(set().union(*chunks) - self.known.keys())
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids = array("I", found.ids).tobytes()
-                self.known[chunk] = ids
-                self.size += len(ids) + 4 * len(chunk)
+        known = self.known
+        fresh = [x for x in set().union(*chunks) if x not in known]
+        # Case is folded by the tokenizer and a final stop is a piece of its own, so most new chunks share a stem.
+        stems = [stem_of(chunk) for chunk in fresh]
+        simple, other = [], []
+        for x in {*stems, *STOPS}:
+            if x not in known:
+                (simple if one_piece(x) else other).append(x)
+        self._encode(other)
+        self._encode_joined(simple)
+        for chunk, stem in zip(fresh, stems, strict=True):
+            if chunk != stem:
+                known[chunk] = known[stem] + known[chunk[-1]] if len(chunk) > len(stem) else known[stem]
+                self.size += len(known[chunk]) + 4 * len(chunk)
+
+    def _keep(self, words: Iterable[str], ids: Iterable[bytes]) -> None:
+        for word, own in zip(words, ids, strict=True):
+            self.known[word] = own
+            self.size += len(own) + 4 * len(word)
+
+    def _encode(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            self._keep(part, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+
+    def _encode_joined(self, words: list[str]) -> None:
+        """Words that are one pre-token each, many in one call; the id that ends each word tells them apart."""
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) == len(part) and ends[-1] == ids.nbytes:
+                raw = ids.tobytes()
+                self._keep(part, (raw[a:z] for a, z in zip([0, *ends], ends, strict=False)))
+            else:
+                self._encode(part)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """In the order of the texts; null is encoded as an empty text."""
@@ -47,7 +103,7 @@ class WordEncoder:
         while at < len(texts):
             chunks, chars = [], 0
             while at < len(texts) and chars < SLICE_CHARS:
-                chunks.append(CHUNK.findall(texts[at] or ""))
+                chunks.append(chunks_of(texts[at] or ""))
                 chars += len(texts[at] or "")
                 at += 1
             self._learn(chunks)

@@ -17,7 +17,7 @@ from ensemblake.llm.op9_counts import SPACE, PieceCounter, count_tokens, pieces_
 from ensemblake.llm.op10_packing import pack, places, plan
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
-TEXTS = ["", None, "It's we'll THE end", "a\x1cb \x0b c\x85d e f", "é ́x  y", "<|endoftext|> x<|startoftext|>y", "日本語 テスト ΑΣ Σ", "\n\n\t ", "x" * 3000, "12 3456 !!?? 'S", "É" * 50 + " ß"]
+TEXTS = ["", None, "It's we'll THE end", "a\x1cb \x0b c\x85d e f", "é ́x  y", "<|endoftext|> x<|startoftext|>y", "日本語 テスト ΑΣ Σ", "\n\n\t ", "x" * 3000, "12 3456 !!?? 'S", "É" * 50 + " ß", "İ. x̌, ñ. क़. a<|Endoftext|>. It's, A., .. , ,a ﬁ. ǅ, K."]
 
 
 def rows(spark, texts, extra=False):
