@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, workers_can_import, written
+from .common import sized, table, workers_can_import, written
 from .graph import connected_components
 
 WORD = re.compile(r"\w+")
@@ -165,9 +165,9 @@ def signed(docs: DataFrame, counted: bool = False) -> DataFrame:
 
 
 def checked(pairs: DataFrame, docs: DataFrame, counted: bool, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose texts have at least the threshold's exact similarity. Texts of documents in no pair aren't moved twice."""
+    """Pairs (a, b) whose texts have at least the threshold's exact similarity. Only texts of documents in a pair are moved."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi"), "pair-texts")
+    texts = written(docs.join(sized(written(ids, "pair-ids")), "doc_id", "left_semi"), "pair-texts")
     left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
     kind = pairs.dtypes[0][1]
 
