@@ -10,6 +10,7 @@ from .op1_sharding import op1_minimax_shards
 from .op2_urls import ORACLE as OP2_SQL
 from .op2_urls import op2_url_filter
 from .op3_language import op3_language_id
+from .op4_quality import ORACLE as OP4_SQL
 from .op4_quality import op4_adaptive_quality
 from .op5_decontamination import op5_decontamination
 from .op6_secrets import op6_secret_scan
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_adaptive_quality": OP4_SQL}

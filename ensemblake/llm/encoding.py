@@ -17,6 +17,8 @@ def chunks_of(text: str) -> list[str]:
     within it, and no added token holds any: ids of a text are those of its chunks in order.
     Other Unicode spaces stay inside a chunk, where the library itself splits at them.
     """
+    if text.isascii() and "<|" not in text:
+        text = text.lower()  # as the tokenizer does, but for an added token
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
@@ -42,11 +44,11 @@ def one_piece(word: str) -> bool:
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, with an end id appended.
 
-    Keeps the ids of chunks it has met, up to `limit_bytes` of them; beyond that it starts anew,
-    so memory is bounded however many distinct words a corpus has.
+    Keeps the ids of chunks it has met. At half of `limit_bytes` it starts a new generation, to which only chunks that come
+    again pass over, so memory is bounded however many distinct words a corpus has, and frequent words stay.
     """
 
-    def __init__(self, path: str, end_id: int = 1, limit_bytes: int = 32_000_000):
+    def __init__(self, path: str, end_id: int = 1, limit_bytes: int = 80_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,13 +57,18 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
         self.size = 0
 
     def _learn(self, chunks: list[list[str]]) -> None:
-        if self.size > self.limit:
-            self.known, self.size = {}, 0
-        known = self.known
+        if self.size > self.limit // 2:
+            self.former, self.known, self.size = self.known, {}, 0
+        known, former = self.known, self.former
         fresh = [x for x in set().union(*chunks) if x not in known]
+        if former:
+            met = [x for x in fresh if x in former]
+            self._keep(met, map(former.__getitem__, met))
+            fresh = [x for x in fresh if x not in known]
         # Case is folded by the tokenizer and a final stop is a piece of its own, so most new chunks share a stem.
         stems = [stem_of(chunk) for chunk in fresh]
         simple, other = [], []

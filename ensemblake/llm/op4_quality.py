@@ -130,3 +130,51 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+ORACLE = rf"""
+WITH words AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines
+  FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM words)),
+m AS (
+  SELECT words.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         n_lines, n_dup_lines::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM words JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+v AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, signal, value FROM (
+    SELECT *, unnest(['mean_word_chars', 'symbols_per_word', 'dup_lines_per_line', 'repeated_words']) AS signal,
+           unnest([word_chars / n_words, n_symbols / n_words, n_dup_lines / n_lines, n_repeat_words / n_words]) AS value FROM m WHERE n_words > 0)),
+s AS (
+  SELECT lang, source, signal, CASE WHEN value > 0 THEN ceil(ln(value) / {math.log(GAMMA)!r})::INT ELSE -1000000 END AS bucket, count(*) AS n FROM v GROUP BY ALL),
+c AS (
+  SELECT 'own' AS kind, lang, source, signal, bucket, n FROM s UNION ALL
+  SELECT 'lang', lang, NULL, signal, bucket, sum(n) FROM s GROUP BY lang, signal, bucket UNION ALL
+  SELECT 'every', NULL, NULL, signal, bucket, sum(n) FROM s GROUP BY signal, bucket),
+r AS (
+  SELECT *, sum(n) OVER (PARTITION BY kind, lang, source, signal ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY kind, lang, source, signal) AS total,
+         CASE WHEN bucket = -1000000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / ({GAMMA!r} + 1) END AS value FROM c),
+q AS (
+  SELECT kind, lang, source, signal, max(total) AS docs, min(value) FILTER (upto >= 0.25 * total) AS q1, min(value) FILTER (upto >= 0.75 * total) AS q3
+  FROM r GROUP BY kind, lang, source, signal),
+f AS (
+  SELECT *, q1 - {FENCE} * greatest(q3 - q1, least_spread) AS low, q3 + {FENCE} * greatest(q3 - q1, least_spread) AS high FROM (
+    SELECT *, CASE signal {' '.join(f"WHEN '{k}' THEN {x}" for k, (x, _) in SIGNALS.items())} END AS least_spread FROM q)),
+picked AS (
+  SELECT o.lang, o.source, o.signal,
+         CASE WHEN o.docs >= {LEAST_DOCS} THEN o.low WHEN l.docs >= {LEAST_DOCS} THEN l.low ELSE e.low END AS low,
+         CASE WHEN o.docs >= {LEAST_DOCS} THEN o.high WHEN l.docs >= {LEAST_DOCS} THEN l.high ELSE e.high END AS high
+  FROM f o JOIN f l ON l.kind = 'lang' AND l.lang = o.lang AND l.signal = o.signal JOIN f e ON e.kind = 'every' AND e.signal = o.signal WHERE o.kind = 'own'),
+outside AS (
+  SELECT DISTINCT doc_id FROM v JOIN picked USING (lang, source, signal) WHERE value > high OR signal = 'mean_word_chars' AND value < low),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
+FROM judged
+"""
