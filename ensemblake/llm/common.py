@@ -21,24 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def workers_can_import(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package when it isn't installed.
+def prepare(spark: SparkSession) -> None:
+    """For operators that run Python: workers find the package, give freed memory back, and get whole texts in small batches.
 
-    On a cluster the package is shipped with --py-files; a missing folder in the path is harmless.
+    On a cluster the package is shipped with --py-files; a missing folder in the path is harmless. A batch size that the
+    session has set itself stays.
     """
     top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if top not in (had := env.get("PYTHONPATH", "")).split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (top, had) if x)
+    for name, value in {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system", "OPENBLAS_NUM_THREADS": "1"}.items():
+        env.setdefault(name, value)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it back, which cuts its lineage.
 
-    A lost executor then costs only its running tasks. The files go when the session's JVM ends.
+    A lost executor then costs only its running tasks. The files go when the session's JVM ends. Codec snappy is for large binary cells,
+    which aren't gathered in a dictionary.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).option("parquet.enable.dictionary", str(codec != "snappy").lower()).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -48,7 +48,7 @@ class WordEncoder:
     again pass over, so memory is bounded however many distinct words a corpus has, and frequent words stay.
     """
 
-    def __init__(self, path: str, end_id: int = 1, limit_bytes: int = 80_000_000):
+    def __init__(self, path: str, end_id: int = 1, limit_bytes: int = 48_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

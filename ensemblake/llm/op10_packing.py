@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tokenizer_path, workers_can_import, written
+from .common import prepare, table, tokenizer_path, written
 from .encoding import encoder
 
 CAPACITY = 4096
@@ -104,7 +104,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def cut(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token pieces of whole documents: only a document over the capacity has more than one. Null text: empty."""
-    workers_can_import(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, end_id).encode

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, workers_can_import
+from .common import prepare, table
 
 #: The bounded labelled sample: documents a language, characters taken from each, bytes a language in all.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 64, 1024, 32_768
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 64, 512, 16_384
 #: Phrases don't run over the ends of so many symbols, so that long texts are parsed in parallel lanes.
 BLOCK = 2048
 #: Lanes parsed at once.
@@ -160,7 +160,7 @@ def parser(samples: list[tuple[str, bytes]]) -> CrossParser:
 
 def predict_language(docs: DataFrame, samples: list[tuple[str, bytes]], text_col: str = "text") -> DataFrame:
     """docs with lang_pred string and score double, from the text alone; columns of these names are replaced."""
-    workers_can_import(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text_col)
 

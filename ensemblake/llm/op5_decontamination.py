@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, workers_can_import
+from .common import prepare, table
 
 WORD = re.compile(r"\w+")
 #: Words of a seed, and consecutive n-grams of an item of which the rarest is a seed: a passage
@@ -157,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     repeated rows are reported each, repeated items of one id once.
     """
     spark = docs.sparkSession
-    workers_can_import(spark)
+    prepare(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id is not null AND item_text is not null")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))

@@ -12,7 +12,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tokenizer_path, workers_can_import
+from .common import prepare, table, tokenizer_path
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -83,7 +83,7 @@ def scan_secrets(docs: DataFrame, ranks_path: str, ratio: float = 2.0, id_col: s
 
     Null text is an empty one; other columns of docs are ignored; repeated rows are judged each.
     """
-    workers_can_import(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,11 +102,11 @@ def scan_secrets(docs: DataFrame, ranks_path: str, ratio: float = 2.0, id_col: s
 
 def redact_secrets(docs: DataFrame, ranks_path: str, ratio: float = 2.0, mark: str = "<secret>", text_col: str = "text") -> DataFrame:
     """docs with every found span of the text replaced by a mark; all columns and rows stay, null texts too."""
-    workers_can_import(docs.sparkSession)
+    prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def redact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
             out = []
             for cell in batch.column(at):
                 text, done, parts = cell.as_py(), 0, []

@@ -2,13 +2,13 @@
 
 A segment (one row of the written table, one image) holds consecutive documents:
 
-    magic 8 bytes "ELFATOK1"
-    header, little-endian unsigned 64-bit: documents, ids, low bits, bytes of low array, bytes of high array, selects
+    magic 8 bytes "ELFATOK2"
+    header, little-endian unsigned 64-bit: documents, ids, low bits, bytes of low array, bytes of high array, selects, bytes an id
     document ids   documents x int64, then a bit for each that isn't null
     low array      low bits of each boundary, packed, least significant bit first
     high array     unary gaps of the high parts: boundary k sets bit (boundary >> low) + k
     selects        every SELECT-th set bit's place, unsigned 64-bit
-    ids            ids x unsigned 32-bit
+    ids            ids x unsigned 16-bit, or 32-bit where one needs it
 
 The boundaries are the ends of the documents; they take about 2 + log2(ids / documents) bits each.
 """
@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tokenizer_path, workers_can_import, written
+from .common import prepare, table, tokenizer_path, written
 from .encoding import encoder
 
-MAGIC, SELECT = b"ELFATOK1", 64
+MAGIC, SELECT = b"ELFATOK2", 64
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 2_000_000
 
@@ -91,14 +91,15 @@ class Segment:
     def to_bytes(self) -> bytes:
         low, high, selects = self.ends.low.tobytes(), self.ends.high.tobytes(), self.ends.selects.astype("<u8").tobytes()
         keys = np.array([0 if x is None else x for x in self.doc_ids], "<i8").tobytes() + np.packbits([x is not None for x in self.doc_ids], bitorder="little").tobytes()
-        return MAGIC + struct.pack("<6Q", self.ends.n, len(self.ids), self.ends.low_bits, len(low), len(high), len(self.ends.selects)) + keys + low + high + selects + self.ids.astype("<u4").tobytes()
+        width = 2 if self.ids.max(initial=0) < 1 << 16 else 4
+        return b"".join((MAGIC, struct.pack("<7Q", self.ends.n, len(self.ids), self.ends.low_bits, len(low), len(high), len(self.ends.selects), width), keys, low, high, selects, self.ids.astype(f"<u{width}").tobytes()))
 
     @classmethod
     def from_bytes(cls, image: bytes) -> Segment:
         if image[:8] != MAGIC:
             raise ValueError("not a token segment")
-        n, size, bits, n_low, n_high, n_selects = struct.unpack_from("<6Q", image, 8)
-        at = 8 + 48
+        n, size, bits, n_low, n_high, n_selects, width = struct.unpack_from("<7Q", image, 8)
+        at = 8 + 56
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -108,7 +109,7 @@ class Segment:
 
         keys, there = take("<i8", n), np.unpackbits(take("u1", (n + 7) // 8), bitorder="little")[:n]
         ends = EliasFano(n, bits, take("u1", n_low), take("u1", n_high), take("<u8", n_selects))
-        return cls([int(k) if ok else None for k, ok in zip(keys, there, strict=True)], ends, take("<u4", size))
+        return cls([int(k) if ok else None for k, ok in zip(keys, there, strict=True)], ends, take(f"<u{width}", size).astype("<u4"))
 
     def offsets(self, k: int) -> tuple[int, int]:
         return self.ends.select(k - 1) if k else 0, self.ends.select(k)
@@ -123,7 +124,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int =
     Null texts are empty ones. Rows with one id stay in order of their texts; null ids come first. Ids are long integers.
     """
     spark = docs.sparkSession
-    workers_can_import(spark)
+    prepare(spark)
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, keys, encoded, size, encode = TaskContext.get().partitionId(), 0, [], [], 0, encoder(path, end_id).encode
@@ -147,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = own.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return written(ordered.mapInArrow(segments, SEGMENTS), "token-segments")
+    return written(ordered.mapInArrow(segments, SEGMENTS), "token-segments", "snappy")
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def segment_starts(segments: DataFrame) -> DataFrame:
 
 def read_tokens(segments: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    workers_can_import(segments.sparkSession)
+    prepare(segments.sparkSession)
 
     def documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

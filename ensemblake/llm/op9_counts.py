@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tokenizer_path, workers_can_import
+from .common import prepare, table, tokenizer_path
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -95,7 +95,7 @@ _counters: dict[str, PieceCounter] = {}
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: id and n_tokens long, over the whole text. Null and empty texts: 0."""
-    workers_can_import(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _counters.get(model_path) or _counters.setdefault(model_path, PieceCounter(pieces_of(model_path)))
