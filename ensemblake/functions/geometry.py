@@ -74,14 +74,14 @@ def placed(points: Column, frame: Column, origin: Column) -> Column:
     return plus(plus(plus(scaled(frame[0], points[0]), scaled(frame[1], points[1])), scaled(frame[2], points[2])), origin)
 
 
-@F.pandas_udf("double")
-def _rmsd(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([linalg.superpose(np.reshape(a, (-1, 3)), np.reshape(b, (-1, 3)))[1] for a, b in zip(x, y)])
-
-
 def rmsd(x: Column, y: Column) -> Column:
     """Least RMSD of two structures, flat arrays of x, y, z, after superposition."""
-    return _rmsd(x.cast("array<double>"), y.cast("array<double>"))
+
+    @F.pandas_udf("double")
+    def least(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([linalg.superpose(np.reshape(a, (-1, 3)), np.reshape(b, (-1, 3)))[1] for a, b in zip(x, y)])
+
+    return least(x.cast("array<double>"), y.cast("array<double>"))
 
 
 def superposed(df: DataFrame, reference: list[float], xyz: str = "xyz") -> DataFrame:
@@ -127,8 +127,9 @@ def running_mean(points: DataFrame, value: str, n: int, order: str, by: list[str
 def helix_vectors(coords: DataFrame, n_avg: int = 12) -> DataFrame:
     """frame, direction, centre of a helix from its backbone atoms (frame, k, x, y, z) in order: the mean step of the running mean."""
     w = Window.partitionBy("frame").orderBy("k")
-    for c in "xyz":
-        coords = running_mean(coords.select("*"), c, n_avg, "k", ["frame"]) if c == "x" else coords.withColumn(f"{c}_mean", F.avg(c).over(w.rowsBetween(0, n_avg - 1)))
+    own = coords.withColumn("__k", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("frame")))
+    own = own.select("frame", "k", "__k", "__n", *(F.avg(c).over(w.rowsBetween(0, n_avg - 1)).alias(f"{c}_mean") for c in "xyz"))
+    coords = own.where(F.col("__k") < F.col("__n") - n_avg)
     steps = coords.select("frame", *(F.col(f"{c}_mean").alias(c) for c in "xyz"), *((F.lead(f"{c}_mean").over(w) - F.col(f"{c}_mean")).alias(f"d{c}") for c in "xyz"))
     found = steps.groupBy("frame").agg(F.array(*(F.avg(f"d{c}") for c in "xyz")).alias("step"), F.array(*(F.avg(c) for c in "xyz")).alias("centre"))
     return found.select("frame", norm_vec(F.col("step")).alias("direction"), "centre")

@@ -1,4 +1,4 @@
-"""Every registered query of the engine with its SQL twin."""
+"""Every registered query of the engine with its SQL twin, where SQL has one."""
 
 from __future__ import annotations
 
@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import q_info, q_model, q_ragged, q_space
+
+
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    return {k: v for module in (q_ragged, q_model, q_info, q_space) for k, v in module.Q.items()}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _all().items() if sql}
