@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import difference, length
-from .metrics import dot, norm_vec
+from .metrics import dot, let, norm_vec
 
 #: Of the Foerster radius in nm, for J in M^-1 cm^-1 nm^4 (fixed value).
 R0_FACTOR = 0.02108
@@ -29,8 +29,8 @@ def kappa2_r(donor_origin: Column, donor_dipole: Column, acceptor_origin: Column
     """(orientation factor, distance) of two dyes."""
     between = difference(acceptor_origin, donor_origin)
     d, a, r = norm_vec(donor_dipole), norm_vec(acceptor_dipole), norm_vec(between)
-    turned = dot(d, a) - 3 * dot(d, r) * dot(a, r)
-    return turned * turned, length(between)
+    turned = lambda d, a, r: dot(d, a) - 3 * dot(d, r) * dot(a, r)
+    return let(d, lambda d: let(a, lambda a: let(r, lambda r: F.pow(turned(d, a, r), 2)))), length(between)
 
 
 def fret_rate(r: Column, r0: Column | float, td: Column | float) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..exceptions import DataInvalid
 from . import linalg
-from .metrics import cross, dot, norm_vec
+from .metrics import cross, dot, let, norm_vec
 
 
 def difference(a: Column, b: Column) -> Column:
@@ -46,7 +46,7 @@ def rodrigues(v: Column, axis: Column, theta: Column | float, centre: Column | N
     """v turned about a unit axis through a centre."""
     theta = theta if isinstance(theta, Column) else F.lit(float(theta))
     own = v if centre is None else difference(v, centre)
-    turned = plus(plus(scaled(own, F.cos(theta)), scaled(cross(axis, own), F.sin(theta))), scaled(axis, dot(axis, own) * (1 - F.cos(theta))))
+    turned = let(own, lambda w: plus(plus(scaled(w, F.cos(theta)), scaled(cross(axis, w), F.sin(theta))), scaled(axis, dot(axis, w) * (1 - F.cos(theta)))))
     return turned if centre is None else plus(turned, centre)
 
 
@@ -64,9 +64,9 @@ def cb_coords(n: Column, ca: Column, c: Column) -> Column:
 
 def residue_frame(n: Column, ca: Column, c: Column) -> Column:
     """Rows x, y, z of a residue's axes: z from CA to CB, x normal to N-CA and z, y normal to both."""
-    z = norm_vec(difference(cb_coords(n, ca, c), ca))
-    x = norm_vec(cross(norm_vec(difference(n, ca)), z))
-    return F.array(x, norm_vec(cross(z, x)), z)
+    down = norm_vec(difference(cb_coords(n, ca, c), ca))
+    across = lambda z: norm_vec(cross(norm_vec(difference(n, ca)), z))
+    return let(down, lambda z: let(across(z), lambda x: F.array(x, norm_vec(cross(z, x)), z)))
 
 
 def placed(points: Column, frame: Column, origin: Column) -> Column:
@@ -137,8 +137,7 @@ def helix_vectors(coords: DataFrame, n_avg: int = 12) -> DataFrame:
 
 def reference_vector(axis: Column, point: Column, reference: Column) -> Column:
     """Unit vector from a point on an axis to a reference atom, without its part along the axis."""
-    d = difference(reference, point)
-    return norm_vec(difference(d, scaled(axis, dot(d, axis))))
+    return let(difference(reference, point), lambda d: norm_vec(difference(d, scaled(axis, dot(d, axis)))))
 
 
 def find_atom(atoms: DataFrame, res_seq: int, name: str) -> int | None:

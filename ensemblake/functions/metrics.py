@@ -73,10 +73,15 @@ def metric(name: str | Metric) -> Metric:
     return METRICS[name]
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) in which x is computed once, however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def norm_vec(v: Column) -> Column:
     """Unit vector; a zero vector has none (null components)."""
-    length = F.sqrt(_total(F.transform(v.cast("array<double>"), lambda a: a * a)))
-    return F.transform(v.cast("array<double>"), lambda a: F.try_divide(a, length))
+    length = lambda a: F.sqrt(_total(F.transform(a, lambda c: c * c)))
+    return let(v.cast("array<double>"), lambda a: let(length(a), lambda n: F.transform(a, lambda c: F.try_divide(c, n))))
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -84,8 +89,11 @@ def dot(x: Column, y: Column) -> Column:
 
 
 def cross(x: Column, y: Column) -> Column:
-    c = lambda i, j: x[i] * y[j] - x[j] * y[i]
-    return F.array(c(1, 2), c(2, 0), c(0, 1))
+    def made(a: Column, b: Column) -> Column:
+        c = lambda i, j: a[i] * b[j] - a[j] * b[i]
+        return F.array(c(1, 2), c(2, 0), c(0, 1))
+
+    return let(x, lambda a: let(y, lambda b: made(a, b)))
 
 
 def moments(df: DataFrame, value: str, by: list[str] = (), with_mean: bool = True) -> DataFrame:

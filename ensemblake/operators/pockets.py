@@ -45,7 +45,7 @@ def _between(line: list[str], order: str, by: list[str]) -> Column:
     """1 for an empty cell with touching ones before and after it on its line."""
     w = Window.partitionBy(*by, *line)
     at = F.when(F.col("touch") == 1, F.col(order))
-    return ((F.col("touch") == 0) & (F.min(at).over(w) < F.col(order)) & (F.max(at).over(w) > F.col(order))).cast("int")
+    return F.coalesce(((F.col("touch") == 0) & (F.min(at).over(w) < F.col(order)) & (F.max(at).over(w) > F.col(order))).cast("int"), F.lit(0))
 
 
 def ranks(touched: DataFrame, by: list[str] = ("frame",)) -> DataFrame:

@@ -82,15 +82,16 @@ class Ragged:
         return Ragged(df)
 
     def _rows(self, rows: int | slice | Iterable[int]) -> Column:
-        if isinstance(rows, slice) or isinstance(rows, int) and rows >= 0 or not isinstance(rows, int) and all(r >= 0 for r in (rows := list(rows))):
-            if not isinstance(rows, slice):
-                return F.col("traj_id").isin([rows] if isinstance(rows, int) else rows)
-            if min(rows.start or 0, rows.stop or 0) >= 0:
-                return _span(F.col("traj_id"), rows, F.lit(2**62))
+        if not isinstance(rows, slice):
+            rows = [rows] if isinstance(rows, int) else list(rows)
+            if all(r >= 0 for r in rows):
+                return F.col("traj_id").isin(rows)
+        elif min(rows.start or 0, rows.stop or 0) >= 0:
+            return _span(F.col("traj_id"), rows, F.lit(2**62))
         n = self.lengths().count()
         if isinstance(rows, slice):
             return F.col("traj_id").between((span := range(*rows.indices(n))).start, span.stop - 1) & ((F.col("traj_id") - span.start) % span.step == 0)
-        found = [r + n if r < 0 else r for r in ([rows] if isinstance(rows, int) else rows)]
+        found = [r + n if r < 0 else r for r in rows]
         if min(found) < 0:
             raise IndexError(rows)
         return F.col("traj_id").isin(found)

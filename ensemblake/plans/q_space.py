@@ -179,9 +179,9 @@ def _(s, d):
     return pk.all_ranks(touched(s, d)).select("frame", "x", "y", "z", "rank")
 
 
-@q("pocket_cells", f"WITH {RANK} SELECT frame, x, y, z FROM rk WHERE rank >= 4")
+@q("pocket_cells", f"WITH {RANK} SELECT frame, x, y, z FROM rk WHERE rank >= 2")
 def _(s, d):
-    return pk.pocket_cells(atoms(s, d), GRID, 0.1, 4, 0.6).select("frame", "x", "y", "z")
+    return pk.pocket_cells(atoms(s, d), GRID, 0.1, 2, 0.6).select("frame", "x", "y", "z")
 
 
 CLUSTER = """{head}, nodes AS ({nodes}),
@@ -203,7 +203,7 @@ def _(s, d):
 
 @q("pocket_clusters")
 def _(s, d):
-    return pk.pockets(atoms(s, d), GRID, 0.1, 4, 0, 0.6).select("frame", "x", "y", "z", "cluster")
+    return pk.pockets(atoms(s, d), GRID, 0.1, 2, 0, 0.6).select("frame", "x", "y", "z", "cluster")
 
 
 @q("clash_filter", f"WITH {PTS}, {ATOMS} SELECT id, frame FROM pts p WHERE frame < 3 AND id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM atm a WHERE a.frame = p.frame AND NOT (a.x = p.px AND a.y = p.py AND a.z = p.pz) AND (a.x - p.px) ** 2 + (a.y - p.py) ** 2 + (a.z - p.pz) ** 2 < 0.49)")
