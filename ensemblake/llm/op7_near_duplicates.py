@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, table, workers_can_import, written
+from .common import prepare, sized, table, written
 from .graph import connected_components
 
 WORD = re.compile(r"\w+")
@@ -20,7 +20,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Documents whose darts are thrown together.
-BATCH = 400
+BATCH = 150
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -144,7 +144,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def signed(docs: DataFrame, counted: bool = False) -> DataFrame:
     """doc_id, digest of the words, bands: a hash of each band of the signature. Texts without words get no row."""
-    workers_can_import(docs.sparkSession)
+    prepare(docs.sparkSession)
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * STEP)
     odd = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -209,7 +209,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, counted: bool = Fals
     more = written(more, "pairs")
     links = written(links.unionByName(checked(more, docs, counted, threshold)), "links")
     placed = _placed(members, links)
-    rest = _apart(placed)
+    rest = _apart(placed, docs, counted, threshold)
     both = tried.unionByName(more)
     rest = written(rest.join(both, ["a", "b"], "left_anti"), "pairs")
     links = written(links.unionByName(checked(rest, docs, counted, threshold)), "links")
@@ -227,12 +227,61 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     return written(found.select("bucket", "rep", "leader", F.coalesce("own", "rep").alias("class"), F.coalesce("lead", "leader").alias("leader_class")), "placed")
 
 
-def _apart(placed: DataFrame) -> DataFrame:
-    """Pairs of one bucket's members in different classes, but for the leader's class among itself: it is left as it is."""
-    strange = placed.where("class <> leader_class").select("bucket", F.col("rep").alias("x"), F.col("class").alias("x_class"))
-    other = placed.join(strange.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("rep").alias("y"), F.col("class").alias("y_class"))
-    pairs = strange.join(other, "bucket").where("x_class <> y_class")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def _apart(placed: DataFrame, docs: DataFrame, counted: bool, threshold: float) -> DataFrame:
+    """Pairs of one bucket's members in different classes that may still be near.
+
+    Two exact bounds leave out the rest. What two texts share is at most what either shares with any text of these buckets: its
+    weight without the shingles that no other has; for a similarity t two of weights m and n must share t / (1 + t) (m + n). And
+    where the parities of two texts' shingles differ in a cell, a shingle differs; at most (1 - t) / (1 + t) (m + n) may.
+    """
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
+    inside = written(placed.join(sized(written(mixed, "mixed")), "bucket", "left_semi").select("bucket", "rep", "class", (F.col("class") != F.col("leader_class")).alias("strange")), "mixed-members")
+    shared = _shared(docs.join(sized(written(inside.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")), "doc_id", "left_semi"), counted)
+    inside = written(inside.join(shared, "rep").where(F.col("shared") >= threshold * F.col("weight") - 1e-6), "mixed-members")
+    x, y = (inside.select("bucket", *(F.col(c).alias(f"{p}_{c}") for c in inside.columns if c != "bucket")) for p in "xy")
+    both = F.col("x_weight") + F.col("y_weight")
+    cells = sum((F.bit_count(F.col(f"x_p{k}").bitwiseXOR(F.col(f"y_p{k}"))) for k in range(1, PARITIES)), F.bit_count(F.col("x_p0").bitwiseXOR(F.col("y_p0"))))
+    near = (F.least("x_shared", "y_shared") >= threshold / (1 + threshold) * both - 1e-6) & (cells <= (1 - threshold) / (1 + threshold) * both + 1e-6)
+    pairs = x.where("x_strange").join(y, "bucket").where((F.col("x_class") != F.col("y_class")) & near)
+    return pairs.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct()
+
+
+#: 64-bit words of a text's parities.
+PARITIES = 32
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether each of 64 x PARITIES cells holds an odd number of the elements, as words."""
+    odd = np.bincount((mix(found) % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _shared(docs: DataFrame, counted: bool) -> DataFrame:
+    """rep, weight of its shingles, parities p0, p1, ..., and shared: the weight without those that occur in no other of docs.
+
+    Only aggregates by shingle, whatever its frequency.
+    """
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                few = batch.slice(at, BATCH)
+                own = [weighted_set(normal(x), counted) for x in few.column(1).to_pylist()]
+                if not own:
+                    continue
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(s) for s, _ in own]))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in own]).astype(t))) for k, t in ((0, np.int64), (1, np.float64))]
+                words = np.stack([parities(s) for s, _ in own])
+                yield pa.RecordBatch.from_arrays([few.column(0), *lists, pa.array([w.sum() for _, w in own], pa.float64()), *(pa.array(words[:, k]) for k in range(PARITIES))], names=["rep", "shingles", "weights", "weight", *(f"p{k}" for k in range(PARITIES))])
+
+    kind = docs.select("doc_id").dtypes[0][1]
+    names = [f"p{k}" for k in range(PARITIES)]
+    found = docs.select("doc_id", "text").mapInArrow(sets, f"rep {kind}, shingles array<long>, weights array<double>, weight double, " + ", ".join(f"{n} long" for n in names))
+    found = written(found, "shingle-sets")
+    cells = found.select("rep", F.inline(F.arrays_zip("shingles", "weights")))
+    alone = cells.groupBy("shingles").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("weights").alias("w")).where("rep = other")
+    alone = alone.groupBy("rep").agg(F.sum("w").alias("own"))
+    return written(found.drop("shingles", "weights").join(alone, "rep", "left").withColumn("shared", F.col("weight") - F.coalesce("own", F.lit(0.0))).drop("own"), "shared")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, counted: bool = False) -> DataFrame:
