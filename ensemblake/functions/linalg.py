@@ -164,6 +164,7 @@ def affinity_propagation(similarity: np.ndarray, damping: float = 0.5, preferenc
     s = similarity.astype(float).copy()
     n = len(s)
     np.fill_diagonal(s, np.median(s) if preference is None else preference)
+    s += 1e-10 * np.ptp(s) * np.random.default_rng(0).random((n, n))  # equal choices would never settle
     r, a, last, same = np.zeros((n, n)), np.zeros((n, n)), None, 0
     rows = np.arange(n)
     for _ in range(most):
