@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local one is made only where none is configured (tests)."""
     sc = spark.sparkContext
@@ -36,6 +42,18 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+_slot: dict = {}
+
+
+def only(key: tuple, make: Callable[[], T]) -> T:
+    """A worker process's one large object, kept from task to task: a model or vocabulary gives way to the next operator's."""
+    if key not in _slot:
+        _slot.clear()
+        gc.collect()
+        _slot[key] = make()
+    return _slot[key]
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it back, which cuts its lineage.
 

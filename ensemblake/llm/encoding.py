@@ -9,6 +9,8 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from .common import only
+
 
 def chunks_of(text: str) -> list[str]:
     """Those between spaces, tabs and line ends; some may be empty.
@@ -119,11 +121,6 @@ class WordEncoder:
                 yield b"".join(map(look, own)) + self.end
 
 
-_encoders: dict[tuple, WordEncoder] = {}
-
-
 def encoder(path: str, end_id: int) -> WordEncoder:
     """One encoder for each worker process and setting."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = WordEncoder(path, end_id)
-    return _encoders[path, end_id]
+    return only(("encoder", path, end_id), lambda: WordEncoder(path, end_id))

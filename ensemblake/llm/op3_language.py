@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, table
+from .common import only, prepare, table
 
 #: The bounded labelled sample: documents a language, characters taken from each, bytes a language in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 64, 512, 16_384
@@ -147,15 +147,9 @@ def labelled_samples(docs: DataFrame) -> list[tuple[str, bytes]]:
     return [(lang, b"\n".join(dict.fromkeys(by[lang]))[:SAMPLE_BYTES]) for lang in sorted(by)]
 
 
-_parsers: dict[tuple, CrossParser] = {}
-
-
 def parser(samples: list[tuple[str, bytes]]) -> CrossParser:
     """One for each worker process and model."""
-    if (key := tuple(samples)) not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples)
-    return _parsers[key]
+    return only(("parser", *samples), lambda: CrossParser(samples))
 
 
 def predict_language(docs: DataFrame, samples: list[tuple[str, bytes]], text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import prepare, table, tokenizer_path
+from .common import only, prepare, table, tokenizer_path
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -68,12 +68,9 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-_tests: dict[tuple[str, float], TokenEfficiency] = {}
-
-
 def all_spans(text: str | None, ranks_path: str, ratio: float) -> tuple[list, list]:
     """Base spans, and base with added ones; null is an empty text."""
-    test = _tests.get((ranks_path, ratio)) or _tests.setdefault((ranks_path, ratio), TokenEfficiency(ranks_path, ratio))
+    test = only(("secrets", ranks_path, ratio), lambda: TokenEfficiency(ranks_path, ratio))
     base = base_spans(text or "")
     return base, sorted(base + test.spans(text or "", base))
 

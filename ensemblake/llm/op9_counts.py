@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import prepare, table, tokenizer_path
+from .common import only, prepare, table, tokenizer_path
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -90,15 +90,12 @@ def pieces_of(model_path: str) -> dict[str, float]:
     return {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: id and n_tokens long, over the whole text. Null and empty texts: 0."""
     prepare(docs.sparkSession)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _counters.get(model_path) or _counters.setdefault(model_path, PieceCounter(pieces_of(model_path)))
+        own = only(("pieces", model_path), lambda: PieceCounter(pieces_of(model_path)))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.count_text(x.as_py()) for x in batch.column(1)], pa.int64())], names=[id_col, "n_tokens"])
 
