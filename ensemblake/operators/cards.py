@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..exceptions import ImproperlyConfigured
+from ..plans.shared import written
 from .info import FRAME, mi_matrix
 
 SERIES = ["traj_id", "feature"]
@@ -164,14 +165,13 @@ def disorder(states: DataFrame, times: DataFrame | None = None) -> DataFrame:
 
 def cards(states: DataFrame, n_states: dict[int, int]) -> dict[str, DataFrame]:
     """struct_struct, disorder_disorder, struct_disorder, disorder_struct: normalised (fa, fb, mi) of rotamer and disorder states."""
-    still = disorder(states)
-    two = dict.fromkeys(n_states, 2)
-    return {
-        "struct_struct": mi_matrix(states, None, n_states, keys=FRAME),
-        "disorder_disorder": mi_matrix(still, None, two, keys=FRAME),
-        "struct_disorder": mi_matrix(states, still, n_states, two, keys=FRAME),
-        "disorder_struct": mi_matrix(still, states, two, n_states, keys=FRAME),
-    }
+    apart = max(n_states) + 1
+    still = disorder(states).withColumn("feature", F.col("feature") + apart)
+    both = states.select("traj_id", "feature", "frame", "state").unionByName(still.select("traj_id", "feature", "frame", "state"))
+    # Both families are counted in one job; the matrix is small, so its four parts read it back.
+    mi = written(mi_matrix(both, None, n_states | {f + apart: 2 for f in n_states}, keys=FRAME), "cards")
+    part = lambda a, b: mi.where((F.col("fa") >= apart) == a).where((F.col("fb") >= apart) == b).select((F.col("fa") % apart).alias("fa"), (F.col("fb") % apart).alias("fb"), "mi")
+    return {"struct_struct": part(False, False), "disorder_disorder": part(True, True), "struct_disorder": part(False, True), "disorder_struct": part(True, False)}
 
 
 class RotamerFeaturizer:
