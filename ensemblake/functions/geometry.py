@@ -111,7 +111,7 @@ def rmsf(coords: DataFrame, weights: DataFrame | None = None, ref_frame: int = 0
     coords: superposed (frame, atom_id, x, y, z) with a column `by`, an atom or its residue, whose atoms are averaged; weights: (frame, w), else equal.
     """
     ref = coords.where(F.col("frame") == ref_frame).select("atom_id", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
-    own = coords.join(F.broadcast(weights), "frame") if weights is not None else coords.withColumn("w", F.lit(1.0))
+    own = coords.join(weights, "frame") if weights is not None else coords.withColumn("w", F.lit(1.0))
     d2 = sum(F.pow(F.col(c).cast("double") - F.col(f"r{c}"), 2) for c in "xyz")
     return own.join(ref, "atom_id").groupBy(by).agg(F.sqrt(F.sum(d2 * F.col("w")) / F.sum("w")).alias("rmsf"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
@@ -26,21 +27,29 @@ def chunks_of(text: str) -> list[str]:
 
 #: Characters of text held as separate chunks at a time.
 SLICE_CHARS = 1_500_000
-
-
 STOPS = (".", ",")
-
-
-def stem_of(chunk: str) -> str:
-    """A chunk with the same ids: ASCII letters in lower case, without one stop after a letter (its ids come after)."""
-    if chunk.isascii() and "<|" not in chunk:  # which may begin an added token, whose case counts
-        chunk = chunk.lower()
-    return chunk[:-1] if chunk[-1:] in STOPS and one_piece(chunk[-2:-1]) else chunk
+#: Letters that are normalised as they are, in either case.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def one_piece(word: str) -> bool:
     """Letters only, and still so once normalised: one match of the tokenizer's pattern."""
-    return word.isalpha() and (word.isascii() or word.lower().isalpha() and is_normalized("NFC", word) and is_normalized("NFC", word.lower()))
+    return bool(LATIN.fullmatch(word)) or word.isalpha() and word.lower().isalpha() and is_normalized("NFC", word) and is_normalized("NFC", word.lower())
+
+
+def stem_of(chunk: str) -> tuple[str, bool]:
+    """A chunk with the same ids, and whether it is one piece: ASCII letters in lower case, without one stop after a letter (its ids come after)."""
+    if chunk.isascii():
+        if "<|" not in chunk:  # which may begin an added token, whose case counts
+            chunk = chunk.lower()
+        if chunk.isalpha():
+            return chunk, True
+        if chunk[-1:] in STOPS and chunk[-2:-1].isalpha():
+            chunk = chunk[:-1]
+        return chunk, chunk.isalpha()
+    if chunk[-1] in STOPS and one_piece(chunk[-2:-1]):
+        chunk = chunk[:-1]
+    return chunk, one_piece(chunk)
 
 
 class WordEncoder:
@@ -50,7 +59,7 @@ class WordEncoder:
     again pass over, so memory is bounded however many distinct words a corpus has, and frequent words stay.
     """
 
-    def __init__(self, path: str, end_id: int = 1, limit_bytes: int = 48_000_000):
+    def __init__(self, path: str, end_id: int = 1, limit_bytes: int = 64_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,15 +83,16 @@ class WordEncoder:
         # Case is folded by the tokenizer and a final stop is a piece of its own, so most new chunks share a stem.
         stems = [stem_of(chunk) for chunk in fresh]
         simple, other = [], []
-        for x in {*stems, *STOPS}:
+        for x, single in {*stems, *((x, False) for x in STOPS)}:
             if x not in known:
-                (simple if one_piece(x) else other).append(x)
+                (simple if single else other).append(x)
         self._encode(other)
         self._encode_joined(simple)
-        for chunk, stem in zip(fresh, stems, strict=True):
+        for chunk, (stem, _) in zip(fresh, stems, strict=True):
             if chunk != stem:
-                known[chunk] = known[stem] + known[chunk[-1]] if len(chunk) > len(stem) else known[stem]
-                self.size += len(known[chunk]) + 4 * len(chunk)
+                ids = known[stem]
+                known[chunk] = ids = ids + known[chunk[-1]] if len(chunk) > len(stem) else ids
+                self.size += len(ids) + 4 * len(chunk)
 
     def _keep(self, words: Iterable[str], ids: Iterable[bytes]) -> None:
         for word, own in zip(words, ids, strict=True):

@@ -158,7 +158,7 @@ def disorder(states: DataFrame, times: DataFrame | None = None) -> DataFrame:
     own = states.withColumn("__t", F.when(change, F.col("frame")))
     before = F.last("__t", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("__t", True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    own = own.withColumn("__gap", (after - before).cast("double")).join(F.broadcast(times), "feature")
+    own = own.withColumn("__gap", (after - before).cast("double")).join(times, "feature")
     ratio = F.try_divide("ord_time", "disord_time") * F.exp(-F.col("__gap") * (F.try_divide(F.lit(1.0), F.col("disord_time")) - F.try_divide(F.lit(1.0), F.col("ord_time"))))
     return own.select(*SERIES, "frame", F.coalesce((ratio >= 3).cast("int"), F.lit(0)).alias("state"))
 

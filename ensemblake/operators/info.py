@@ -181,7 +181,7 @@ def sidechain_atoms(atoms: DataFrame) -> DataFrame:
 
 def condense_sidechain_sasas(sasas: DataFrame, atoms: DataFrame) -> DataFrame:
     """traj_id, frame, residue, sasa: area of a residue's side chain."""
-    return sasas.join(F.broadcast(sidechain_atoms(atoms).select("atom_id", F.col("res_id").alias("residue"))), "atom_id").groupBy("traj_id", "frame", "residue").agg(F.sum("sasa").alias("sasa"))
+    return sasas.join(sidechain_atoms(atoms).select("atom_id", F.col("res_id").alias("residue")), "atom_id").groupBy("traj_id", "frame", "residue").agg(F.sum("sasa").alias("sasa"))
 
 
 def exposons_from_sasas(sasas: DataFrame, damping: float = 0.5, weight: str | None = None, threshold: float = 0.02) -> tuple[DataFrame, DataFrame]:

@@ -65,7 +65,7 @@ def all_ranks(touched: DataFrame, by: list[str] = ("frame",)) -> DataFrame:
     """As ranks, with the other three families of diagonals: y, x, or both reversed."""
     by = list(by)
     top = touched.groupBy(*by).agg(F.max("x").alias("__mx"), F.max("y").alias("__my"))
-    own = touched.join(F.broadcast(top), by)
+    own = touched.join(top, by)
     total = ranks(own, by)
     flips = [("x", F.col("x"), F.col("__my") - F.col("y")), ("y", F.col("__mx") - F.col("x"), F.col("y")), ("xy", F.col("__mx") - F.col("x"), F.col("__my") - F.col("y"))]
     for _, fx, fy in flips:

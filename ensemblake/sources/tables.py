@@ -68,7 +68,7 @@ def load_npy(spark: SparkSession, paths: list[str] | str, stride: int = 1) -> Da
                     part = a[at : at + 5000]
                     yield pd.DataFrame({"traj_id": traj, "frame": np.arange(at, at + len(part)), "x": [np.ravel(v).astype(float) for v in part]})
 
-    return files.join(F.broadcast(number), "path").select("traj_id", "content").mapInPandas(read, "traj_id long, frame long, x array<double>")
+    return files.join(number, "path").select("traj_id", "content").mapInPandas(read, "traj_id long, frame long, x array<double>")
 
 
 def load_features(spark: SparkSession, paths: list[str] | str, stride: int = 1) -> DataFrame:
@@ -90,7 +90,7 @@ def load_pdb(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     text = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
     names = sorted(r.path for r in text.select("path").collect())
     number = spark.createDataFrame([(p, k) for k, p in enumerate(names)], "path string, traj_id long")
-    models = text.join(F.broadcast(number), "path").select("traj_id", F.posexplode(F.split("value", r"(?m)^MODEL .*$")).alias("m", "part"))
+    models = text.join(number, "path").select("traj_id", F.posexplode(F.split("value", r"(?m)^MODEL .*$")).alias("m", "part"))
     first = models.groupBy("traj_id").agg(F.max("m").alias("last"))
     models = models.join(first, "traj_id").where("m > 0 OR last = 0").select("traj_id", F.greatest(F.col("m") - 1, F.lit(0)).cast("long").alias("frame"), "part")
     lines = F.filter(F.split("part", r"\r?\n"), lambda x: x.startswith("ATOM  ") | x.startswith("HETATM"))
@@ -115,7 +115,7 @@ def select_atoms(coords: DataFrame, atoms: DataFrame, text: str) -> DataFrame:
     own = atoms.where(selection(text)).select("atom_id").distinct()
     if own.isEmpty():
         raise ImproperlyConfigured(f"no atom is selected by {text!r}")
-    return coords.join(F.broadcast(own), "atom_id", "left_semi")
+    return coords.join(own, "atom_id", "left_semi")
 
 
 def load_assignments(source: DataFrame) -> DataFrame:
