@@ -62,6 +62,7 @@ def _(s, d):
     return cells(msm.normalize(counts1(s, d), calculate_eq_probs=False)[1])
 
 
+REACH_ALL = f"{C1} SELECT i AS original, i AS mapped FROM c GROUP BY i"
 SYM = "s AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM c UNION ALL SELECT j, i, v FROM c) GROUP BY i, j)"
 
 
@@ -85,6 +86,24 @@ def _(s, d):
     return cells(msm.transpose(counts1(s, d))[2])
 
 
+@q("tprob_mle")
+def _(s, d):
+    return cells(msm.mle(counts1(s, d), n_states=5)[1])
+
+
+@q("mle_detailed_balance", f"{C1} SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j, 0.0::DOUBLE AS v FROM c WHERE i <> j")
+def _(s, d):
+    _, t, pi = msm.mle(counts1(s, d), n_states=5)
+    flux = t.join(pi.withColumnRenamed("v", "p"), "i").select("i", "j", (F.col("p") * F.col("v")).alias("f"))
+    back = flux.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("f").alias("g"))
+    return flux.join(back, ["i", "j"]).where("i < j").select("i", "j", r9(F.col("f") - F.col("g")).alias("v"))
+
+
+@q("msm_mapping", REACH_ALL)
+def _(s, d):
+    return msm.MSM(1, "transpose").fit(dm.ev(s, d)).mapping_.df
+
+
 POWER = """WITH RECURSIVE {head}, t AS (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM c),
 p AS (SELECT 0 AS n, unnest(range(0, 5))::INT AS i, 0.2::DOUBLE AS v UNION ALL
       SELECT n + 1, t.j, sum(p.v * t.v) FROM p JOIN t USING (i) WHERE n < {steps} GROUP BY n, t.j)"""

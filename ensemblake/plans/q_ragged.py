@@ -216,6 +216,16 @@ def _(s, d):
     return load_frames(dm.ev(s, d), keys, stride=2).select("traj_id", "frame", "state")
 
 
+@q("load_asymm_lookup", f"WITH {EV}, k AS (SELECT DISTINCT user_id AS traj_id, event_id % 7 AS frame FROM events WHERE event_id % 13 = 0) SELECT k.traj_id, k.frame, ev.state, n_name FROM k JOIN ev USING (traj_id, frame) JOIN nation ON n_nationkey = k.traj_id % 25")
+def _(s, d):
+    # Each trajectory has a topology of its own; all are looked up in one star join.
+    from ..sources.tables import load_frames
+
+    keys = dm.table(s, d, "events").where("event_id % 13 = 0").select(F.col("user_id").alias("traj_id"), (F.col("event_id") % 7).alias("frame")).distinct()
+    own = load_frames(dm.ev(s, d), keys)
+    return own.join(dm.table(s, d, "nation"), F.col("traj_id") % 25 == F.col("n_nationkey")).select("traj_id", "frame", "state", "n_name")
+
+
 def _second(s, d):
     return dm.em(s, d).where("vec_id = 0").select(F.col("x").alias("y"))
 
