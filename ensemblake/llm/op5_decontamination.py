@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: seeds of two near words find candidates without loss, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,17 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 WORD = re.compile(r"\w+")
-#: Words of a seed, and consecutive n-grams of an item of which the rarest is a seed: a passage
-#: keeps a seed wherever NGRAM + WINDOW - 1 words in a row survive editing, or a rarer one sooner.
-NGRAM, WINDOW = 3, 4
+#: Seeds: two words of an item, next to each other or with one between, that are so in a text. The distances in the item
+#: and in the text may differ: each of the four ways is a step of an alignment with an error at most, and what it adds to the score.
+STEPS = {(1, 1): 2, (1, 2): 1, (2, 1): 1, (2, 2): 1}
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A passage is a copy if its alignment has this share of the item's full score, or the score of so many equal words in a row.
-SHARE, RUN = 0.5, 13
+#: Items of fewer than WHOLE words must be there whole, since half of two is any one word.
+SHARE, RUN, WHOLE = 0.5, 13, 3
 #: Benchmark items searched for at a time; a larger benchmark is searched in so many passes.
 BLOCK_ITEMS = 20_000
+#: Texts are searched together up to so many words times items.
+TOGETHER = 40_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -37,24 +41,14 @@ def spans_of(text: str) -> list[tuple[int, int]]:
     return [(source[m.start()], source[m.end() - 1] + 1) for m in WORD.finditer(low)]
 
 
-def grams(own: list[str], n: int) -> Iterator[tuple[str, ...]]:
-    return zip(*(own[k:] for k in range(n)), strict=False)
+def least(n: int) -> float:
+    """Score from which a passage is a copy of an item of n words."""
+    return min(SHARE * MATCH * n, RUN * MATCH) if n >= WHOLE else MATCH * n
 
 
-def sizes(items: dict[int, list[str]]) -> list[int]:
-    """Lengths of seeds in use: NGRAM, and shorter ones for items that have fewer words."""
-    return sorted({min(NGRAM, len(w)) for w in items.values()})
-
-
-def seeds(items: dict[int, list[str]], frequency: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], list[tuple[int, int]]]:
-    """Seed: (item, place) pairs. Of every WINDOW consecutive n-grams of an item, the one in the fewest documents."""
-    out: dict[tuple[str, ...], set[tuple[int, int]]] = defaultdict(set)
-    for item, own in items.items():
-        each = list(grams(own, min(NGRAM, len(own))))
-        for a in range(max(1, len(each) - WINDOW + 1)):
-            place = min(range(a, min(a + WINDOW, len(each))), key=lambda k: (frequency.get(each[k], 0), k))
-            out[each[place]].add((item, place))
-    return {g: sorted(found) for g, found in out.items()}
+def reach(n: int) -> int:
+    """Most words of a text that an alignment of at least least(n) spans: it has n matches at most, and no more errors than it can bear."""
+    return int(3 * n - least(n))
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -83,70 +77,115 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Search:
-    """Finds the items of a benchmark block in whole texts."""
+    """Finds the items of a benchmark block in whole texts.
+
+    An alignment's score is that of one match and what each step to the next match adds: MATCH less the step's errors. Steps of two
+    errors or more add nothing, so a copy has seeds in reach whose sum is at least least(n) - MATCH. No other places are aligned, and none that may hold a copy is left out.
+    """
 
-    def __init__(self, items: dict[int, list[str]], found: dict[tuple[str, ...], list[tuple[int, int]]]):
-        self.items, self.seeds, self.sizes = items, found, sizes(items)
+    def __init__(self, items: dict[int, list[str]]):
+        self.items = items
         self.codes: dict[str, int] = {}
         for own in items.values():
             for w in own:
                 self.codes.setdefault(w, len(self.codes))
         self.coded = {k: np.array([self.codes[w] for w in own], np.int32) for k, own in items.items()}
-
-    def windows(self, own: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """Places of a text that may hold an item: around each seed, joined where they overlap."""
-        near: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n in self.sizes:
-            if self.seeds.keys().isdisjoint(grams(own, n)):
+        self.ids = list(items)
+        sizes = [len(own) for own in items.values()]
+        self.least, self.reach = np.array([least(n) for n in sizes]), np.array([reach(n) for n in sizes], np.int64)
+        self.gap = int(self.reach.max(initial=0)) + 1
+        self.seeds = {d: self._seeds(d) for d in (0, 1, 2)}
+
+    def _seeds(self, d: int) -> tuple[np.ndarray, ...]:
+        """Of words at distance d in a text: keys in order, where each key's items start (one more at the end), items, what they add. d = 0: items of one word."""
+        best: dict[tuple[int, int], int] = {}
+        for k, own in enumerate(self.coded.values()):
+            row = own.tolist()
+            for e, adds in [(e, v) for (e, at), v in STEPS.items() if at == d] or ([(0, 0)] if len(row) == 1 else []):
+                for a, b in zip(row, row[e:], strict=False):
+                    at = (a * len(self.codes) + b, k)
+                    best[at] = max(best.get(at, 0), adds)
+        rows = np.array([(*at, adds) for at, adds in sorted(best.items())], np.int64).reshape(-1, 3)
+        keys, first = np.unique(rows[:, 0], return_index=True)
+        return keys, np.append(first, len(rows)), rows[:, 1], rows[:, 2]
+
+    def candidates(self, texts: list[list[str]]) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """Text: item: spans of words that hold all its copies, joined where they overlap."""
+        sizes = np.array([len(own) for own in texts], np.int64)
+        # Texts lie further apart than any alignment reaches.
+        starts = np.cumsum(sizes + self.gap) - sizes - self.gap
+        code = np.full(int((sizes + self.gap).sum()) + 2, -1, np.int64)
+        for own, a in zip(texts, starts.tolist(), strict=True):
+            code[a : a + len(own)] = np.fromiter(map(self.codes.get, own, repeat(-1)), np.int64, len(own))
+        known = np.flatnonzero(code >= 0)
+        width, found = len(code), []
+        for d, (keys, first, items, adds) in self.seeds.items():
+            if not len(keys):
                 continue
-            for at, g in enumerate(grams(own, n)):
-                for item, place in self.seeds.get(g, ()):
-                    size = len(self.items[item])
-                    slack = 4 + size // 3
-                    a, z = max(0, at - place - slack), min(len(own), at - place + size + slack)
-                    spans = near[item]
-                    if spans and a <= spans[-1][1] and a >= spans[-1][0]:
-                        spans[-1] = (spans[-1][0], max(z, spans[-1][1]))
-                    else:
-                        spans.append((a, z))
+            at = known[code[known + d] >= 0]
+            key = code[at] * len(self.codes) + code[at + d]
+            k = np.searchsorted(keys, key)
+            hit = keys[np.minimum(k, len(keys) - 1)] == key
+            at, k = at[hit], k[hit]
+            n = first[k + 1] - first[k]
+            row = np.arange(int(n.sum())) + np.repeat(first[k] - np.cumsum(n) + n, n)
+            found.append((items[row] * width + np.repeat(at, n)) * (MATCH + 1) + adds[row])
+        hits = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        place, adds = hits // (MATCH + 1), hits % (MATCH + 1)
+        last = np.append(place[1:] != place[:-1], True)[: len(place)]
+        place, adds = place[last], adds[last]
+        item = place // width
+        total = np.append(0, np.cumsum(adds))
+        inside = total[1:] - total[np.searchsorted(place, np.maximum(place - self.reach[item], item * width - 1), "right")]
+        near: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        good = np.flatnonzero(inside >= self.least[item] - MATCH)
+        texts_of = np.searchsorted(starts, place[good] % width, "right") - 1
+        for t, k, p in zip(texts_of.tolist(), item[good].tolist(), (place[good] % width - starts[texts_of]).tolist(), strict=True):
+            a, z = max(0, p - int(self.reach[k])), min(int(sizes[t]), p + int(self.reach[k]) + 1)
+            spans = near[t][self.ids[k]]
+            if spans and a <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], z)
+            else:
+                spans.append((a, z))
         return near
 
-    def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item, share of its full score, start, end in code points): the best passage for each item found."""
-        own = words(text)
-        out, places = [], None
-        for item, spans in sorted(self.windows(own).items()):
+    def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
+        """(place in texts, item, share of its full score, start, end in code points): the best passage for each item found in each text."""
+        most, held, total = TOGETHER // max(200, len(self.items)), [], 0
+        for k, text in enumerate(texts):
+            if own := words(text):
+                held.append((k, own))
+                total += len(own)
+            if held and (total >= most or k == len(texts) - 1):
+                near = self.candidates([own for _, own in held])
+                for t in sorted(near):
+                    at, own = held[t]
+                    for item, share, a, z in self._best(own, near[t]):
+                        places = spans_of(texts[at])
+                        yield at, item, share, places[a][0], places[z - 1][1]
+                held, total = [], 0
+
+    def _best(self, own: list[str], near: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, float, int, int]]:
+        for item, spans in sorted(near.items()):
             coded, best = self.coded[item], (0, 0, 0)
-            wanted = set(self.items[item])
+            enough, wanted = least(len(coded)), set(self.items[item])
             for a, z in spans:
                 part = own[a:z]
-                if MATCH * sum(w in wanted for w in part) <= max(best[0], min(SHARE * MATCH * len(coded), RUN * MATCH) - 1):
+                if most_of(part, wanted) < max(best[0], enough):
                     continue  # not even all its words in order would do
                 score, s, e = align(coded, np.array([self.codes.get(w, -1) for w in part], np.int32))
                 best = max(best, (score, a + s, a + e), key=lambda x: (x[0], -x[1]))
-            if best[0] >= min(SHARE * MATCH * len(coded), RUN * MATCH):
-                places = places or spans_of(text)
-                out.append((item, best[0] / (MATCH * len(coded)), places[best[1]][0], places[best[2] - 1][1]))
-        return out
-
+            if best[0] >= enough:
+                yield item, best[0] / (MATCH * len(coded)), best[1], best[2]
 
-def frequencies(docs: DataFrame, items: dict[int, list[str]]) -> dict[tuple[str, ...], int]:
-    """Over all documents: how many have each n-gram of the items. Each task sends counts of n-grams of the items alone."""
-    wanted = sorted({g for own in items.values() for g in grams(own, min(NGRAM, len(own)))})
-    number = {g: k for k, g in enumerate(wanted)}
-    lengths = sizes(items)
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                own = words(text.as_py())
-                for n in lengths:
-                    seen.update(set(filter(number.__contains__, grams(own, n))))
-        yield pa.RecordBatch.from_arrays([pa.array([number[g] for g in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
 
-    found = docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {wanted[r.gram]: r.n for r in found.collect()}
+def most_of(part: list[str], wanted: set[str]) -> int:
+    """No alignment to an item of the words wanted has a higher score in part: each other word between is an error."""
+    now = best = 0
+    for w in part:
+        now = now + MATCH if w in wanted else max(0, now - 1)
+        best = max(best, now)
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "item_text").collect()
         block = {r.item_id: w for r in reversed(part) if (w := words(r.item_text))}
-        found = _search(own, Search(block, seeds(block, frequencies(own, block)))) if block else spark.createDataFrame([], schema)
+        found = _search(own, Search(block)) if block else spark.createDataFrame([], schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -174,12 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _search(own: DataFrame, search: Search) -> DataFrame:
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for k, text in enumerate(batch.column(1)):
-                found = search.matches(text.as_py())
-                at += [k] * len(found)
-                rows += found
-            cols = [*zip(*rows, strict=True)] or [()] * 4
+            at, *cols = [*zip(*search.matches(batch.column(1).to_pylist()), strict=True)] or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "item_id", "score", "start", "end"])
 
     return own.mapInArrow(find, f"doc_id {own.dtypes[0][1]}, item_id long, score double, start long, `end` long")
