@@ -142,8 +142,13 @@ gp AS (SELECT frame, x, y, z, lx + x * {GRID} AS px, ly + y * {GRID} AS py, lz +
 tp AS (SELECT g.*, (EXISTS (SELECT 1 FROM atm a WHERE a.frame = g.frame AND (a.x - g.px) ** 2 + (a.y - g.py) ** 2 + (a.z - g.pz) ** 2 < 0.49))::INT AS touch FROM gp g)"""
 
 
+def all_atoms(s, d):
+    return dm.points(s, d).select("frame", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"), F.lit(0.6).alias("radius"))
+
+
 def atoms(s, d):
-    return dm.points(s, d).where("frame < 3").select("frame", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"), F.lit(0.6).alias("radius"))
+    """The frames that the SQL of the queries below takes."""
+    return all_atoms(s, d).where("frame < 3")
 
 
 @q("pocket_grid", f"WITH {GR} SELECT frame, x, y, z, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz FROM gp")
@@ -203,7 +208,7 @@ def _(s, d):
 
 @q("pocket_clusters")
 def _(s, d):
-    return pk.pockets(atoms(s, d), GRID, 0.1, 2, 0, 0.6).select("frame", "x", "y", "z", "cluster")
+    return pk.pockets(all_atoms(s, d), GRID, 0.1, 2, 0, 0.6).select("frame", "x", "y", "z", "cluster")
 
 
 @q("clash_filter", f"WITH {PTS}, {ATOMS} SELECT id, frame FROM pts p WHERE frame < 3 AND id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM atm a WHERE a.frame = p.frame AND NOT (a.x = p.px AND a.y = p.py AND a.z = p.pz) AND (a.x - p.px) ** 2 + (a.y - p.py) ** 2 + (a.z - p.pz) ** 2 < 0.49)")
@@ -435,7 +440,7 @@ def _(s, d):
 
     t = np.array([[0.9, 0.1], [0.2, 0.8]])
     pi = np.array([2 / 3, 1 / 3])
-    samples = dm.table(s, d, "events").where("event_id < 500").select(F.col("event_id").alias("sample_id"))
+    samples = dm.table(s, d, "events").select(F.col("event_id").alias("sample_id"))
     return fr.resolve_excitations(samples, t, t, pi, pi, np.array([[0.5, 0.1], [0.1, 0.02]]), 0.22, 0.02, 0.1, 7)
 
 
