@@ -19,7 +19,10 @@ from ensemblake.llm.op10_packing import pack
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no learned language: null ones and those without a letter. Nothing is dropped where no language is learned."""
+    """Drops null texts and those without a letter, and nothing where no language is learned.
+
+    Any other text has the learned language nearest to it, however far that is, and stays: one in an unlearned script too.
+    """
     if not (samples := labelled_samples(docs.select("doc_id", "text", "lang"))):
         return docs
     columns = docs.columns
