@@ -23,6 +23,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Known digests (MD5, SHA-1, SHA-2 lengths) and identifiers (UUIDs, numbers, dates) aren't secrets.
 KNOWN = re.compile(r"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})|[0-9_+/=-]+")
 DIGIT, LETTER, FLIP = re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile("[a-z][A-Z]")
+#: Share of the ratio for runs of unmixed letters: random ones of 16 are mostly at 1.78 characters a token, long words above 2.
+UNMIXED = 0.925
 #: The pattern that splits text before the merges of a rank file (a fixed value of that vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -39,10 +41,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class TokenEfficiency:
-    """Random strings: runs of mixed characters that a vocabulary needs many tokens for.
+    """Random strings: runs that a vocabulary needs many tokens for.
 
-    A run counts when it has digits with letters, or letters whose case changes back and forth; isn't a known
-    digest or identifier; and has fewer than `ratio` characters a token.
+    A run counts when it isn't a known digest or identifier and has fewer than `ratio` characters a token. Runs without
+    digits whose case doesn't change back and forth may be words, and count below UNMIXED of that ratio.
     """
 
     def __init__(self, ranks_path: str, ratio: float = 2.0):
@@ -54,8 +56,10 @@ class TokenEfficiency:
         self.ratio = ratio
 
     def is_random(self, run: str) -> bool:
+        if KNOWN.fullmatch(run):
+            return False
         mixed = LETTER.search(run) and DIGIT.search(run) or len(FLIP.findall(run)) >= 2
-        return bool(mixed) and not KNOWN.fullmatch(run) and len(run) < self.ratio * len(self.encode(run))
+        return len(run) < self.ratio * (1 if mixed else UNMIXED) * len(self.encode(run))
 
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Runs that don't overlap a span already taken; `taken` is in order of starts."""
