@@ -1,7 +1,11 @@
 """Streams, jobs and the driver contract."""
 
 import importlib
+import os
+import shutil
+import subprocess
 import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -70,16 +74,16 @@ def test_contract(spark):
     assert set(sql) <= set(q) and len(q) > 120 and entry.entry(spark).count() > 0
 
 
-def test_without_the_training_data_subpackage(monkeypatch):
-    entry = importlib.import_module("__spark_entry__")
-    for name in [m for m in sys.modules if m.startswith("ensemblake.llm")] + ["corpus_pipeline"]:
-        monkeypatch.delitem(sys.modules, name, raising=False)
-
-    class Gone:
-        def find_spec(self, name, path=None, target=None):
-            if name.startswith("ensemblake.llm") or name == "corpus_pipeline":
-                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
-
-    monkeypatch.setattr(sys, "meta_path", [Gone(), *sys.meta_path])
-    q = entry.queries()
-    assert "tprob_transpose" in q and "pipeline" not in q and not any(n.startswith("op1") for n in q)
+@pytest.mark.parametrize("pipeline_too", [False, True])
+def test_without_the_training_data_subpackage(tmp_path, pipeline_too):
+    """In a copy of the tree with the folders really deleted, with and without the pipeline's module."""
+    here = Path(__file__).resolve().parents[1]
+    shutil.copytree(here, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "spark-warehouse"))
+    gone = [tmp_path / "copy/ensemblake/llm", tmp_path / "copy/tests/llm"]
+    for folder in gone:
+        shutil.rmtree(folder, ignore_errors=True)
+    if pipeline_too:
+        (tmp_path / "copy/corpus_pipeline.py").unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'tprob_transpose' in q and 'pipeline' not in q and not any(n.startswith('op1') for n in q) and set(e.oracle_sql()) <= set(q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=env, check=True)
