@@ -7,19 +7,26 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sized, table, written
 
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Relative error of a sketch's quantiles.
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: A language's source with fewer documents uses the merged sketches of its language, then of all.
-LEAST_DOCS = 100
-#: Quartile distances that a value may lie outside the quartiles.
-FENCE = 3.0
-#: Signals: least quartile distance that counts (so that a constant signal doesn't reject all others), whether low values are rejected too.
-SIGNALS = {"mean_word_chars": (0.75, True), "symbols_per_word": (0.05, False), "dup_lines_per_line": (0.1, False), "repeated_words": (0.1, False)}
+#: Fences: the tail quantiles of a group's rows that the base rule passes, and as far beyond them as they lie from the median.
+LOW, MIDDLE, HIGH = 0.05, 0.5, 0.95
+#: A group's quantiles weigh by its documents, those of the group around it (its language, then all rows) as so many.
+PRIOR = 100
+#: A row is outside a fence if its count is so by so many deviations (roots of the count): few symbols, lines or words prove nothing.
+SURE = 5.0
+#: Signals: a count, what it is divided by, whether low values are rejected too.
+SIGNALS = {
+    "mean_word_chars": ("word_chars", "n_words", True),
+    "symbols_per_word": ("n_symbols", "n_words", False),
+    "dup_lines_per_line": ("n_dup_lines", "n_lines", False),
+    "repeated_words": ("n_repeat_words", "n_words", False),
+}
 
 
 def barrier(df: DataFrame, *made: Column) -> DataFrame:
@@ -59,53 +66,57 @@ def measures(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_repeat_words"))
 
 
-def signals() -> dict[str, Column]:
-    words, lines = F.col("n_words").cast("double"), F.col("n_lines").cast("double")
-    return {
-        "mean_word_chars": F.col("word_chars") / words,
-        "symbols_per_word": F.col("n_symbols") / words,
-        "dup_lines_per_line": F.col("n_dup_lines") / lines,
-        "repeated_words": F.col("n_repeat_words") / words,
-    }
+def signals(deviations: float = 0.0) -> dict[str, Column]:
+    """Each signal of a row; what is left of it, or it may be, so many deviations of its count below or above."""
+    moved = lambda n: F.col(n) + deviations * F.sqrt(F.col(n)) if deviations else F.col(n).cast("double")
+    return {k: moved(n) / F.col(over) for k, (n, over, _) in SIGNALS.items()}
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, signal, bucket, n: counts by logarithmic bucket, which merge by addition.
 
-    Any quantile is known to ACCURACY of its value; a sketch has some thousand buckets at most, however many documents. Documents without words aren't counted.
+    Any quantile is known to ACCURACY of its value; a sketch has some thousand buckets at most, however many documents. Documents that the base rule fails aren't
+    counted: what is rejected anyway says nothing about the rest.
     """
-    long = measured.where("n_words > 0").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(k).alias("signal"), v.alias("v")) for k, v in signals().items()))).alias("s"))
+    long = measured.where(~base_failed()).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(k).alias("signal"), v.alias("v")) for k, v in signals().items()))).alias("s"))
     bucket = F.when(F.col("s.v") > 0, F.ceil(F.ln("s.v") / F.lit(math.log(GAMMA)))).otherwise(F.lit(-(10**6))).cast("int")
     return long.groupBy("lang", "source", F.col("s.signal").alias("signal"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """low and high of each signal in merged sketches, and the documents behind them."""
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """low, middle, high: quantiles of each signal in merged sketches, and docs: the documents behind them."""
     merged = sketch.groupBy(*by, "signal", "bucket").agg(F.sum("n").alias("n"))
     own = Window.partitionBy(*by, "signal")
     up = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     merged = merged.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(own))
     value = F.when(F.col("bucket") == -(10**6), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
-    quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
-    found = merged.groupBy(*by, "signal").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("total").alias("docs"))
-    least = F.coalesce(*(F.when(F.col("signal") == k, F.lit(v)) for k, (v, _) in SIGNALS.items()))
-    spread = FENCE * F.greatest(F.col("q3") - F.col("q1"), least)
-    return found.select(*by, "signal", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"), "docs")
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
+    return merged.groupBy(*by, "signal").agg(at(LOW).alias("low"), at(MIDDLE).alias("middle"), at(HIGH).alias("high"), F.max("total").alias("docs"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and the fences of every signal: a source's own, its language's where it is small, or those of all.
+    """lang, source and the fences of every signal: one row for each language and source.
 
-    One row for each language and source; nulls are a language and a source like others.
+    A source's quantiles give way to those of its language, and a language's to those of all rows, by the weight of PRIOR documents, so
+    the fences change smoothly with a group's size and a source of a few documents is judged by its language. Nulls are a language and a source like others.
     """
     key = {c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source")}
     sketch = sketch.withColumns(key)
-    own, lang, every = _fences(sketch, ["lang", "source"]), _fences(sketch, ["lang"]), _fences(sketch, [])
-    put = lambda df, p: df.withColumnsRenamed({c: f"{p}_{c}" for c in ("low", "high", "docs")})
-    all_ = put(own, "own").join(put(lang, "lang"), ["lang", "signal"]).join(put(every, "every"), "signal")
-    pick = lambda c: F.when(F.col("own_docs") >= LEAST_DOCS, F.col(f"own_{c}")).when(F.col("lang_docs") >= LEAST_DOCS, F.col(f"lang_{c}")).otherwise(F.col(f"every_{c}"))
-    low, high = ({k: F.max(F.when(F.col("signal") == k, pick(c))) for k in SIGNALS} for c in ("low", "high"))
-    return all_.groupBy("lang", "source").agg(*(v.alias(f"low_{k}") for k, v in low.items() if SIGNALS[k][1]), *(v.alias(f"high_{k}") for k, v in high.items()))
+    put = lambda by, p: quantiles(sketch, by).withColumnsRenamed({c: f"{p}_{c}" for c in ("low", "middle", "high", "docs")})
+    all_ = put(["lang", "source"], "own").join(put(["lang"], "lang"), ["lang", "signal"]).join(put([], "every"), "signal")
+
+    def blended(q: str) -> Column:
+        lang = (F.col("lang_docs") * F.col(f"lang_{q}") + PRIOR * F.col(f"every_{q}")) / (F.col("lang_docs") + PRIOR)
+        return (F.col("own_docs") * F.col(f"own_{q}") + PRIOR * lang) / (F.col("own_docs") + PRIOR)
+
+    all_ = all_.select("lang", "source", "signal", *(blended(q).alias(q) for q in ("low", "middle", "high")))
+    low, high = F.col("low") - (F.col("middle") - F.col("low")), F.col("high") + (F.col("high") - F.col("middle"))
+    of = lambda k, fence: F.max(F.when(F.col("signal") == k, fence))
+    return all_.groupBy("lang", "source").agg(*(of(k, low).alias(f"low_{k}") for k, v in SIGNALS.items() if v[2]), *(of(k, high).alias(f"high_{k}") for k in SIGNALS))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -116,14 +127,15 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     measured = written(measures(docs), "quality")
     fences = thresholds(sketches(measured)).withColumnsRenamed({"lang": "fence_lang", "source": "fence_source"})
+    # A few numbers a source: they go out to the rows while they are few, so a source with a third of all rows isn't one task.
+    fences = sized(written(fences, "fences"), 200_000)
     key = {c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source")}
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    within = F.lit(True)
-    for k, v in signals().items():
-        value = F.when(F.col("n_words") > 0, v)
-        within = within & F.coalesce(value <= F.col(f"high_{k}"), F.lit(True))
-        if SIGNALS[k][1]:
-            within = within & F.coalesce(value >= F.col(f"low_{k}"), F.lit(True))
+    failed = base_failed()
+    within, least, most = F.lit(True), signals(-SURE), signals(SURE)
+    for k, (_, _, both) in SIGNALS.items():
+        within = within & F.coalesce(F.when(F.col("n_words") > 0, least[k]) <= F.col(f"high_{k}"), F.lit(True))
+        if both:
+            within = within & F.coalesce(F.when(F.col("n_words") > 0, most[k]) >= F.col(f"low_{k}"), F.lit(True))
     found = measured.join(fences, (key["lang"] == F.col("fence_lang")) & (key["source"] == F.col("fence_source")), "left")
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & within).alias("kept"))
 
@@ -148,9 +160,12 @@ m AS (
          n_lines, n_dup_lines::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM words JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
 v AS (
-  SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, signal, value FROM (
+  SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, signal, value, least, most FROM (
     SELECT *, unnest(['mean_word_chars', 'symbols_per_word', 'dup_lines_per_line', 'repeated_words']) AS signal,
-           unnest([word_chars / n_words, n_symbols / n_words, n_dup_lines / n_lines, n_repeat_words / n_words]) AS value FROM m WHERE n_words > 0)),
+           unnest([word_chars / n_words, n_symbols / n_words, n_dup_lines / n_lines, n_repeat_words / n_words]) AS value,
+           unnest([(word_chars - {SURE} * sqrt(word_chars)) / n_words, (n_symbols - {SURE} * sqrt(n_symbols)) / n_words, (n_dup_lines - {SURE} * sqrt(n_dup_lines)) / n_lines, (n_repeat_words - {SURE} * sqrt(n_repeat_words)) / n_words]) AS least,
+           unnest([(word_chars + {SURE} * sqrt(word_chars)) / n_words, (n_symbols + {SURE} * sqrt(n_symbols)) / n_words, (n_dup_lines + {SURE} * sqrt(n_dup_lines)) / n_lines, (n_repeat_words + {SURE} * sqrt(n_repeat_words)) / n_words]) AS most
+    FROM m WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words)),
 s AS (
   SELECT lang, source, signal, CASE WHEN value > 0 THEN ceil(ln(value) / {math.log(GAMMA)!r})::INT ELSE -1000000 END AS bucket, count(*) AS n FROM v GROUP BY ALL),
 c AS (
@@ -161,18 +176,18 @@ r AS (
   SELECT *, sum(n) OVER (PARTITION BY kind, lang, source, signal ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY kind, lang, source, signal) AS total,
          CASE WHEN bucket = -1000000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / ({GAMMA!r} + 1) END AS value FROM c),
 q AS (
-  SELECT kind, lang, source, signal, max(total) AS docs, min(value) FILTER (upto >= 0.25 * total) AS q1, min(value) FILTER (upto >= 0.75 * total) AS q3
+  SELECT kind, lang, source, signal, max(total) AS docs, min(value) FILTER (upto >= {LOW}::DOUBLE * total) AS low,
+         min(value) FILTER (upto >= {MIDDLE}::DOUBLE * total) AS middle, min(value) FILTER (upto >= {HIGH}::DOUBLE * total) AS high
   FROM r GROUP BY kind, lang, source, signal),
-f AS (
-  SELECT *, q1 - {FENCE} * greatest(q3 - q1, least_spread) AS low, q3 + {FENCE} * greatest(q3 - q1, least_spread) AS high FROM (
-    SELECT *, CASE signal {' '.join(f"WHEN '{k}' THEN {x}" for k, (x, _) in SIGNALS.items())} END AS least_spread FROM q)),
-picked AS (
+blended AS (
   SELECT o.lang, o.source, o.signal,
-         CASE WHEN o.docs >= {LEAST_DOCS} THEN o.low WHEN l.docs >= {LEAST_DOCS} THEN l.low ELSE e.low END AS low,
-         CASE WHEN o.docs >= {LEAST_DOCS} THEN o.high WHEN l.docs >= {LEAST_DOCS} THEN l.high ELSE e.high END AS high
-  FROM f o JOIN f l ON l.kind = 'lang' AND l.lang = o.lang AND l.signal = o.signal JOIN f e ON e.kind = 'every' AND e.signal = o.signal WHERE o.kind = 'own'),
+         (o.docs * o.low + {PRIOR} * ((l.docs * l.low + {PRIOR} * e.low) / (l.docs + {PRIOR}))) / (o.docs + {PRIOR}) AS low,
+         (o.docs * o.middle + {PRIOR} * ((l.docs * l.middle + {PRIOR} * e.middle) / (l.docs + {PRIOR}))) / (o.docs + {PRIOR}) AS middle,
+         (o.docs * o.high + {PRIOR} * ((l.docs * l.high + {PRIOR} * e.high) / (l.docs + {PRIOR}))) / (o.docs + {PRIOR}) AS high
+  FROM q o JOIN q l ON l.kind = 'lang' AND l.lang = o.lang AND l.signal = o.signal JOIN q e ON e.kind = 'every' AND e.signal = o.signal WHERE o.kind = 'own'),
+picked AS (SELECT lang, source, signal, low - (middle - low) AS low, high + (high - middle) AS high FROM blended),
 outside AS (
-  SELECT DISTINCT doc_id FROM v JOIN picked USING (lang, source, signal) WHERE value > high OR signal = 'mean_word_chars' AND value < low),
+  SELECT DISTINCT doc_id FROM v JOIN picked USING (lang, source, signal) WHERE least > high OR signal = 'mean_word_chars' AND most < low),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept

@@ -1,5 +1,6 @@
 """URL filter, quality rules, sharding and language ID against brute force."""
 
+import math
 import random
 import re
 import zlib
@@ -144,15 +145,40 @@ def test_sketch_quantiles_are_accurate_and_merge(spark):
     rng = random.Random(7)
     rows = [(rng.randint(50, 900), rng.randint(200, 9000), rng.randrange(9), 10, 0, 0, "en", f"s{k % 3}") for k in range(3000)]
     df = spark.createDataFrame(rows, "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, lang string, source string")
-    spread = op4_quality.FENCE
     for by, keep in (([], lambda r: True), (["source"], lambda r: r[7] == "s1")):
-        found = op4_quality._fences(op4_quality.sketches(df), by).where("signal = 'mean_word_chars'")
+        found = op4_quality.quantiles(op4_quality.sketches(df), by).where("signal = 'mean_word_chars'")
         found = (found.where("source = 's1'") if by else found).first()
         values = sorted(r[1] / r[0] for r in rows if keep(r))
-        q1, q3 = (values[-(-len(values) * q // 4) - 1] for q in (1, 3))
         assert found.docs == len(values)
-        assert found.low == pytest.approx(q1 - spread * (q3 - q1), abs=0.02 * (q1 + q3) * (1 + spread))
-        assert found.high == pytest.approx(q3 + spread * (q3 - q1), abs=0.02 * (q1 + q3) * (1 + spread))
+        for q, got in ((0.05, found.low), (0.5, found.middle), (0.95, found.high)):
+            assert got == pytest.approx(values[math.ceil(q * len(values)) - 1], rel=0.011)
+
+
+def test_quality_fences_move_with_their_group(spark):
+    """No fixed cut-off gives these verdicts: what is odd in one source is usual in another, and when a source changes so do they."""
+    rng = random.Random(16)
+
+    def text(symbols, n=200):
+        own = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))) for _ in range(n)]
+        for k in rng.sample(range(n), symbols):
+            own[k] += "#"
+        return " ".join(own)
+
+    probes = [(9000, text(70), "en", "prose"), (9001, text(80), "en", "code"), (9002, text(3), "en", "prose"), (9003, text(199), "en", "prose")]
+    for usual, want in ((0, {9000: False, 9001: True, 9002: True, 9003: False}), (80, {9000: True, 9001: True, 9002: True, 9003: False})):
+        rows = [(k, text(usual if k % 2 else rng.randint(60, 100)), "en", "prose" if k % 2 else "code") for k in range(1600)]
+        got = {r.doc_id: r.kept for r in op4_quality.judge(spark.createDataFrame(rows + probes, "doc_id long, text string, lang string, source string")).collect()}
+        assert {k: got[k] for k in want} == want and sum(got.values()) >= 1600 - 8
+
+
+def test_quality_fences_change_smoothly_with_a_group(spark):
+    cells = [("en", "big", 5, 4000), ("en", "big", 60, 4000), ("xx", "s", 5, 500)]
+    found = []
+    for n in (99, 100, 101):
+        rows = [(lang, source, "symbols_per_word", b, k) for lang, source, b, k in [*cells, ("en", "small", 90, n)]]
+        fence = op4_quality.thresholds(spark.createDataFrame(rows, "lang string, source string, signal string, bucket int, n long")).where("source = '=small'").first()
+        found.append(fence.high_symbols_per_word)
+    assert max(found) / min(found) < 1.01
 
 
 def fewest(sizes, shards):
