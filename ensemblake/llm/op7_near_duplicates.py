@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, sized, table, written
@@ -142,8 +142,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (a[1].sum() + b[1].sum() - both)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash of the text), text: what tells rows apart where one id has several texts."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
 def signed(docs: DataFrame, counted: bool = False) -> DataFrame:
-    """doc_id, digest of the words, bands: a hash of each band of the signature. Texts without words get no row."""
+    """A row for each of keyed(docs): doc_id, text_key, digest of the words, bands: a hash of each band of the signature.
+
+    Rows without an id, and texts without words, have neither digest nor bands.
+    """
     prepare(docs.sparkSession)
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * STEP)
     odd = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -152,24 +160,36 @@ def signed(docs: DataFrame, counted: bool = False) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 few = batch.slice(at, BATCH)
-                own = [normal(x) for x in few.column(1).to_pylist()]
+                own = [normal(x) if known else b"" for x, known in zip(few.column(2).to_pylist(), few.column(0).is_valid().to_pylist(), strict=True)]
                 there = [k for k, x in enumerate(own) if x]
-                if not there:
-                    continue
-                names = signatures([weighted_set(own[k], counted) for k in there]).reshape(len(there), BANDS, ROWS)
-                bands = mix((names * odd).sum(axis=2, dtype=np.uint64) ^ salt).astype(np.int64)
-                digest = [hashlib.blake2b(own[k], digest_size=16).digest() for k in there]
-                yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(there)), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))], names=["doc_id", "digest", "bands"])
+                bands: list = [None] * len(own)
+                if there:
+                    names = signatures([weighted_set(own[k], counted) for k in there]).reshape(len(there), BANDS, ROWS)
+                    for k, x in zip(there, mix((names * odd).sum(axis=2, dtype=np.uint64) ^ salt).astype(np.int64), strict=True):
+                        bands[k] = x
+                digest = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in own]
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "digest", "bands"])
+
+    return keyed(docs).mapInArrow(sign, f"doc_id {docs.select('doc_id').dtypes[0][1]}, text_key long, digest binary, bands array<long>")
+
+
+class Texts:
+    """Texts of nodes: a node stands for all copies of a text, and has the id and key of one of them."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame):
+        self.docs, self.reps = docs, reps.select("node", "doc_id", "text_key")
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {docs.select('doc_id').dtypes[0][1]}, digest binary, bands array<long>")
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """node, text of the nodes given; only these texts are moved."""
+        wanted = sized(written(nodes.distinct().join(self.reps, "node"), "wanted"))
+        found = keyed(self.docs).join(wanted, ["doc_id", "text_key"])
+        return written(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, counted: bool, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose texts have at least the threshold's exact similarity. Only texts of documents in a pair are moved."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(sized(written(ids, "pair-ids")), "doc_id", "left_semi"), "pair-texts")
-    left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
-    kind = pairs.dtypes[0][1]
+def checked(pairs: DataFrame, texts: Texts, counted: bool, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose texts have at least the threshold's exact similarity."""
+    own = texts.of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+    left, right = own.toDF("a", "left"), own.toDF("b", "right")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -182,68 +202,80 @@ def checked(pairs: DataFrame, docs: DataFrame, counted: bool, threshold: float)
                 keep += [k] if similarity(weighted_set(normal(x), counted), own) >= threshold else []
             yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, f"a {kind}, b {kind}")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = SIMILARITY, counted: bool = False) -> DataFrame:
-    """doc_id, class_id (the smallest id of its class), class_size for every row of docs (doc_id, text).
+def classes(reps: DataFrame, docs: DataFrame, threshold: float = SIMILARITY, counted: bool = False) -> DataFrame:
+    """node, component: connected nodes of different texts whose word shingles have a similarity of the threshold or more.
 
-    Texts with the same lower-case words are copies. Different texts are linked at a similarity of the threshold or more of their word shingles, and
-    classes are what links connect. Texts without words, null ones too, are never copies: each is its own class, as are rows without an id.
-
-    Copies are one representative from the start. In a band's bucket a member is first compared with its smallest leader, then with its other
-    leaders, then members of one bucket that are still in different classes with each other: no pair that shares a band goes
-    unlinked, but members already connected aren't compared, so a large group costs about one check a member.
+    In a band's bucket a member is first compared with its smallest leader, then with its other leaders, then members of
+    buckets that are still in different classes with each other: no pair that shares a band goes unlinked, but
+    members already connected aren't compared, so a large group costs about one check a member.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null AND text is not null")
-    sign = written(signed(docs, counted), "signed")
-    reps = written(sign.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives")
-    members = written(reps.select(F.explode("bands").alias("bucket"), "rep").distinct(), "members")
-    leaders = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
+    texts = Texts(docs, reps)
+    members = written(reps.select(F.explode("bands").alias("bucket"), "node").distinct(), "members")
+    leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
     # Only buckets with company matter from here on.
     members = written(members.join(leaders, "bucket"), "company")
-    tried = written(members.where("rep <> leader").groupBy("rep").agg(F.min("leader").alias("b")).select(F.col("rep").alias("a"), "b"), "pairs")
-    links = written(checked(tried, docs, counted, threshold), "links")
+    tried = written(members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("b")).select(F.col("node").alias("a"), "b"), "pairs")
+    links = written(checked(tried, texts, counted, threshold), "links")
     placed = _placed(members, links)
-    more = placed.where("class <> leader_class").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = placed.where("class <> leader_class").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(more, "pairs")
-    links = written(links.unionByName(checked(more, docs, counted, threshold)), "links")
+    links = written(links.unionByName(checked(more, texts, counted, threshold)), "links")
     placed = _placed(members, links)
-    rest = _apart(placed, docs, counted, threshold)
+    rest = _apart(placed, texts, counted, threshold)
     both = tried.unionByName(more)
     rest = written(rest.join(both, ["a", "b"], "left_anti"), "pairs")
-    links = written(links.unionByName(checked(rest, docs, counted, threshold)), "links")
-    parts = connected_components(links)
-    found = sign.join(reps.select("digest", "rep"), "digest").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    links = written(links.unionByName(checked(rest, texts, counted, threshold)), "links")
+    return connected_components(links)
 
 
 def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     """members with the classes that the links so far give them and their leaders."""
     parts = connected_components(links)
-    own = parts.select(F.col("node").alias("rep"), F.col("component").alias("own"))
+    own = parts.select("node", F.col("component").alias("own"))
     lead = parts.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
-    found = members.join(own, "rep", "left").join(lead, "leader", "left")
-    return written(found.select("bucket", "rep", "leader", F.coalesce("own", "rep").alias("class"), F.coalesce("lead", "leader").alias("leader_class")), "placed")
+    found = members.join(own, "node", "left").join(lead, "leader", "left")
+    return written(found.select("bucket", "node", "leader", F.coalesce("own", "node").alias("class"), F.coalesce("lead", "leader").alias("leader_class")), "placed")
+
+
+#: Nodes that one task joins to all others of a shingle.
+SPLIT = 1000
 
 
-def _apart(placed: DataFrame, docs: DataFrame, counted: bool, threshold: float) -> DataFrame:
-    """Pairs of one bucket's members in different classes that may still be near.
+def _apart(placed: DataFrame, texts: Texts, counted: bool, threshold: float) -> DataFrame:
+    """Pairs of members of mixed buckets, in different classes, that may still be near.
 
-    Two exact bounds leave out the rest. What two texts share is at most what either shares with any text of these buckets: its
-    weight without the shingles that no other has; for a similarity t two of weights m and n must share t / (1 + t) (m + n). And
-    where the parities of two texts' shingles differ in a cell, a shingle differs; at most (1 - t) / (1 + t) (m + n) may.
+    Texts are joined by their rarest shingles alone: with shingles in one order, rare ones first, two texts of similarity t share one among
+    those that a text can lose and still keep t of its weight. So texts on one template, all of them in one bucket,
+    aren't multiplied by each other for what they all share. A shingle of many texts is dealt to several tasks. Three exact bounds leave out more pairs:
+    weights differ by a factor of t at most; what two share is at most what either shares with any other, and must be t / (1 + t) of both weights; where
+    parities of two texts' shingles differ in a cell a shingle differs, and (1 - t) / (1 + t) of both weights may.
     """
     mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-    inside = written(placed.join(sized(written(mixed, "mixed")), "bucket", "left_semi").select("bucket", "rep", "class", (F.col("class") != F.col("leader_class")).alias("strange")), "mixed-members")
-    shared = _shared(docs.join(sized(written(inside.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")), "doc_id", "left_semi"), counted)
-    inside = written(inside.join(shared, "rep").where(F.col("shared") >= threshold * F.col("weight") - 1e-6), "mixed-members")
-    x, y = (inside.select("bucket", *(F.col(c).alias(f"{p}_{c}") for c in inside.columns if c != "bucket")) for p in "xy")
-    both = F.col("x_weight") + F.col("y_weight")
-    cells = sum((F.bit_count(F.col(f"x_p{k}").bitwiseXOR(F.col(f"y_p{k}"))) for k in range(1, PARITIES)), F.bit_count(F.col("x_p0").bitwiseXOR(F.col("y_p0"))))
-    near = (F.least("x_shared", "y_shared") >= threshold / (1 + threshold) * both - 1e-6) & (cells <= (1 - threshold) / (1 + threshold) * both + 1e-6)
-    pairs = x.where("x_strange").join(y, "bucket").where((F.col("x_class") != F.col("y_class")) & near)
-    return pairs.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct()
+    inside = placed.join(sized(written(mixed, "mixed")), "bucket", "left_semi")
+    inside = written(inside.groupBy("node").agg(F.min("class").alias("class"), F.max(F.col("class") != F.col("leader_class")).alias("strange")), "mixed-members")
+    sets = _sets(texts.of(inside.select("node")), counted)
+    cells = sets.select("node", "weight", F.inline(F.arrays_zip("shingles", "weights")))
+    # A shingle of one text alone joins nothing; it only counts as lost.
+    common = cells.groupBy("shingles").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cells = cells.join(common, "shingles")
+    shared = cells.groupBy("node").agg(F.sum("weights").alias("shared"))
+    before = Window.partitionBy("node").orderBy("n", "shingles").rowsBetween(Window.unboundedPreceding, -1)
+    lost = F.coalesce(F.sum("weights").over(before), F.lit(0.0))
+    first = cells.withColumn("lost", lost).join(shared, "node").where(F.col("weight") - F.col("shared") + F.col("lost") <= (1 - threshold) * F.col("weight") + 1e-6)
+    first = written(first.join(inside, "node").select("node", "class", "strange", "weight", "shared", "shingles", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "rare-shingles")
+    x, y = (first.select("shingles", "parts", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "class", "strange", "weight", "shared"))) for p in "xy")
+    x = x.where("x_strange").withColumn("part", F.pmod(F.xxhash64("x_node"), F.col("parts")).cast("int")).drop("parts")
+    y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    w, v = F.col("x_weight"), F.col("y_weight")
+    near = (F.least(w, v) >= threshold * F.greatest(w, v) - 1e-6) & (F.least("x_shared", "y_shared") >= threshold / (1 + threshold) * (w + v) - 1e-6)
+    pairs = x.join(y, ["shingles", "part"]).where((F.col("x_class") != F.col("y_class")) & near)
+    pairs = written(pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct(), "near-pairs")
+    bits = lambda c: sets.select(F.col("node").alias(c), F.col("weight").alias(f"{c}_weight"), F.col("bits").alias(f"{c}_bits"))
+    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    return pairs.join(bits("a"), "a").join(bits("b"), "b").where(differ <= (1 - threshold) / (1 + threshold) * (F.col("a_weight") + F.col("b_weight")) + 1e-6).select("a", "b")
 
 
 #: 64-bit words of a text's parities.
@@ -256,42 +288,50 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _shared(docs: DataFrame, counted: bool) -> DataFrame:
-    """rep, weight of its shingles, parities p0, p1, ..., and shared: the weight without those that occur in no other of docs.
-
-    Only aggregates by shingle, whatever its frequency.
-    """
+def _sets(texts: DataFrame, counted: bool) -> DataFrame:
+    """node, shingles, weights, weight (their sum), bits (parities) of texts (node, text)."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 few = batch.slice(at, BATCH)
                 own = [weighted_set(normal(x), counted) for x in few.column(1).to_pylist()]
-                if not own:
-                    continue
                 ends = pa.array(np.concatenate(([0], np.cumsum([len(s) for s, _ in own]))).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in own]).astype(t))) for k, t in ((0, np.int64), (1, np.float64))]
-                words = np.stack([parities(s) for s, _ in own])
-                yield pa.RecordBatch.from_arrays([few.column(0), *lists, pa.array([w.sum() for _, w in own], pa.float64()), *(pa.array(words[:, k]) for k in range(PARITIES))], names=["rep", "shingles", "weights", "weight", *(f"p{k}" for k in range(PARITIES))])
+                bits = pa.array([parities(s) for s, _ in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([few.column(0), *lists, pa.array([w.sum() for _, w in own], pa.float64()), bits], names=["node", "shingles", "weights", "weight", "bits"])
 
-    kind = docs.select("doc_id").dtypes[0][1]
-    names = [f"p{k}" for k in range(PARITIES)]
-    found = docs.select("doc_id", "text").mapInArrow(sets, f"rep {kind}, shingles array<long>, weights array<double>, weight double, " + ", ".join(f"{n} long" for n in names))
-    found = written(found, "shingle-sets")
-    cells = found.select("rep", F.inline(F.arrays_zip("shingles", "weights")))
-    alone = cells.groupBy("shingles").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("weights").alias("w")).where("rep = other")
-    alone = alone.groupBy("rep").agg(F.sum("w").alias("own"))
-    return written(found.drop("shingles", "weights").join(alone, "rep", "left").withColumn("shared", F.col("weight") - F.coalesce("own", F.lit(0.0))).drop("own"), "shared")
+    return written(texts.select("node", "text").mapInArrow(sets, "node long, shingles array<long>, weights array<double>, weight double, bits array<long>"), "shingle-sets")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, counted: bool = False) -> DataFrame:
-    """doc_id, class_id, n_links (documents of other texts or copies that are in its class) for every row of docs."""
+    """A row for every row of docs (doc_id, text): doc_id, class_id, n_links, text_key, first.
+
+    Texts with the same lower-case words are copies, and different texts are linked at a similarity of the threshold or more of their word
+    shingles; classes are what copies and links connect. class_id: the smallest id of the class. n_links: other documents in the class, where a document is an id with a text.
+    first: whether the row is the class's document of the smallest id (of several texts with that id, one). Rows that share an id but not a
+    text are documents of their own, so class_id alone doesn't tell two classes apart that have a smallest id in common.
+    Texts without words, null ones too, and rows without an id are each a class of their own. Repeated rows get the same answer each.
+    """
     own = docs.select("doc_id", "text")
-    found = classes(own, threshold, counted).distinct()
-    sized = found.groupBy("class_id").agg((F.count(F.lit(1)) - 1).alias("n_links"))
-    found = found.join(sized, "class_id")
-    return own.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    sign = written(signed(own, counted), "signed")
+    # A node's number stands for its text from here on; it is fixed by being written.
+    reps = sign.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("bands").alias("bands"))
+    reps = written(reps.select("digest", "r.doc_id", "r.text_key", "bands", F.monotonically_increasing_id().alias("node")), "representatives")
+    parts = written(classes(reps, own, threshold, counted), "classes")
+    rows = sign.where("digest is not null").select("digest", "doc_id", "text_key").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    # Every copied or linked text has a label; the others are classes of one.
+    label = reps.select("digest", "doc_id", "text_key", "node").join(rows, "digest").join(parts, "node", "left")
+    label = label.where("n > 1 OR component is not null").select("digest", "n", F.coalesce("component", "node").alias("class"), F.struct("doc_id", "text_key").alias("r"))
+    label = written(label, "labels")
+    top = label.groupBy("class").agg(F.min("r").alias("top"), (F.sum("n") - 1).alias("n_links"))
+    label = label.select("digest", "class").join(top, "class").select("digest", "top", "n_links")
+    found = sign.select("doc_id", "text_key", "digest").join(label, "digest", "left")
+    return found.select(
+        "doc_id", F.coalesce("top.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key",
+        F.coalesce((F.col("doc_id") == F.col("top.doc_id")) & (F.col("text_key") == F.col("top.text_key")), F.lit(True)).alias("first"),
+    )
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")

@@ -91,6 +91,30 @@ def test_no_duplicates_no_rows_repeated_rows(spark):
     assert near.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_id_on_several_texts(spark):
+    a, b = "one two three four five six seven", "a text that no other row has at all"
+    rows = [(1, a), (0, a), (1, b), (None, b), (1, None), (2, a.upper()), (1, a)]
+    got = sorted((str(r.doc_id), r.class_id, r.n_links, r.first) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(1, 0, 2, False), (0, 0, 2, True), (1, 1, 0, True), (None, None, 0, True), (1, 1, 0, True), (2, 0, 2, False), (1, 0, 2, False)]
+    assert got == sorted((str(k), *x) for k, *x in want)
+
+
+@pytest.mark.parametrize("split", [3, 1000])
+def test_texts_on_a_template(spark, monkeypatch, split):
+    """Many texts that share bands but aren't near, a few near pairs among them."""
+    monkeypatch.setattr(near, "SPLIT", split)
+    rng = random.Random(21)
+    frame, rows = words(rng, 160), []
+    for k in range(60):
+        own = frame + words(rng, 30)
+        rows.append((2 * k, " ".join(own)))
+        if k % 6 == 0:
+            rows.append((2 * k + 1, " ".join(edited(rng, own, 1))))
+    want, _ = brute(rows)
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: want[k] for k, _ in rows} and len(set(want.values())) < len(rows)
+
+
 def score(a, b):
     row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     best = 0
