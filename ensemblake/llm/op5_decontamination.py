@@ -1,18 +1,18 @@
-"""Benchmark decontamination: seeds of two near words find candidates without loss, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare n-gram seeds join texts to items, Smith-Waterman alignment scores what they find."""
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, sized, table, written
+from .op7_near_duplicates import STEP, keyed, mix, normal, windows
 
 WORD = re.compile(r"\w+")
 #: Seeds: two words of an item, next to each other or with one between, that are so in a text. The distances in the item
@@ -22,10 +22,10 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: A passage is a copy if its alignment has this share of the item's full score, or the score of so many equal words in a row.
 #: Items of fewer than WHOLE words must be there whole, since half of two is any one word.
 SHARE, RUN, WHOLE = 0.5, 13, 3
-#: Benchmark items searched for at a time; a larger benchmark is searched in so many passes.
-BLOCK_ITEMS = 20_000
-#: Texts are searched together up to so many words times items.
-TOGETHER = 40_000_000
+#: Bits of the filter that texts are read through: so many a seed, and at most so many. What it lets through in error the join drops.
+FILTER_BITS, MOST_BITS = 16, 1 << 28
+#: Bytes of texts that are searched together.
+TOGETHER = 1_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -51,132 +51,39 @@ def reach(n: int) -> int:
     return int(3 * n - least(n))
 
 
+def commonest(n: int) -> int:
+    """Places of an item of n words whose seeds aren't looked for: half of those that a copy can do without."""
+    return max(0, int(least(n) - MATCH - 1) // 2) // 2
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman with linear gaps: best score, and the aligned part of the text as [start, end) words.
 
-    A row at a time; a row's own gaps are a running maximum.
+    A row at a time, of which one is kept; a row's own gaps are a running maximum. Where the best alignment starts is where one that goes
+    back from its end has its score.
     """
-    n, m = len(item), len(text)
+    m = len(text)
     slope = np.arange(m + 1) * -GAP
-    score = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(1, n + 1):
-        row = np.zeros(m + 1, np.int32)
-        np.maximum(score[i - 1, :-1] + np.where(text == item[i - 1], MATCH, MISMATCH), score[i - 1, 1:] + GAP, out=row[1:])
-        np.maximum(row, 0, out=row)
-        score[i] = np.maximum.accumulate(row + slope) - slope
-    i, j = (int(x) for x in np.unravel_index(score.argmax(), score.shape))
-    best, end = int(score[i, j]), j
-    while score[i, j]:
-        if score[i, j] == score[i - 1, j - 1] + (MATCH if item[i - 1] == text[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, j, end
-
-
-class Search:
-    """Finds the items of a benchmark block in whole texts.
-
-    An alignment's score is that of one match and what each step to the next match adds: MATCH less the step's errors. Steps of two
-    errors or more add nothing, so a copy has seeds in reach whose sum is at least least(n) - MATCH. No other places are aligned, and none that may hold a copy is left out.
-    """
-
-    def __init__(self, items: dict[int, list[str]]):
-        self.items = items
-        self.codes: dict[str, int] = {}
-        for own in items.values():
-            for w in own:
-                self.codes.setdefault(w, len(self.codes))
-        self.coded = {k: np.array([self.codes[w] for w in own], np.int32) for k, own in items.items()}
-        self.ids = list(items)
-        sizes = [len(own) for own in items.values()]
-        self.least, self.reach = np.array([least(n) for n in sizes]), np.array([reach(n) for n in sizes], np.int64)
-        self.gap = int(self.reach.max(initial=0)) + 1
-        self.seeds = {d: self._seeds(d) for d in (0, 1, 2)}
-
-    def _seeds(self, d: int) -> tuple[np.ndarray, ...]:
-        """Of words at distance d in a text: keys in order, where each key's items start (one more at the end), items, what they add. d = 0: items of one word."""
-        best: dict[tuple[int, int], int] = {}
-        for k, own in enumerate(self.coded.values()):
-            row = own.tolist()
-            for e, adds in [(e, v) for (e, at), v in STEPS.items() if at == d] or ([(0, 0)] if len(row) == 1 else []):
-                for a, b in zip(row, row[e:], strict=False):
-                    at = (a * len(self.codes) + b, k)
-                    best[at] = max(best.get(at, 0), adds)
-        rows = np.array([(*at, adds) for at, adds in sorted(best.items())], np.int64).reshape(-1, 3)
-        keys, first = np.unique(rows[:, 0], return_index=True)
-        return keys, np.append(first, len(rows)), rows[:, 1], rows[:, 2]
-
-    def candidates(self, texts: list[list[str]]) -> dict[int, dict[int, list[tuple[int, int]]]]:
-        """Text: item: spans of words that hold all its copies, joined where they overlap."""
-        sizes = np.array([len(own) for own in texts], np.int64)
-        # Texts lie further apart than any alignment reaches.
-        starts = np.cumsum(sizes + self.gap) - sizes - self.gap
-        code = np.full(int((sizes + self.gap).sum()) + 2, -1, np.int64)
-        for own, a in zip(texts, starts.tolist(), strict=True):
-            code[a : a + len(own)] = np.fromiter(map(self.codes.get, own, repeat(-1)), np.int64, len(own))
-        known = np.flatnonzero(code >= 0)
-        width, found = len(code), []
-        for d, (keys, first, items, adds) in self.seeds.items():
-            if not len(keys):
-                continue
-            at = known[code[known + d] >= 0]
-            key = code[at] * len(self.codes) + code[at + d]
-            k = np.searchsorted(keys, key)
-            hit = keys[np.minimum(k, len(keys) - 1)] == key
-            at, k = at[hit], k[hit]
-            n = first[k + 1] - first[k]
-            row = np.arange(int(n.sum())) + np.repeat(first[k] - np.cumsum(n) + n, n)
-            found.append((items[row] * width + np.repeat(at, n)) * (MATCH + 1) + adds[row])
-        hits = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        place, adds = hits // (MATCH + 1), hits % (MATCH + 1)
-        last = np.append(place[1:] != place[:-1], True)[: len(place)]
-        place, adds = place[last], adds[last]
-        item = place // width
-        total = np.append(0, np.cumsum(adds))
-        inside = total[1:] - total[np.searchsorted(place, np.maximum(place - self.reach[item], item * width - 1), "right")]
-        near: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        good = np.flatnonzero(inside >= self.least[item] - MATCH)
-        texts_of = np.searchsorted(starts, place[good] % width, "right") - 1
-        for t, k, p in zip(texts_of.tolist(), item[good].tolist(), (place[good] % width - starts[texts_of]).tolist(), strict=True):
-            a, z = max(0, p - int(self.reach[k])), min(int(sizes[t]), p + int(self.reach[k]) + 1)
-            spans = near[t][self.ids[k]]
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], z)
-            else:
-                spans.append((a, z))
-        return near
-
-    def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
-        """(place in texts, item, share of its full score, start, end in code points): the best passage for each item found in each text."""
-        most, held, total = TOGETHER // max(200, len(self.items)), [], 0
-        for k, text in enumerate(texts):
-            if own := words(text):
-                held.append((k, own))
-                total += len(own)
-            if held and (total >= most or k == len(texts) - 1):
-                near = self.candidates([own for _, own in held])
-                for t in sorted(near):
-                    at, own = held[t]
-                    for item, share, a, z in self._best(own, near[t]):
-                        places = spans_of(texts[at])
-                        yield at, item, share, places[a][0], places[z - 1][1]
-                held, total = [], 0
-
-    def _best(self, own: list[str], near: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, float, int, int]]:
-        for item, spans in sorted(near.items()):
-            coded, best = self.coded[item], (0, 0, 0)
-            enough, wanted = least(len(coded)), set(self.items[item])
-            for a, z in spans:
-                part = own[a:z]
-                if most_of(part, wanted) < max(best[0], enough):
-                    continue  # not even all its words in order would do
-                score, s, e = align(coded, np.array([self.codes.get(w, -1) for w in part], np.int32))
-                best = max(best, (score, a + s, a + e), key=lambda x: (x[0], -x[1]))
-            if best[0] >= enough:
-                yield item, best[0] / (MATCH * len(coded)), best[1], best[2]
+    row, best, at, end = np.zeros(m + 1, np.int64), 0, 0, 0
+    for i, w in enumerate(item.tolist()):
+        new = np.zeros(m + 1, np.int64)
+        np.maximum(row[:-1] + np.where(text == w, MATCH, MISMATCH), row[1:] + GAP, out=new[1:])
+        np.maximum(new, 0, out=new)
+        row = np.maximum.accumulate(new + slope) - slope
+        if (top := int(row.max())) > best:
+            best, at, end = top, i + 1, int(row.argmax())
+    if not best:
+        return 0, 0, 0
+    back = text[max(0, end - at * (MATCH - GAP)) : end][::-1]
+    slope = np.arange(len(back) + 1) * -GAP
+    row = -slope
+    for i, w in enumerate(item[:at][::-1].tolist()):
+        new = np.full(len(back) + 1, (i + 1) * GAP)
+        np.maximum(row[:-1] + np.where(back == w, MATCH, MISMATCH), row[1:] + GAP, out=new[1:])
+        row = np.maximum.accumulate(new + slope) - slope
+        if row.max() == best:
+            return best, end - int(row.argmax()), end
+    raise AssertionError("an alignment has a start")
 
 
 def most_of(part: list[str], wanted: set[str]) -> int:
@@ -188,36 +95,215 @@ def most_of(part: list[str], wanted: set[str]) -> int:
     return best
 
 
+def pair_keys(a: np.ndarray, b: np.ndarray, d: int) -> np.ndarray:
+    """Seeds of words with these hashes at distance d in a text; d = 0: single words."""
+    return mix(a * np.uint64(0x9FB21C651E98DF25) + b * np.uint64(0xD6E8FEB86659FD93) + np.uint64(int(STEP) * (d + 1) % 2**64))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words in order: hash, which text it is in, its place there."""
+    raw = np.frombuffer(b"\n".join(map(normal, texts)), np.uint8)
+    gaps = np.flatnonzero((raw == 32) | (raw == 10))
+    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(raw)]))
+    text = np.concatenate(([0], np.cumsum(raw[gaps] == 10)))
+    there = ends > starts
+    starts, ends, text = starts[there], ends[there], text[there]
+    first = np.searchsorted(text, np.arange(len(texts)))
+    return windows(raw, starts, ends), text, np.arange(len(text)) - first[text]
+
+
+def seeds_of(text: str) -> list[tuple[int, int, int]]:
+    """(place in the item, seed as a signed number, what it adds) of an item's text."""
+    own, _, _ = word_hashes([text])
+    if len(own) == 1:
+        return [(0, int(pair_keys(own, own, 0).view(np.int64)[0]), 0)]
+    out = []
+    for (e, d), adds in STEPS.items():
+        keys = pair_keys(own[:-e], own[e:], d).view(np.int64).tolist()
+        out += [(k, key, adds) for k, key in enumerate(keys)]
+    return out
+
+
+class Filter:
+    """A set of seeds as bits: what isn't in it is no seed, few others are let through."""
+
+    def __init__(self, seeds: DataFrame):
+        bits = min(MOST_BITS, max(1 << 12, 1 << (FILTER_BITS * seeds.count()).bit_length()))
+        own = seeds.select(F.pmod(F.col("seed"), F.lit(bits)).alias("at")).selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, cast(at % 64 AS int)) AS bit")
+        rows = own.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        words = np.zeros(bits // 64, np.int64)
+        words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+        self.mask, self.sent = np.uint64(bits - 1), seeds.sparkSession.sparkContext.broadcast(words)
+
+    def hits(self, texts: list[str | None], distances: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, place, seed) of what may be seeds at each distance."""
+        bits = self.sent.value.view(np.uint64)
+        own, text, place = word_hashes(texts)
+        for d in distances:
+            n = max(0, len(own) - d)
+            key = pair_keys(own[:n], own[d:], d)
+            at = key & self.mask
+            good = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            good = good[text[good] == text[good + d]]
+            yield text[good], place[good], key[good].view(np.int64)
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with some TOGETHER bytes of text each; a longer text is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, score (0 to 1), start, end: the best copy of each benchmark item that a document holds.
+    """doc_id, item_id, score (0 to 1), start, end, text_key: the best copy of each benchmark item that a document holds.
+
+    docs and benchmark (item_id, text) are compared in lower-case words; every row of docs is searched whole. Null and empty texts and items have no copies;
+    repeated rows are reported each, repeated items of one id once (the text that sorts first). Rows are told apart by id and text (text_key, see keyed()), so an id
+    may have several texts, or be null.
 
-    docs and benchmark (item_id, text) are compared in lower-case words; every row of docs is searched whole. Items are held in
-    blocks of BLOCK_ITEMS, so what is sent to workers is bounded. Null and empty texts and items have no copies;
-    repeated rows are reported each, repeated items of one id once.
+    An alignment's score is that of one match and what each step to the next match adds: MATCH less the step's errors. Steps of two errors or
+    more add nothing, so a copy has seeds in reach whose sum is at least least(n) - MATCH. Of each item the seeds at the places whose seeds are commonest
+    in docs are left out, and what they could add is taken off: what is left still must be there. Seeds of texts are joined to those of items;
+    where enough of an item's lie in reach of each other a text is aligned, so none that may hold a copy is left out. How often docs is read doesn't depend on the benchmark.
     """
     spark = docs.sparkSession
     prepare(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id is not null AND item_text is not null")
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    schema = f"doc_id {own.dtypes[0][1]}, item_id long, score double, start long, `end` long"
-    out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "item_text").collect()
-        block = {r.item_id: w for r in reversed(part) if (w := words(r.item_text))}
-        found = _search(own, Search(block)) if block else spark.createDataFrame([], schema)
-        out = found if out is None else out.unionByName(found)
+    items = _items(benchmark)
+    if items.isEmpty():
+        return spark.createDataFrame([], f"doc_id {own.dtypes[0][1]}, item_id long, score double, start long, `end` long, text_key long")
+    seeds = written(items.select("item_id", "n", "spare", "needed", F.inline("seeds")), "seeds")
+    distances = [d for d in (0, 1, 2) if d or not items.where("n = 1").isEmpty()]
+    kept = written(_rare(seeds, _counts(own, Filter(seeds.select("seed").distinct()), distances)), "rare-seeds")
+    hits = _hits(own, Filter(kept.select("seed").distinct()), distances)
+    # Few seeds go out to the hits; more are joined by a shuffle. A long text's hits of one place count once, by what they add at most.
+    found = hits.join(sized(kept.select("seed", "item_id", "adds")), "seed").groupBy("doc_id", "text_key", "item_id").agg(F.collect_list(F.struct("place", "adds")).alias("hits"), F.sum("adds").alias("sum"))
+    needed = kept.select("item_id", "n", "needed").distinct()
+    spans = written(_spans(found.join(sized(needed), "item_id").where("sum >= needed"), own.dtypes[0][1]), "spans")
+    wanted = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+    texts = keyed(own).join(sized(written(wanted, "leaky")), same, "left_semi")
+    cases = spans.join(items.select("item_id", "item_text"), "item_id").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("item_id", "item_text", "spans")).alias("cases"))
+    return _aligned(texts.join(cases, same).select("doc_id", "text_key", "text", "cases"))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_text, n words, spare (places left out), needed (sum of the rest's seeds in a copy), seeds: items with words, each id once."""
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("at", pa.int64()), ("seed", pa.int64()), ("adds", pa.int64())]))
+        for batch in batches:
+            rows = [(k, t, n, commonest(n), least(n) - MATCH - MATCH * commonest(n), [dict(zip(("at", "seed", "adds"), x, strict=True)) for x in seeds_of(t)]) for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (n := len(words(t)))]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item_id", "item_text", "n", "spare", "needed", "seeds"])
+
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id is not null AND item_text is not null")
+    found = own.mapInArrow(make, "item_id long, item_text string, n long, spare long, needed double, seeds array<struct<at:long,seed:long,adds:long>>")
+    first = Window.partitionBy("item_id").orderBy("item_text")
+    return written(found.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k"), "items")
+
+
+def _counts(own: DataFrame, known: Filter, distances: list[int]) -> DataFrame:
+    """seed, times: how often each occurs in all texts."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in slices(b, 0)):
+            keys = np.concatenate([k for _, _, k in known.hits(batch.column(0).to_pylist(), distances)])
+            seed, n = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(n, pa.int64())], names=["seed", "n"])
+
+    return own.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("times"))
+
+
+def _rare(seeds: DataFrame, counts: DataFrame) -> DataFrame:
+    """seed, item_id, adds, n, needed: an item's seeds without those at its commonest places, and the sum that a copy has of the rest."""
+    times = F.coalesce("times", F.lit(0))
+    places = seeds.join(counts, "seed", "left").groupBy("item_id", "spare", "at").agg(F.sum(times).alias("times"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("times").desc(), "at"))
+    rare = places.withColumn("rank", rank).where("rank > spare").select("item_id", "at")
+    kept = seeds.join(rare, ["item_id", "at"])
+    return kept.groupBy("seed", "item_id").agg(F.max("adds").alias("adds"), F.first("n").alias("n"), F.first("needed").alias("needed"))
+
+
+def _hits(own: DataFrame, known: Filter, distances: list[int]) -> DataFrame:
+    """doc_id, text_key, place, seed."""
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in slices(b, 2)):
+            text, place, seed = (np.concatenate(x) for x in zip(*known.hits(batch.column(2).to_pylist(), distances), strict=True))
+            at = pa.array(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place, pa.int64()), pa.array(seed)], names=["doc_id", "text_key", "place", "seed"])
+
+    return keyed(own).mapInArrow(find, f"doc_id {own.dtypes[0][1]}, text_key long, place long, seed long")
+
+
+def within(places: np.ndarray, adds: np.ndarray, needed: float, far: int) -> list[tuple[int, int]]:
+    """Spans of words that hold every copy, joined where they overlap: around places where what hits in reach add is enough."""
+    order = np.lexsort((adds, places))
+    places, adds = places[order], adds[order]
+    last = np.append(places[1:] != places[:-1], True)[: len(places)]
+    places, adds = places[last], adds[last]
+    total = np.append(0, np.cumsum(adds))
+    inside = total[1:] - total[np.searchsorted(places, places - far, "right")]
+    out: list[tuple[int, int]] = []
+    for p in places[inside >= needed].tolist():
+        a, z = max(0, p - far), p + far + 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], z)
+        else:
+            out.append((a, z))
     return out
 
 
-def _search(own: DataFrame, search: Search) -> DataFrame:
+def _spans(found: DataFrame, kind: str) -> DataFrame:
+    """doc_id, text_key, item_id, spans of words."""
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for hits, n, needed in zip(batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                own = hits.values
+                near.append(within(own.field("place").to_numpy(), own.field("adds").to_numpy(), needed, reach(n)))
+            keep = pa.array([k for k, x in enumerate(near) if x], pa.int64())
+            spans = pa.array([[{"a": a, "z": z} for a, z in x] for x in near if x], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in range(3)), spans], names=["doc_id", "text_key", "item_id", "spans"])
+
+    return found.select("doc_id", "text_key", "item_id", "hits", "n", "needed").mapInArrow(look, f"doc_id {kind}, text_key long, item_id long, spans array<struct<a:long,z:long>>")
+
+
+def copies(text: str, cases: list[dict]) -> Iterator[tuple[int, float, int, int]]:
+    """(item, share of its full score, start, end in code points): the best passage for each item."""
+    own, places = words(text), None
+    for case in sorted(cases, key=lambda x: x["item_id"]):
+        item, best = words(case["item_text"]), (0, 0, 0)
+        codes = {w: k for k, w in enumerate(dict.fromkeys(item))}
+        coded, enough = np.array([codes[w] for w in item]), least(len(item))
+        for span in case["spans"]:
+            part = own[span["a"] : span["z"]]
+            if most_of(part, codes.keys()) < max(best[0], enough):
+                continue  # not even all its words in order would do
+            score, s, e = align(coded, np.array([codes.get(w, -1) for w in part]))
+            best = max(best, (score, span["a"] + s, span["a"] + e), key=lambda x: (x[0], -x[1]))
+        if best[0] >= enough:
+            places = places or spans_of(text)
+            yield case["item_id"], best[0] / (MATCH * len(item)), places[best[1]][0], places[best[2] - 1][1]
+
+
+def _aligned(cases: DataFrame) -> DataFrame:
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, *cols = [*zip(*search.matches(batch.column(1).to_pylist()), strict=True)] or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "item_id", "score", "start", "end"])
+            rows = [(k, *x) for k, (text, own) in enumerate(zip(batch.column(2), batch.column(3), strict=True)) for x in copies(text.as_py(), own.as_py())]
+            at, *cols = list(zip(*rows, strict=True)) or [()] * 5
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)), batch.column(1).take(at)], names=["doc_id", "item_id", "score", "start", "end", "text_key"])
 
-    return own.mapInArrow(find, f"doc_id {own.dtypes[0][1]}, item_id long, score double, start long, `end` long")
+    return cases.mapInArrow(find, f"doc_id {cases.dtypes[0][1]}, item_id long, score double, start long, `end` long, text_key long")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")

@@ -111,22 +111,23 @@ def normal(text: str | None) -> bytes:
     return " ".join(WORD.findall(text.lower())).encode("utf-8", "replace") if text else b""
 
 
-def shingles(own: bytes) -> np.ndarray:
-    """64-bit hashes of all windows of SHINGLE words, repeats included; of all words where there are fewer.
+def windows(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: a polynomial hash of a range is a difference of prefix sums, shifted to the origin."""
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + STEP * (ends - starts).astype(np.uint64))
 
-    A polynomial hash of a window is a difference of prefix sums, shifted to the origin.
-    """
+
+def shingles(own: bytes) -> np.ndarray:
+    """64-bit hashes of all windows of SHINGLE words, repeats included; of all words where there are fewer."""
     if not own:
         return np.zeros(0, np.uint64)
     raw = np.frombuffer(own, np.uint8)
-    up, down = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     gaps = np.flatnonzero(raw == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(raw)]))
     n = max(1, len(starts) - SHINGLE + 1)
-    starts, ends = starts[:n], ends[-n:]
-    return mix((sums[ends] - sums[starts]) * down[starts] + STEP * (ends - starts).astype(np.uint64))
+    return windows(raw, starts[:n], ends[-n:])
 
 
 def weighted_set(own: bytes, counted: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -163,12 +163,22 @@ def test_leaks(spark):
     assert leaks.contaminated(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 3)
+def test_rows_of_one_id_and_without_an_id(spark):
     rng = random.Random(8)
     items = [(k, " ".join(words(rng, 20))) for k in range(10)]
-    docs = spark.createDataFrame([(k, f"x y {t} z") for k, t in items], "doc_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in leaks.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()} == {(k, k) for k, _ in items}
+    rows = [(k % 4 if k else None, f"x y {t} z") for k, t in items] + [(1, "clean"), (1, f"x y {items[1][1]} z"), (None, "clean too")]
+    found = leaks.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((str(r.doc_id), r.item_id) for r in found.collect()) == sorted([(str(k % 4 if k else None), k) for k, _ in items] + [("1", 1)])
+
+
+def test_filter_and_words(spark):
+    hashes, text, place = leaks.word_hashes(["One two", None, "", "  ", "two, ONE two", "é"])
+    assert text.tolist() == [0, 0, 4, 4, 4, 5] and place.tolist() == [0, 1, 0, 1, 2, 0] and hashes[0] == hashes[3] and hashes[1] == hashes[2] == hashes[4] and len(set(hashes.tolist())) == 3
+    assert [len(x) for x in leaks.word_hashes([None])] == [0, 0, 0]
+    seeds = [k for _, k, _ in leaks.seeds_of("a b c d")]
+    own = leaks.Filter(spark.createDataFrame([(k,) for k in seeds], "seed long"))
+    found = {(int(t), int(p), d) for d in (1, 2) for t, p, _ in [own.hits(["a b", "a x b c", "c a"], [d]).__next__()] for t, p in zip(t, p)}
+    assert found == {(0, 0, 1), (1, 2, 1), (1, 0, 2)}
 
 
 @pytest.mark.parametrize("text", ["İstanbul aranan metin", "ß İİ x"])
