@@ -31,26 +31,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.toDF(*columns)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of an id and text key (see keyed()) in gone; a null id is equal to itself."""
+    keys = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(sized(keys), match, "left_anti").select(*docs.columns)
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each class of near duplicates; rows without words or without an id stay.
 
-    Rows that repeat both id and text are one document, of which one row stays.
+    Rows that share an id but not a text are documents of their own. Rows that repeat both are one document, of which one row stays.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    drop = written(found.where("doc_id <> class_id").select("doc_id").distinct(), "duplicates")
-    kept = docs.join(sized(drop), "doc_id", "left_anti").select(*docs.columns)
-    twice = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    found = written(near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
+    kept = without(docs, written(found.where("NOT first").select("doc_id", "text_key").distinct(), "duplicates"))
+    twice = found.where("first AND doc_id IS NOT NULL").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_key")
+    twice = written(twice, "repeated-rows")
     if twice.isEmpty():
         return kept
-    few = sized(twice)
-    once = kept.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    again = kept.join(sized(twice.toDF("__id", "__key")), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")))
+    return without(kept, twice).unionByName(again.select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a copy of a benchmark item, edited or not."""
-    leaks = written(contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(sized(leaks), "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a copy of a benchmark item, edited or not, with or without an id."""
+    leaks = written(contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "text_key").distinct(), "leaks")
+    return without(docs, leaks)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
