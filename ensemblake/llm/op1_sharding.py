@@ -12,8 +12,8 @@ from .common import table, written
 FIRST_BITS, STEP_BITS = 16, 8
 #: Ranges refined in one round at most; the rounds go on until the answer is exact.
 ROUND = 4096
-#: Ranks within a shard are taken in so many independent parts.
-PARTS = 256
+#: Ranks are taken in independent parts of a shard, of about so many rows.
+PART_ROWS = 100_000
 
 
 class Ranges:
@@ -119,7 +119,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int | None]]
         if low == high:
             return high, ranges.cuts(high, shards)
         chosen = ranges.unsure(low, high, shards)
-        rows = [r for k, r in enumerate(ranges.rows) if k not in set(chosen)]
+        wide = set(chosen)
+        rows = [r for k, r in enumerate(ranges.rows) if k not in wide]
         for bits in sorted({ranges.rows[k][1] for k in chosen}):
             wanted = spark.createDataFrame([(ranges.rows[k][0],) for k in chosen if ranges.rows[k][1] == bits], "first long")
             mask = F.shiftleft(F.shiftright("key", 64 - bits), 64 - bits)
@@ -146,7 +147,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     )
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
     _, cuts = minimax_cuts(groups, shards)
-    placed = rows.withColumn("shard", shard_of(F.col("key"), cuts)).withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(PARTS)).cast("int"))
+    # A group of copies is one shard's, so a shard may have nearly all rows: its parts are as many as all rows need.
+    parts = max(16, -(-rows.count() // PART_ROWS))
+    placed = rows.withColumn("shard", shard_of(F.col("key"), cuts)).withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int"))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

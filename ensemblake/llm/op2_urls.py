@@ -11,7 +11,7 @@ from .graph import connected_components
 #: (verdict, host, start of path). A rule list is a parameter of at most some hundred rules: it becomes one expression.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Query parameters that name no other page.
-TRACKING = r"(?i)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*(?:&|$)"
+TRACKING = r"(?i)\A(?:utm_[a-z]+|ref|fbclid|gclid)="
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -35,11 +35,11 @@ def matched(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
 def alias_key(url: Column) -> Column:
     """One name for addresses that servers redirect to each other as a matter of course.
 
-    Scheme, www. and m. hosts, default ports, fragments, tracking parameters and a last slash don't count. Null without ://.
+    Scheme, www. and m. hosts, default ports, fragments, tracking and empty parameters and a last slash don't count. Null without ://.
     """
     host, path = host_path(url)
     query = F.regexp_extract(url, r"\A[^?#]*\?([^#]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(query, TRACKING, ""), r"&\z", "")
+    query = F.array_join(F.filter(F.split(query, "&", -1), lambda x: (x != "") & ~x.rlike(TRACKING)), "&")
     name = F.regexp_replace(F.regexp_replace(host, r"\A(?:www|m)\.", ""), r":(?:80|443)\z", "")
     return F.when(F.locate("://", url) > 0, F.md5(F.concat(name, F.lit("\n"), F.regexp_replace(path, r"/+\z", ""), F.lit("\n"), query).cast("binary")))
 
@@ -113,7 +113,7 @@ ruled AS (
               WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
          CASE WHEN query IS NOT NULL THEN
            regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '') || chr(10) || regexp_replace(path, '/+$', '') || chr(10) ||
-           regexp_replace(regexp_replace(query, '(utm_[a-z]+|ref|fbclid|gclid)=[^&]*(&|$)', '', 'gi'), '&$', '') END AS node
+           array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=', 'i')), '&') END AS node
   FROM named),
 said AS (
   SELECT node, bool_or(rule IN ('example.net/en/', 'org/fr/')) AS allowed FROM ruled WHERE rule IS NOT NULL AND node IS NOT NULL GROUP BY node)
