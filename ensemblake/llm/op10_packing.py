@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,28 +24,41 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     What has no exact complement is filled best-fit: the longest length that still fits, until none does.
     The work and the plan depend on the number of distinct lengths, never on the number of pieces.
     """
-    have = np.zeros(capacity + 1, np.int64)
+    have = [0] * (capacity + 1)
     for size, n in counts.items():
         if not 0 < size <= capacity:
             raise ValueError(f"length {size} is outside 1..{capacity}")
         have[size] += n
     out: list[tuple[tuple[int, ...], int]] = []
+    # The lengths that there are as bits of a number, and the same mirrored: shifted over each other, they show all pairs of one sum at once.
+    there = sum(1 << x for x in range(capacity + 1) if have[x])
+    mirror = sum(1 << (capacity - x) for x in range(capacity + 1) if have[x])
 
     def usable(lengths: tuple[int, ...]) -> int:
-        return min(int(have[x]) // lengths.count(x) for x in lengths)
+        return min(have[x] // lengths.count(x) for x in lengths)
+
+    def gone(x: int) -> None:
+        nonlocal there, mirror
+        have[x] = 0
+        there &= ~(1 << x)
+        mirror &= ~(1 << (capacity - x))
 
     def use(lengths: tuple[int, ...]) -> None:
         n = usable(lengths)
         out.append((lengths, n))
         for x in lengths:
             have[x] -= n
+            if not have[x]:
+                gone(x)
 
     def pair(gap: int, first: tuple[int, ...]) -> tuple[int, ...] | None:
         """Two available lengths that sum to the gap, the larger one as large as can be."""
-        low = np.arange(1, gap // 2 + 1)
-        for a in low[(have[low] > 0) & (have[gap - low] > 0)].tolist():
+        low = there & (mirror >> (capacity - gap)) & ((1 << (gap // 2 + 1)) - 1)
+        while low:
+            a = (low & -low).bit_length() - 1
             if usable((*first, gap - a, a)):
                 return (*first, gap - a, a)
+            low &= low - 1
         return None
 
     def complement(size: int) -> tuple[int, ...] | None:
@@ -57,30 +69,40 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             return (size, gap)
         if found := pair(gap, (size,)):
             return found
-        some = np.flatnonzero(have[: gap - 1])[::-1]
-        for c in some.tolist():
+        some = there & ((1 << max(0, gap - 1)) - 1)
+        while some:
+            c = some.bit_length() - 1
             if usable((size, c)) and (found := pair(gap - c, (size, c))):
                 return found
+            some ^= 1 << c
         return None
 
+    def fitting(gap: int, lengths: tuple[int, ...]) -> int:
+        """The longest length that fits the gap, or 0."""
+        some = there & ((1 << (gap + 1)) - 1)
+        while some:
+            x = some.bit_length() - 1
+            if usable((*lengths, x)):
+                return x
+            some ^= 1 << x
+        return 0
+
     left: dict[int, int] = {}
     for size in range(capacity, 0, -1):
         while have[size]:
             if (found := complement(size)) is None:
-                left[size], have[size] = int(have[size]), 0
+                left[size] = have[size]
+                gone(size)
                 break
             use(found)
     for size, n in left.items():
         have[size] = n
+        there |= 1 << size
     for size in range(capacity, 0, -1):
         while have[size]:
             lengths, gap = (size,), capacity - size
-            while gap:
-                fits = np.flatnonzero(have[1 : gap + 1]) + 1
-                fits = next((x for x in fits[::-1].tolist() if usable((*lengths, x))), None)
-                if fits is None:
-                    break
-                lengths, gap = (*lengths, fits), gap - fits
+            while gap and (x := fitting(gap, lengths)):
+                lengths, gap = (*lengths, x), gap - x
             use(lengths)
     return out
 
@@ -137,8 +159,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY,
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("k", F.row_number().over(own) - 1).join(firsts, ["length", "salt"]).withColumn("rank", F.col("k") + F.col("first"))
     spots = spark.createDataFrame(places(plan(by_length, capacity)), "length long, a long, z long, sequence long, offset long")
-    # For each length its intervals, so that a piece finds its own by binary search in one array.
-    spots = spots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("a", "z", "sequence", "offset"))).alias("spots"))
+    # A row for each length, at most capacity, with its intervals: as the plan's size hangs on the capacity alone, they go out to the pieces, so the pieces of a common length aren't one task.
+    spots = F.broadcast(spots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("a", "z", "sequence", "offset"))).alias("spots")))
     found = ranked.join(spots, "length").select(
         "doc_id", "piece", "start", "length", "ids_crc32", "rank",
         F.expr("element_at(filter(spots, s -> s.a <= rank AND rank < s.z), 1)").alias("spot"),
