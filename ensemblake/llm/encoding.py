@@ -1,7 +1,8 @@
-"""Whole-text encoding with the tokenizers library, one call per new word instead of per text."""
+"""Whole-text encoding with the tokenizers library, one call per new word instead of per text where the tokenizer allows it."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -13,6 +14,34 @@ import numpy as np
 from .common import only
 
 
+#: What a tokenizer's file must say for its texts to fall apart at white space and its words to be told apart by their last id
+#: (fixed values of the file format).
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer is of the kind whose texts can be encoded word by word; any other gets whole texts."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    model, added = own["model"], own["added_tokens"]
+    return (
+        all(own[k] == v for k, v in BY_WORDS.items())
+        and (model["type"], model["end_of_word_suffix"], model["dropout"], model["unk_token"], model["continuing_subword_prefix"]) == ("BPE", "</w>", None, None, None)
+        and all(t["content"].startswith("<|") and not set(t["content"]) & set(" \t\r\n") and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in added)
+    )
+
+
 def chunks_of(text: str) -> list[str]:
     """Those between spaces, tabs and line ends; some may be empty.
 
@@ -64,7 +93,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.limit = Tokenizer.from_file(path), array("I", [end_id]).tobytes(), limit_bytes
+        self.by_words = by_words(path)
         vocabulary = self.tokenizer.get_vocab()
+        #: Whether all ids fit 16 bits.
+        self.short = max(end_id, *vocabulary.values()) < 1 << 16
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
@@ -118,6 +150,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """In the order of the texts; null is encoded as an empty text."""
+        if not self.by_words:
+            for text in texts:
+                yield array("I", self.tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes() + self.end
+            return
         at = 0
         while at < len(texts):
             chunks, chars = [], 0

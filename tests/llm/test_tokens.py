@@ -3,6 +3,7 @@
 import functools
 import itertools
 import random
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -11,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from ensemblake.llm.encoding import WordEncoder
+from ensemblake.llm.encoding import WordEncoder, by_words
 from ensemblake.llm.op8_token_files import EliasFano, Segment, read_tokens, write_tokens
 from ensemblake.llm.op9_counts import SPACE, PieceCounter, count_tokens, pieces_of
 from ensemblake.llm.op10_packing import pack, places, plan
@@ -45,6 +46,15 @@ def test_encoder_matches_library_on_whole_texts():
         assert [array("I", x).tolist() for x in encoder.encode(TEXTS + noise)] == [ids(t) for t in TEXTS + noise]
 
 
+def test_encoder_matches_a_library_of_another_kind():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert by_words(WORDS) and not by_words(path)
+    own = Tokenizer.from_file(path)
+    assert [array("I", x).tolist() for x in WordEncoder(path).encode(TEXTS)] == [[*own.encode(t or "", add_special_tokens=False).ids, 1] for t in TEXTS]
+
+
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 1, 7, 900, 900, 10**9], list(range(0, 5000, 7)), [3] * 200 + [10**7]])
 def test_elias_fano_round_trip_and_select(values):
     own = EliasFano.of(np.array(values, np.int64))
@@ -150,6 +160,16 @@ def test_plan_is_optimal_on_small_cases():
     assert over <= 3
 
 
+def test_plan_of_many_lengths_is_quick():
+    rng = random.Random(9)
+    counts = Counter(min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(10_000))
+    at = time.process_time()
+    made = plan(counts)
+    took = time.process_time() - at
+    assert sum((Counter({x: n * lengths.count(x) for x in lengths}) for lengths, n in made), Counter()) == counts
+    assert sum(n for _, n in made) <= -(-sum(k * n for k, n in counts.items()) // 4096) + 2 and took < 10
+
+
 def test_plan_exact_complements_and_places():
     assert sum(n for _, n in plan({4000: 10**6, 96: 10**6, 2000: 500, 1000: 500, 1096: 500, 4096: 7})) == 10**6 + 500 + 7
     spots = places([((5, 3), 4), ((3, 3), 2)])
