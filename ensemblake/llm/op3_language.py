@@ -16,10 +16,10 @@ from .common import only, prepare, table
 
 #: The bounded labelled sample: documents a language, characters taken from each, bytes a language in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 64, 512, 16_384
-#: Phrases don't run over the ends of so many symbols, so that long texts are parsed in parallel lanes.
-BLOCK = 2048
-#: Lanes parsed at once.
-LANES = 4096
+#: Texts parsed at once, a symbol of each at a time; where fewer than FEW go on, they are parsed one by one.
+LANES, FEW = 4096, 64
+#: A text none of whose languages has phrases of so many symbols on average is in no learned language.
+LEAST_PHRASE = 1.5
 #: Symbols that a score counts as independent evidence at most.
 EVIDENCE = 50
 LETTER = re.compile(r"[^\W\d_]")
@@ -63,9 +63,9 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Counts of longest-match phrases of texts against each language's automaton.
+    """Counts of longest-match phrases of whole texts against each language's automaton.
 
-    The automata are dense tables over the bytes of the samples, walked for many blocks at once.
+    The automata are dense tables over the bytes of the samples, walked for many texts at once.
     """
 
     def __init__(self, samples: list[tuple[str, bytes]]):
@@ -86,18 +86,20 @@ class CrossParser:
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """texts x languages."""
-        blocks = [(k, t[a : a + BLOCK]) for k, t in enumerate(texts) for a in range(0, len(t), BLOCK)]
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        blocks.sort(key=lambda b: -len(b[1]))
-        for at in range(0, len(blocks), LANES):
-            some = blocks[at : at + LANES]
-            sizes = np.array([len(b) for _, b in some])
-            grid = np.zeros((len(some), sizes[0]), self.code.dtype)
-            for row, (_, b) in zip(grid, some, strict=True):
-                row[: len(b)] = self.code[np.frombuffer(b, np.uint8)]
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        for at in range(0, len(order), LANES):
+            some = order[at : at + LANES]
+            sizes = np.array([len(texts[k]) for k in some])
+            #: Up to here enough texts go on to be walked together.
+            wide = int(sizes[FEW - 1]) if len(some) >= FEW else 0
+            grid = np.zeros((len(some), wide), self.code.dtype)
+            for row, k in zip(grid, some, strict=True):
+                part = texts[k][:wide]
+                row[: len(part)] = self.code[np.frombuffer(part, np.uint8)]
             grid = np.ascontiguousarray(grid.T)
-            active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # blocks longer than t
-            owners = np.array([k for k, _ in some])
+            active = np.searchsorted(-sizes, -np.arange(wide), "left")  # texts longer than t
+            rest = [(n, self.code[np.frombuffer(texts[k], np.uint8, offset=wide)].tolist()) for n, k in enumerate(some) if len(texts[k]) > wide]
             for j, (moves, first) in enumerate(self.tables):
                 state, count = np.zeros(len(some), np.int32), np.zeros(len(some), np.int64)
                 for t, n in enumerate(active.tolist()):
@@ -108,21 +110,36 @@ class CrossParser:
                     count[stuck] += (now[stuck] != 0).astype(np.int64) + (again == 0)
                     to[stuck] = again
                     state[:n] = to
-                np.add.at(out[:, j], owners, count + (state != 0))
+                look, begin = memoryview(moves), first.tolist()
+                for n, tail in rest:
+                    now, more = int(state[n]), 0
+                    for c in tail:
+                        to = look[now + c]
+                        if not to:
+                            to = begin[c]
+                            more += (now != 0) + (to == 0)
+                        now = to
+                    state[n], count[n] = now, count[n] + more
+                out[some, j] = count + (state != 0)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """`und` and 0 for null texts and those without a letter, and where no language was learned."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score, whether the text is in a learned language at all.
+
+        `und`, 0 and False for null texts and those without a letter, and where no language was learned.
+        """
         own = [symbols(t) if t and LETTER.search(t) else b"" for t in texts]
         if not self.langs:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
         size = np.array([max(1, len(t)) for t in own])
-        bits = self.phrases(own) * self.bits / size[:, None]  # cross-parsing entropy a symbol
+        phrases = self.phrases(own)
+        bits = phrases * self.bits / size[:, None]  # cross-parsing entropy a symbol
         best = bits.argmin(axis=1)  # ties: the first in order of names
         gap = (bits - bits.min(axis=1, keepdims=True)) * np.minimum(size, EVIDENCE)[:, None]
         score = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
+        known = size >= LEAST_PHRASE * phrases.min(axis=1)
         langs = [self.langs[k] if t else "und" for k, t in zip(best.tolist(), own, strict=True)]
-        return langs, [s if t else 0.0 for s, t in zip(score.tolist(), own, strict=True)]
+        return langs, [s if t else 0.0 for s, t in zip(score.tolist(), own, strict=True)], [bool(k and t) for k, t in zip(known.tolist(), own, strict=True)]
 
 
 def held_out(doc_id: str) -> Column:
@@ -139,7 +156,9 @@ def labelled_samples(docs: DataFrame) -> list[tuple[str, bytes]]:
     keys = sorted({r.h for r in drawn.select("h").collect()})
     if not keys:
         return []
-    taken = own.where(F.col("h").isin(keys)).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    # A window at a hashed place of each: how documents begin says little of the rest.
+    at = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    taken = own.where(F.col("h").isin(keys)).groupBy("lang", "h").agg(F.min(F.substring("text", at, F.lit(SAMPLE_CHARS))).alias("text"))
     by: dict[str, list[bytes]] = {}
     for r in taken.orderBy("lang", "h").collect():
         if LETTER.search(r.text):
@@ -153,9 +172,12 @@ def parser(samples: list[tuple[str, bytes]]) -> CrossParser:
 
 
 def predict_language(docs: DataFrame, samples: list[tuple[str, bytes]], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred string and score double, from the text alone; columns of these names are replaced."""
+    """docs with lang_pred string, score double and lang_known boolean, from the text alone; columns of these names are replaced.
+
+    lang_known is false where the text's phrases are as short as those of no language at all (see LEAST_PHRASE): another script, say.
+    """
     prepare(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "lang_known")
     at = docs.columns.index(text_col)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +185,11 @@ def predict_language(docs: DataFrame, samples: list[tuple[str, bytes]], text_col
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 few = batch.slice(a, 2000)
-                lang, score = own.predict(few.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*few.schema.names, "lang_pred", "score"])
+                lang, score, known = own.predict(few.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.bool_())], names=[*few.schema.names, "lang_pred", "score", "lang_known"])
 
-    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_known", T.BooleanType())]
+    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, *more]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

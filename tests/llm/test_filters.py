@@ -251,11 +251,21 @@ def test_cross_parsing_counts_equal_brute_force(monkeypatch):
     rng = random.Random(3)
     samples = [("a", bytes(rng.choice(b"abc ") for _ in range(300))), ("b", bytes(rng.choice(b"cde ") for _ in range(500)))]
     texts = [bytes(rng.choice(b"abcdexyz ") for _ in range(rng.randrange(200))) for _ in range(60)] + [b""]
-    monkeypatch.setattr(op3_language, "LANES", 7)
-    for block in (10_000, 16):
-        monkeypatch.setattr(op3_language, "BLOCK", block)
-        got = op3_language.CrossParser(samples).phrases(texts).tolist()
-        assert got == [[sum(parse(t[a : a + block], s) for a in range(0, len(t), block)) for _, s in samples] for t in texts]
+    texts += [bytes(rng.choice(b"abcdexyz ") for _ in range(n)) for n in (2047, 2048, 2049, 9000, 20_000)] + [samples[1][1] * 20]
+    want = [[parse(t, s) for _, s in samples] for t in texts]
+    for lanes, few in ((4096, 64), (7, 3), (5000, 1), (4, 100)):
+        monkeypatch.setattr(op3_language, "LANES", lanes)
+        monkeypatch.setattr(op3_language, "FEW", few)
+        assert op3_language.CrossParser(samples).phrases(texts).tolist() == want
+
+
+def test_texts_in_no_learned_language():
+    rng = random.Random(13)
+    own = lambda vowels: " ".join("".join(rng.choice("bcdfgst") + rng.choice(vowels) for _ in range(rng.randint(1, 4))) for _ in range(3000))
+    parser = op3_language.CrossParser([("a", op3_language.symbols(own("aei"))[:16_000]), ("b", op3_language.symbols(own("ou"))[:16_000])])
+    texts = [own("aei"), own("ou")[:40], "Это не тот язык " * 5, "日本語の文章です", "qxzjk vwqzx " * 9, None, "12", "da ge"]
+    lang, _, known = parser.predict(texts)
+    assert known == [True, True, False, False, False, False, False, True] and lang[:2] == ["a", "b"] and lang[5:7] == ["und", "und"]
 
 
 def test_language(spark):
