@@ -19,16 +19,15 @@ from ensemblake.llm.op10_packing import pack
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null texts and those without a letter, and nothing where no language is learned.
+    """Drops null texts, those without a letter and those in no learned language; nothing where no language is learned.
 
-    Any other text has the learned language nearest to it, however far that is, and stays: one in an unlearned script too.
+    Of a text in no learned language, another script say, even the best language's automaton has but phrases of a symbol or so (see op3's LEAST_PHRASE).
     """
     if not (samples := labelled_samples(docs.select("doc_id", "text", "lang"))):
         return docs
-    columns = docs.columns
-    renamed = docs.withColumnsRenamed({c: f"{c}__own" for c in ("lang_pred", "score") if c in columns})
-    found = predict_language(renamed, samples).where("lang_pred <> 'und'").drop("lang_pred", "score")
-    return found.toDF(*columns)
+    columns, own = docs.columns, ("lang_pred", "score", "lang_known")
+    renamed = docs.withColumnsRenamed({c: f"{c}__own" for c in own if c in columns})
+    return predict_language(renamed, samples).where("lang_known").drop(*own).toDF(*columns)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
