@@ -14,13 +14,19 @@ from ..exceptions import DataInvalid, InsufficientResourceError
 MOST_STATES = 5000
 
 
+def few_states(n: int) -> int:
+    """n, where a matrix of so many rows fits one machine; else an error."""
+    if n > MOST_STATES:
+        raise InsufficientResourceError(f"{n} states don't fit a dense matrix on the driver")
+    return n
+
+
 def gather(matrix: DataFrame, n: int | None = None) -> np.ndarray:
     """A dense array of (i, j, v); n: its rows, else one more than the largest index."""
     if n is None:
         top = matrix.agg(F.max(F.greatest("i", "j"))).first()[0]
         n = 0 if top is None else int(top) + 1
-    if n > MOST_STATES:
-        raise InsufficientResourceError(f"{n} states don't fit a dense matrix on the driver")
+    few_states(n)
     out = np.zeros((n, n))
     for i, j, v in matrix.select("i", "j", "v").collect():
         out[i, j] += v
@@ -122,20 +128,27 @@ def mfpts(t: np.ndarray, sinks: list[int] | None = None, populations: np.ndarray
 
 def widest_path(flux: np.ndarray, sources: list[int], sinks: list[int]) -> tuple[list[int], float]:
     """The path from a source to a sink whose least flux is largest; no path: ([], 0). Ties: fewer steps, then smaller states."""
-    best: dict[int, tuple] = {}
-    heap = [(-np.inf, 0, (s,)) for s in sorted(sources)]
+    done: set[int] = set()
+    heap, width = [(-np.inf, s) for s in sorted(sources)], 0.0
     while heap:
-        width, steps, path = heapq.heappop(heap)
-        at = path[-1]
-        if at in best:
-            continue
-        best[at] = (-width, path)
+        least, at = heapq.heappop(heap)
         if at in sinks:
-            return list(path), float(-width)
-        for to in np.flatnonzero(flux[at] > 0).tolist():
-            if to not in best:
-                heapq.heappush(heap, (max(width, -flux[at, to]), steps + 1, (*path, to)))
-    return [], 0.0
+            width = float(-least)
+            break
+        if at not in done:
+            done.add(at)
+            for to in np.flatnonzero(flux[at] > 0).tolist():
+                heapq.heappush(heap, (max(least, -flux[at, to]), to))
+    if not width:
+        return [], 0.0
+    # Of the paths that are so wide, the shortest: level by level, each state by its first path.
+    level, seen = [[s] for s in sorted(sources)], set(sources)
+    while True:
+        if ends := [path for path in level if path[-1] in sinks]:
+            return min(ends), width
+        longer = [[*path, to] for path in level for to in np.flatnonzero((flux[path[-1]] >= width) & (flux[path[-1]] > 0)).tolist() if to not in seen]
+        level = list({path[-1]: path for path in sorted(longer, reverse=True)}.values())
+        seen.update(path[-1] for path in level)
 
 
 def top_paths(flux: np.ndarray, sources: list[int], sinks: list[int], remove: str = "subtract", num_paths: float = np.inf, flux_cutoff: float = 1 - 1e-10) -> list[tuple[list[int], float]]:
