@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fret, linalg
+from ..functions.geometry import cb_coords, placed, residue_frame
 from ..functions.metrics import histogram
-from ..plans.shared import workers_can_import
+from ..plans.shared import sized, workers_can_import
 from .msm import normalize
 from .pockets import near_points
 
@@ -22,6 +23,18 @@ def remove_clashes(points: DataFrame, atoms: DataFrame, probe_radius: float = 0.
     return points.join(hit, [*by, "id"], "left_anti")
 
 
+def place_cloud(cloud: DataFrame, atoms: DataFrame, res_seq: int) -> DataFrame:
+    """frame, id, px, py, pz: a cloud's points (id, x, y, z in a residue's axes from its CB) on a residue of every frame that has its N, CA and C.
+
+    A cloud is a library; it goes out with the tasks while its points are counted to be few.
+    """
+    at = lambda name: F.max(F.when(F.col("name") == name, F.array("x", "y", "z")))
+    own = atoms.where(F.col("res_seq") == res_seq).groupBy("frame").agg(at("N").alias("n"), at("CA").alias("ca"), at("C").alias("c")).where("n IS NOT NULL AND ca IS NOT NULL AND c IS NOT NULL")
+    own = own.select("frame", residue_frame(F.col("n"), F.col("ca"), F.col("c")).alias("axes"), cb_coords(F.col("n"), F.col("ca"), F.col("c")).alias("cb"))
+    both = own.crossJoin(sized(cloud.select("id", F.array("x", "y", "z").alias("p")), 1_000_000)).select("frame", "id", placed(F.col("p"), F.col("axes"), F.col("cb")).alias("p"))
+    return both.select("frame", "id", *(F.col("p")[k].alias(c) for k, c in enumerate(("px", "py", "pz"))))
+
+
 def clear_conformers(dye: DataFrame, atoms: DataFrame, n_atoms: int, probe_radius: float = 0.04, atom_tol: int = 6, most_radius: float = 0.2, by: list[str] = BY) -> DataFrame:
     """by, conformer of dye conformers (by, conformer, id, px, py, pz) all but atom_tol of whose atoms are free."""
     free = remove_clashes(dye, atoms, probe_radius, most_radius, by)
@@ -130,11 +143,11 @@ def per_state_efficiency(states: DataFrame, events: DataFrame) -> DataFrame:
 def isotropic_efficiency(donors: DataFrame, acceptors: DataFrame, j: float, qd: float, n: float = 1.333) -> DataFrame:
     """One row, fe: over all pairs of a donor's and an acceptor's states (p, origin, dipole), each by its probability.
 
-    Dye libraries have some hundred states; their product isn't grown by the data.
+    Dye libraries have some hundred states; their product isn't grown by the data. The acceptor's go out with the tasks while they are counted to be few.
     """
     d = donors.select(*(F.col(c).alias(f"d_{c}") for c in ("p", "origin", "dipole")))
     a = acceptors.select(*(F.col(c).alias(f"a_{c}") for c in ("p", "origin", "dipole")))
-    both = d.crossJoin(F.broadcast(a))
+    both = d.crossJoin(sized(a, 100_000))
     k2, r = fret.kappa2_r(F.col("d_origin"), F.col("d_dipole"), F.col("a_origin"), F.col("a_dipole"))
     both = both.withColumn("k2", k2).withColumn("r", r)
     fe = fret.fret_efficiency(F.col("r"), fret.forster_radius(F.col("k2"), qd, j, n))

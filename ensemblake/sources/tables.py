@@ -9,13 +9,19 @@ from pyspark.sql import types as T
 from ..exceptions import DataInvalid, ImproperlyConfigured
 from ..functions.geometry import selection
 from ..operators.pockets import radius_of
+from ..operators.ragged import Ragged, partition_indices
 
 KEY = ["traj_id", "frame"]
 
 
 def load(source: DataFrame | str, keys: list | None = None, stride: int = 1, spark: SparkSession | None = None) -> DataFrame:
     """A ragged table or its folder: rows by key (pruned partitions, pushed filters) and every stride-th frame, under its own number."""
-    df = source if isinstance(source, DataFrame) else spark.read.parquet(source)
+    if isinstance(source, DataFrame):
+        df = source
+    else:
+        df = spark.read.parquet(source)
+        if dict(df.dtypes).get("traj_id") == "int":  # of folders' names Spark makes the smallest type
+            df = df.withColumn("traj_id", F.col("traj_id").cast("long"))
     df = df if keys is None else df.where(F.col("traj_id").isin(list(keys)))
     return df if stride == 1 else df.where(F.col("frame") % stride == 0)
 
@@ -25,6 +31,16 @@ def save(df: DataFrame, path: str, mode: str = "error") -> None:
     df.repartition("traj_id").sortWithinPartitions("traj_id", "frame").write.mode(mode).option("compression", "zstd").partitionBy("traj_id").parquet(path)
 
 
+def save_flat(ragged: Ragged, path: str) -> None:
+    """All rows put end to end (flat, value) and each row's length: two folders, the layout of arrays that are kept with their lengths."""
+    ragged.flatten().write.parquet(f"{path}/array")
+    ragged.starts().select("traj_id", "n", "start").write.parquet(f"{path}/lengths")
+
+
+def load_flat(spark: SparkSession, path: str) -> Ragged:
+    return Ragged(partition_indices(spark.read.parquet(f"{path}/array"), spark.read.parquet(f"{path}/lengths")).select("traj_id", "frame", "value"))
+
+
 def sound(df: DataFrame, stride: int = 1) -> DataFrame:
     """traj_id, n: frames that a strided read would have, by keys alone."""
     return df.groupBy("traj_id").agg(F.ceil(F.count(F.lit(1)) / stride).cast("long").alias("n"))
@@ -103,13 +119,36 @@ def load_pdb(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def write_pdb(atoms: DataFrame, path: str) -> None:
-    """PDB text, a file a structure: columns of load_pdb, with a column `structure` that names the file's folder."""
-    line = F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s", (F.col("atom_id") + 1).cast("int"), F.concat(F.lit(" "), F.col("name")), "res_name", F.coalesce("chain", F.lit("A")), "res_seq", F.col("x") * 10, F.col("y") * 10, F.col("z") * 10, "element")
+    """PDB text, a file a structure: columns of load_pdb, with a column `structure` that names the file's folder, and b_factor if there is one."""
+    b = F.col("b_factor") if "b_factor" in atoms.columns else F.lit(0.0)
+    line = F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f  1.00%6.2f          %2s", (F.col("atom_id") + 1).cast("int"), F.concat(F.lit(" "), F.col("name")), "res_name", F.coalesce("chain", F.lit("A")), "res_seq", F.col("x") * 10, F.col("y") * 10, F.col("z") * 10, b, "element")
     ordered = atoms.groupBy("structure").agg(F.sort_array(F.collect_list(F.struct("atom_id", line.alias("l")))).alias("a"))
     text = ordered.select("structure", F.concat(F.array_join(F.transform("a", lambda r: r["l"]), "\n"), F.lit("\nEND")).alias("value"))
     text.write.mode("overwrite").partitionBy("structure").text(path)
 
 
+def structures(coords: DataFrame) -> DataFrame:
+    """traj_id, frame, x: each frame's coordinates (atom_id, x, y, z) in order of atoms as one flat vector, as rmsd takes them."""
+    own = coords.groupBy("traj_id", "frame").agg(F.sort_array(F.collect_list(F.struct("atom_id", F.array(*(F.col(c).cast("double") for c in "xyz")).alias("p")))).alias("a"))
+    return own.select("traj_id", "frame", F.flatten(F.transform("a", lambda r: r["p"])).alias("x"))
+
+
+def load_trajectories(spark: SparkSession, groups: list[list[str] | str], selections: list[str]) -> DataFrame:
+    """As structures, of groups of PDB files, each with a selection of its own; all must select equally many atoms. Trajectories are numbered on."""
+    if len(groups) != len(selections):
+        raise ImproperlyConfigured("needs a selection for each group of trajectories")
+    found, at = None, 0
+    for paths, text in zip(groups, selections, strict=True):
+        atoms = load_pdb(spark, paths)
+        own = structures(select_atoms(atoms, atoms, text)).withColumn("traj_id", F.col("traj_id") + at)
+        at += atoms.agg(F.max("traj_id") + 1).first()[0]
+        found = own if found is None else found.unionByName(own)
+    sizes = [r.n for r in found.select((F.size("x") / 3).cast("int").alias("n")).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise DataInvalid(f"selections of {sizes[0]} and {sizes[1]} atoms can't be compared")
+    return found
+
+
 def select_atoms(coords: DataFrame, atoms: DataFrame, text: str) -> DataFrame:
     """Coordinates of the atoms that a selection names; a selection of none is an error."""
     own = atoms.where(selection(text)).select("atom_id").distinct()

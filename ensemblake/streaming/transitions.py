@@ -1,8 +1,8 @@
-"""Streams of assignments: transition counts and rotamer states with a trajectory's last states as state."""
+"""Streams of assignments and angles, in the order of their event times whatever the order of arrival."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,31 +12,53 @@ from ..operators.cards import gates
 from ..plans.shared import workers_can_import
 
 
+def _in_order(stream: DataFrame, key: str, value: str, time: str, delay: str, out: str, kept: str, step: Callable[[list, object], object]) -> DataFrame:
+    """Rows made by step(kept, value) for each event of a key, in order of time.
+
+    Events are held until the watermark has passed them, when no earlier one can come; then they are taken in order. What comes later than that is dropped. State is what
+    step keeps, and the events of the last `delay`: bounded, however long a key goes on. Events that are equal in time are taken as they came. As with any
+    event time, the last events of a stream come out once later ones have moved the watermark on.
+    """
+    workers_can_import(stream.sparkSession)
+    kinds = dict(stream.dtypes)
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        keep, times, values = (list(x) for x in state.get) if state.exists else ([], [], [])
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for rows in batches:
+                at = rows[time].astype("datetime64[us]").astype("int64")
+                there = (at > mark * 1000).to_numpy() | (mark <= 0)
+                times += at[there].tolist()
+                values += [None if v is None or v != v else v for v in rows[value][there].tolist()]
+        order = sorted(range(len(times)), key=times.__getitem__)
+        ready = [j for j in order if times[j] <= mark * 1000]
+        made = [(k[0], times[j], x) for j in ready if (x := step(keep, values[j])) is not None]
+        left = order[len(ready) :]
+        state.update((keep, [times[j] for j in left], [values[j] for j in left]))
+        if left:
+            state.setTimeoutTimestamp(max(-(-times[left[0]] // 1000), mark + 1))
+        found = pd.DataFrame([(a, pd.Timestamp(t, unit="us"), *x) for a, t, x in made], columns=[c.split()[0] for c in out.split(", ")])
+        yield found
+
+    own = stream.withWatermark(time, delay).select(key, value, time)
+    return own.groupBy(key).applyInPandasWithState(run, out, f"kept array<{kept}>, times array<long>, held array<{kinds[value]}>", "append", "EventTimeTimeout")
+
+
 def streaming_transitions(assigns: DataFrame, lag_time: int = 1, time: str = "ts", delay: str = "0 seconds") -> DataFrame:
-    """traj_id, i, j of a stream (traj_id, state, `time`): a pair for each event and that lag_time present ones before.
+    """traj_id, `time`, i, j of a stream (traj_id, state, `time`): a pair for each event and that lag_time present ones before.
 
-    Events of a trajectory come in order of time; the watermark drops later ones. State is the last lag_time states, which is
-    bounded whatever the trajectory's length. Missing states (-1, null) are passed over, as in batch.
+    Missing states (-1, null) are passed over, as in batch. Events up to `delay` late are put in order; later ones are dropped.
     """
-    workers_can_import(assigns.sparkSession)
-    kind = dict(assigns.dtypes)["traj_id"]
-
-    def pairs(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
-        out = []
-        for now in rows["state"].tolist():
-            if now is None or now != now or now == -1:
-                continue
-            if len(last) == lag_time:
-                out.append((key[0], int(last.pop(0)), int(now)))
-            last.append(int(now))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["traj_id", "i", "j"])
-
-    stream = assigns.withWatermark(time, delay) if delay else assigns
-    own = stream.select("traj_id", "state", time)
-    return own.groupBy("traj_id").applyInPandasWithState(pairs, f"traj_id {kind}, i int, j int", "last array<int>", "append", "NoTimeout")
+
+    def step(last: list, now) -> tuple | None:
+        if now is None or now == -1:
+            return None
+        last.append(int(now))
+        return (last.pop(0), int(now)) if len(last) > lag_time else None
+
+    kinds = dict(assigns.dtypes)
+    return _in_order(assigns, "traj_id", "state", time, delay, f"traj_id {kinds['traj_id']}, {time} timestamp, i int, j int", "int", step)
 
 
 def streaming_counts(pairs: DataFrame) -> DataFrame:
@@ -45,26 +67,17 @@ def streaming_counts(pairs: DataFrame) -> DataFrame:
 
 
 def streaming_rotamers(angles: DataFrame, boundaries: list[float], buffer_width: float = 15, time: str = "ts", delay: str = "0 seconds") -> DataFrame:
-    """series, `time`, state of a stream (series, angle, `time`): a series' state is all that is kept of it."""
-    workers_can_import(angles.sparkSession)
-    kinds = dict(angles.dtypes)
+    """series, `time`, state of a stream (series, angle, `time`), as batch rotamers: a series' state, and its events of the last `delay`, are all that is kept of it."""
     gone = gates(boundaries, buffer_width)
 
-    def states(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
-        out = []
-        for t, angle in zip(rows[time], rows["angle"]):
-            basin = sum(angle >= b for b in boundaries[1:-1])
-            if now is None:
-                now = basin
-            else:
-                low, high = gone[now]
-                if high <= angle <= low if high < low else not low <= angle <= high:
-                    now = basin
-            out.append((key[0], t, int(now)))
-        state.update((int(now),))
-        yield pd.DataFrame(out, columns=["series", time, "state"])
-
-    stream = angles.withWatermark(time, delay) if delay else angles
-    return stream.select("series", "angle", time).groupBy("series").applyInPandasWithState(states, f"series {kinds['series']}, {time} {kinds[time]}, state int", "state int", "append", "NoTimeout")
+    def step(kept: list, angle) -> tuple:
+        basin = sum(angle >= b for b in boundaries[1:-1])
+        if kept:
+            low, high = gone[kept[0]]
+            kept[:] = [basin] if (high <= angle <= low if high < low else not low <= angle <= high) else kept
+        else:
+            kept.append(basin)
+        return (int(kept[0]),)
+
+    kinds = dict(angles.dtypes)
+    return _in_order(angles, "series", "angle", time, delay, f"series {kinds['series']}, {time} timestamp, state int", "int", step)
