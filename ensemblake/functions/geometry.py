@@ -116,6 +116,11 @@ def rmsf(coords: DataFrame, weights: DataFrame | None = None, ref_frame: int = 0
     return own.join(ref, "atom_id").groupBy(by).agg(F.sqrt(F.sum(d2 * F.col("w")) / F.sum("w")).alias("rmsf"))
 
 
+def b_factors(atoms: DataFrame, fluctuations: DataFrame, by: str = "res_seq") -> DataFrame:
+    """atoms with b_factor: the fluctuation (by, rmsf) of an atom or its residue, as structure files carry it; 0 where there is none."""
+    return atoms.join(fluctuations.select(by, F.col("rmsf").alias("b_factor")), by, "left").withColumn("b_factor", F.coalesce("b_factor", F.lit(0.0)))
+
+
 def running_mean(points: DataFrame, value: str, n: int, order: str, by: list[str] = ()) -> DataFrame:
     """Means of n values in a row; the last full window is left out."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -57,11 +57,27 @@ def jaccard(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(_total(_pairs(x, y, lambda a, b: ((a != b) & ((a != 0) | (b != 0))).cast("double"))), some), F.lit(0.0))
 
 
-METRICS: dict[str, Metric] = {"euclidean": euclidean, "sqeuclidean": sqeuclidean, "manhattan": manhattan, "cityblock": manhattan, "chebyshev": chebyshev, "canberra": canberra, "braycurtis": braycurtis, "hamming": hamming, "jaccard": jaccard}
+def cosine(x: Column, y: Column) -> Column:
+    """1 less the cosine of the angle between them; null where one is zero."""
+    return 1 - F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """As cosine, of the components less their means."""
+    centred = lambda v: let(v.cast("array<double>"), lambda a: let(_total(a) / F.size(a), lambda m: F.transform(a, lambda c: c - m)))
+    return let(centred(x), lambda a: let(centred(y), lambda b: cosine(a, b)))
+
+
+def minkowski(p: float) -> Metric:
+    """The metric of a power: 1 is manhattan, 2 euclidean."""
+    return lambda x, y: F.pow(_total(_pairs(x, y, lambda a, b: F.pow(F.abs(a - b), p))), 1 / p)
+
+
+METRICS: dict[str, Metric] = {"cosine": cosine, "correlation": correlation, "minkowski": minkowski(3), "euclidean": euclidean, "sqeuclidean": sqeuclidean, "manhattan": manhattan, "cityblock": manhattan, "chebyshev": chebyshev, "canberra": canberra, "braycurtis": braycurtis, "hamming": hamming, "jaccard": jaccard}
 
 
 def metric(name: str | Metric) -> Metric:
-    """A metric by name, or a callable of two Columns as it is. `rmsd` needs superposition: see geometry.rmsd."""
+    """A metric by name (minkowski: of power 3, else minkowski(p)), or a callable of two Columns as it is. `rmsd` needs superposition: see geometry.rmsd."""
     if callable(name):
         return name
     if name == "rmsd":

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..exceptions import DataInvalid, ImproperlyConfigured
 from ..functions import metrics
-from ..plans.shared import workers_can_import, written
+from ..plans.shared import bucketed, workers_can_import
 
 #: Distances of a batch of vectors to all centres, for metrics with a matrix form.
 MATRIX: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
@@ -41,30 +41,33 @@ class ClusterResult:
         return partition_list(self.assignments, lengths, index)
 
 
-def nearest(centers: list[list[float]], metric: str | metrics.Metric, x: str = "x") -> Column:
-    """struct(state, distance) of the nearest of some centres; ties go to the first.
+def nearest(centers: list[list[float]], metric: str | metrics.Metric, x: str | Column = "x") -> Column:
+    """struct(state, distance) of the nearest of some centres; ties go to the first. Rows whose x is null aren't looked at.
 
     The centres are few and go out with the task: rows aren't multiplied by centres. Metrics with a matrix form are computed for a batch at a time.
     """
     if not centers:
         raise DataInvalid("no centres")
+    where = F.col(x) if isinstance(x, str) else x
     if metric in MATRIX:
         fixed, form = np.array(centers, float), MATRIX[metric]
 
         @F.pandas_udf("state int, distance double")
         def find(rows: pd.Series) -> pd.DataFrame:
-            best = np.empty((len(rows), 2))
-            for a in range(0, len(rows), 512):
-                d = form(np.stack(rows.iloc[a : a + 512]).astype(float), fixed)
+            known = np.flatnonzero(rows.notna().to_numpy())
+            best = pd.DataFrame({"state": pd.array([None] * len(rows), dtype="Int32"), "distance": np.full(len(rows), np.nan)})
+            for a in range(0, len(known), 512):
+                at = known[a : a + 512]
+                d = form(np.stack(rows.iloc[at].to_numpy()).astype(float), fixed)
                 k = d.argmin(axis=1)
-                best[a : a + 512, 0], best[a : a + 512, 1] = k, d[np.arange(len(d)), k]
-            return pd.DataFrame({"state": best[:, 0].astype(np.int32), "distance": best[:, 1]})
+                best.iloc[at, 0], best.iloc[at, 1] = k.astype(np.int32), d[np.arange(len(d)), k]
+            return best
 
-        return find(F.col(x))
+        return find(where)
     own = metrics.metric(metric)
-    each = F.array(*(F.struct(own(F.col(x), vector(c)).alias("distance"), F.lit(k).alias("state")) for k, c in enumerate(centers)))
+    each = F.array(*(F.struct(own(where, vector(c)).alias("distance"), F.lit(k).alias("state")) for k, c in enumerate(centers)))
     found = F.array_min(each)
-    return F.struct(found["state"].alias("state"), found["distance"].alias("distance"))
+    return F.when(where.isNotNull(), F.struct(found["state"].alias("state"), found["distance"].alias("distance")))
 
 
 def vector(values: list[float]) -> Column:
@@ -102,15 +105,16 @@ def _centers(spark, rows: list[tuple], key: list[str], kinds: dict[str, str]) ->
 def kcenters(frames: DataFrame, metric: str | metrics.Metric = "euclidean", n_clusters: float = float("inf"), dist_cutoff: float = 0.0, key: list[str] = ("traj_id", "frame"), x: str = "x", init_centers: list[list[float]] | None = None, use_triangle_inequality: bool = False) -> ClusterResult:
     """Farthest-point clustering: a new centre while there are fewer than n_clusters and a frame is farther than the cut-off.
 
-    The first centre is the first frame. A round is one partial aggregate for the farthest frame (ties: the first), which alone comes to the driver, and
-    one distance a row; only keys, state and distance are carried, and are written every few rounds. With init_centers their labels come first.
+    The first centre is the first frame. A round is one partial aggregate for the farthest frame (ties: the first), which alone comes to the driver.
+    Vectors are written once, in buckets by key; every few rounds keys, state and distance are written in the same buckets, so the two join in
+    place, and a row's distances since then are all that is computed again. With init_centers their labels come first.
     The triangle inequality skips distances where a frame is nearer to its centre than half way to the new one.
     """
     if n_clusters == float("inf") and dist_cutoff <= 0:
         raise ImproperlyConfigured("needs a number of clusters or a radius")
     key, own, spark = list(key), metrics.metric(metric), frames.sparkSession
     kinds = dict(frames.dtypes)
-    base = frames.select(*key, F.col(x).cast("array<double>").alias("x"))
+    base = bucketed(frames.select(*key, F.col(x).cast("array<double>").alias("x")), "vectors", key)
     centers: list[tuple] = []
     if init_centers:
         now = assign_to_nearest_center(base, init_centers, metric)
@@ -135,7 +139,7 @@ def kcenters(frames: DataFrame, metric: str | metrics.Metric = "euclidean", n_cl
         centers.append((label, *(top[k] for k in key), list(row.x)))
         rounds += 1
         if rounds % WRITE_EVERY == 0:
-            now = written(now, "kcenters")
+            now = base.join(bucketed(now.select(*key, "state", "distance"), "kcenters", key), key)
     return ClusterResult(now.select(*key, "state", "distance"), _centers(spark, centers, key, kinds))
 
 
@@ -156,15 +160,17 @@ def _proposals(now: DataFrame, key: list[str], seed: int) -> dict[int, tuple]:
 def pam_sweep(base: DataFrame, result: ClusterResult, metric: str | metrics.Metric, key: list[str], proposals: dict[int, tuple] | None = None, seed: int = 0) -> ClusterResult:
     """One sweep over the medoids in order: each proposed frame replaces its medoid if the mean squared distance falls.
 
-    base: key..., x. Frames nearer to the proposal move to it; of the others only those of the replaced medoid look for another.
+    base: key..., x. Frames nearer to the proposal move to it; of the others only those of the replaced medoid look for another, so a
+    proposal costs a distance a row and those of one medoid's rows to the rest. A trial is one aggregate; where it is taken, keys, states and distances are written in
+    buckets by key. Vectors are never written: where base is in such buckets too (see bucketed), both join in place.
     """
     spark, kinds = base.sparkSession, dict(base.dtypes)
     base = base.select(*key, F.col("x").cast("array<double>").alias("x"))
     centers = [(r.state, *(r[k] for k in key), list(r.x)) for r in result.centers.orderBy("state").collect()]
     own = metrics.metric(metric)
-    now = base.join(result.assignments, key)
-    cost = mean_square(now)
-    proposals = proposals or _proposals(now, key, seed)
+    state = bucketed(result.assignments.select(*key, "state", "distance"), "medoids", key)
+    cost = mean_square(state)
+    proposals = proposals or _proposals(state, key, seed)
     for at, (label, *_rest) in enumerate(centers):
         if label not in proposals:
             continue
@@ -172,25 +178,24 @@ def pam_sweep(base: DataFrame, result: ClusterResult, metric: str | metrics.Metr
         row = base.where(" AND ".join(f"{k} = {v!r}" for k, v in zip(key, at_key))).select("x").first()
         tried = [*centers]
         tried[at] = (label, *at_key, list(row.x))
-        again = nearest([c[-1] for c in tried], metric)
-        new = now.withColumn("__d", own(F.col("x"), vector(list(row.x)))).withColumn("__n", again)
+        new = base.join(state, key).withColumn("__d", own(F.col("x"), vector(list(row.x))))
         closer, lost = F.col("__d") < F.col("distance"), F.col("state") == label
+        new = new.withColumn("__n", nearest([c[-1] for c in tried], metric, F.when(lost & ~closer, F.col("x"))))
         new = new.select(
-            *key, "x",
+            *key,
             F.when(closer, F.lit(label)).when(lost, F.col("__n.state")).otherwise(F.col("state")).alias("state"),
             F.when(closer, F.col("__d")).when(lost, F.col("__n.distance")).otherwise(F.col("distance")).alias("distance"),
         )
-        new = written(new, "pam")
         if (tried_cost := mean_square(new)) < cost:
-            now, cost, centers = new, tried_cost, tried
-    return ClusterResult(now.select(*key, "state", "distance"), _centers(spark, centers, key, kinds))
+            state, cost, centers = bucketed(new, "medoids", key), tried_cost, tried
+    return ClusterResult(state, _centers(spark, centers, key, kinds))
 
 
 def kmedoids(frames: DataFrame, metric: str | metrics.Metric = "euclidean", n_clusters: int | None = None, n_iters: int = 5, key: list[str] = ("traj_id", "frame"), x: str = "x", start: ClusterResult | None = None, proposals: list[dict[int, tuple]] | None = None, seed: int = 0) -> ClusterResult:
     """Medoids refined by sweeps, from a given result or from frames drawn by hash."""
     key = list(key)
     workers_can_import(frames.sparkSession)
-    base = frames.select(*key, F.col(x).cast("array<double>").alias("x"))
+    base = bucketed(frames.select(*key, F.col(x).cast("array<double>").alias("x")), "vectors", key)
     if start is None:
         if not n_clusters:
             raise ImproperlyConfigured("needs a number of clusters or a start")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..exceptions import DataInvalid
+from ..exceptions import DataInvalid, InsufficientResourceError
 from ..functions import fret, linalg
 from ..functions.geometry import difference, selection
 from ..plans.shared import workers_can_import
@@ -17,6 +17,8 @@ from .fret import clear_conformers, photon_events, resolve_excitations, sample_b
 from .info import condense_sidechain_sasas, exposons_from_sasas
 from .msm import normalize
 
+#: Atoms of all of a dye library's conformers together.
+MOST_ATOMS = 2_000_000
 BACKBONE = ("N", "CA", "C", "O")
 
 
@@ -45,6 +47,8 @@ def place_dye(dye: DataFrame, atoms: DataFrame, res_seq: int, cb_name: str | Non
     The library goes out with the tasks; a frame's residue is one row, so frames are placed in parallel.
     """
     workers_can_import(dye.sparkSession)
+    if (n := dye.count()) > MOST_ATOMS:
+        raise InsufficientResourceError(f"a library of {n} atoms is too large to go out with every task")
     library = dye.orderBy("conformer", "atom_id").toPandas()
     names = library[library["conformer"] == library["conformer"].iloc[0]]["name"].tolist()
     xyz = library[["x", "y", "z"]].to_numpy(float).reshape(-1, len(names), 3)

@@ -189,8 +189,10 @@ def exposons_from_sasas(sasas: DataFrame, damping: float = 0.5, weight: str | No
     states = sasas.withColumn("state", (F.col("sasa") > threshold).cast("int")).withColumnRenamed("residue", "feature").withColumn("__w", F.col(weight) if weight else F.lit(1.0))
     names = sorted(r.feature for r in states.select("feature").distinct().collect())
     mi = weighted_mi(states, "__w", dict.fromkeys(names, 2))
-    index = {name: k for k, name in enumerate(names)}
-    dense = linalg.gather(mi.sparkSession.createDataFrame([(index[a], index[b], float(v)) for a, b, v in mi.collect()], "i int, j int, v double"), len(names))
+    linalg.few_states(len(names))
+    number = mi.sparkSession.createDataFrame(list(enumerate(names)), f"k int, name {states.schema['feature'].dataType.simpleString()}")
+    both = mi.join(number.toDF("i", "fa"), "fa").join(number.toDF("j", "fb"), "fb")
+    dense = linalg.gather(both.select("i", "j", F.col("mi").alias("v")), len(names))
     labels = linalg.affinity_propagation(dense, damping, 0.0)
     return mi, mi.sparkSession.createDataFrame([(n, int(k)) for n, k in zip(names, labels)], "residue int, exposon int")
 

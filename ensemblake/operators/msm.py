@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..exceptions import DataInvalid, ImproperlyConfigured
 from ..functions import linalg
+from ..plans.shared import sized, written
 from .counts import assigns_to_counts, counts_by_lag
 
 
@@ -20,7 +21,7 @@ def with_prior(counts: DataFrame, prior: float | DataFrame | None, n_states: int
         return counts
     if isinstance(prior, DataFrame):
         return counts.unionByName(prior.select("i", "j", F.col("v").cast("double"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    n = n_states or state_count(counts)
+    n = linalg.few_states(n_states or state_count(counts))
     side = counts.sparkSession.range(n).select(F.col("id").cast("int").alias("i"))
     grid = side.crossJoin(side.withColumnRenamed("i", "j"))
     return grid.join(counts, ["i", "j"], "left").select("i", "j", (F.coalesce("v", F.lit(0.0)) + F.lit(float(prior))).alias("v"))
@@ -120,7 +121,7 @@ def trim_disconnected(counts: DataFrame, threshold: float = 1, renumber_states:
 def apply_mapping(matrix: DataFrame, mapping: DataFrame) -> DataFrame:
     """Cells between kept states, under their new numbers."""
     rows, cols = mapping.toDF("i", "__i"), mapping.toDF("j", "__j")
-    return matrix.join(F.broadcast(rows), "i").join(F.broadcast(cols), "j").select(F.col("__i").alias("i"), F.col("__j").alias("j"), "v")
+    return matrix.join(sized(rows), "i").join(sized(cols), "j").select(F.col("__i").alias("i"), F.col("__j").alias("j"), "v")
 
 
 class TrimMapping:
@@ -165,20 +166,22 @@ def timescales_of(t: np.ndarray, lag_time: int, n_times: int) -> np.ndarray:
         return -lag_time / np.log(values)
 
 
-def implied_timescales(assigns: DataFrame, lag_times: list[int], method: str | Callable[..., Model] = "normalize", n_times: int | None = None, sliding_window: bool = True, trim: bool = False) -> DataFrame:
-    """(lag, k, timescale), k from 0: all lags are counted in one job; each lag's small matrix is solved on its own."""
+def implied_timescales(assigns: DataFrame, lag_times: list[int], method: str | Callable[..., Model] = "normalize", n_times: int | None = None, sliding_window: bool = True, trim: bool = False, prior: bool = False) -> DataFrame:
+    """(lag, k, timescale), k from 0: all lags are counted in one job; each lag's small matrix is solved on its own.
+
+    prior: a pseudocount of one over the number of states in every cell first.
+    """
     spark = assigns.sparkSession
-    every = [tuple(r) for r in counts_by_lag(assigns, lag_times, sliding_window).collect()]
-    n = max((max(i, j) for _, i, j, _ in every), default=-1) + 1
+    counts = written(counts_by_lag(assigns, lag_times, sliding_window), "lags")
+    n = linalg.few_states(state_count(counts))
     n_times = min(n // 10 + 1 if n_times is None else n_times, n - 1)
     out = []
     for lag in lag_times:
-        own = spark.createDataFrame([(i, j, v) for at, i, j, v in every if at == lag], "i int, j int, v double")
-        size = n
+        own, size = counts.where(F.col("lag") == lag).select("i", "j", "v"), n
         if trim:
             mapping, own = trim_disconnected(own, n_states=n)
             size = mapping.count()
-        t = linalg.gather(builder(method)(own, calculate_eq_probs=False, n_states=size)[1], size)
+        t = linalg.gather(builder(method)(own, 1.0 / size if prior else None, False, size)[1], size)
         out += [(int(lag), k, float(x)) for k, x in enumerate(timescales_of(t, lag, min(n_times, size - 1)))]
     return spark.createDataFrame(out, "lag int, k int, timescale double")
 
@@ -197,7 +200,7 @@ class MSM:
 
     def fit(self, assigns: DataFrame) -> MSM:
         spark = assigns.sparkSession
-        counts = assigns_to_counts(assigns, self.lag_time, self.sliding_window).cache()
+        counts = written(assigns_to_counts(assigns, self.lag_time, self.sliding_window), "counts")
         n = self.max_n_states or state_count(counts)
         if self.trim:
             mapping, counts = trim_disconnected(counts, n_states=n)

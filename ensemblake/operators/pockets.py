@@ -120,6 +120,12 @@ def pockets(atoms: DataFrame, grid_spacing: float = 0.1, probe_radius: float = 0
     return cluster_points(cells.withColumn("id", names), 1.5 * grid_spacing, by, min_cluster_size)
 
 
+def as_structures(clustered: DataFrame, structure: str = "frame") -> DataFrame:
+    """Points (structure, id, px, py, pz, cluster) as atoms for write_pdb: one residue a cluster, in order of clusters."""
+    atom = (F.row_number().over(Window.partitionBy(structure).orderBy("cluster", "id")) - 1).cast("long")
+    return clustered.select(F.col(structure).alias("structure"), atom.alias("atom_id"), F.lit("C").alias("name"), F.lit("POC").alias("res_name"), F.lit("A").alias("chain"), F.col("cluster").alias("res_seq"), *(F.col(f"p{c}").alias(c) for c in CELL), F.lit("C").alias("element"))
+
+
 def radius_of(element: Column) -> Column:
     """Van der Waals radii in nm (Bondi's values, fixed)."""
     table = {"H": 0.12, "C": 0.17, "N": 0.155, "O": 0.152, "S": 0.18, "P": 0.18}

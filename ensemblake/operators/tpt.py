@@ -11,7 +11,7 @@ from .msm import eq_probs, state_count
 
 def i_minus_q(t: DataFrame, absorbing: list[int], n_states: int | None = None) -> DataFrame:
     """(i, j, v) of 1 - T over the full grid, rows and columns of absorbing states replaced by those of the identity."""
-    n = n_states or state_count(t)
+    n = linalg.few_states(n_states or state_count(t))
     side = t.sparkSession.range(n).select(F.col("id").cast("int").alias("i"))
     grid = side.crossJoin(side.withColumnRenamed("i", "j")).join(t, ["i", "j"], "left")
     one = (F.col("i") == F.col("j")).cast("double")

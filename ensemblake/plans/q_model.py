@@ -240,11 +240,6 @@ def _(s, d):
     return cells(tpt.committors(msm.normalize(counts1(s, d), calculate_eq_probs=False)[1], [0], [4], 5))
 
 
-@q("mfpt_all_pairs")
-def _(s, d):
-    return tpt.mfpts(msm.transpose(counts1(s, d))[1], n_states=5).select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
-
-
 # A path's flux is the smallest on its edges; the best path is that of the largest, then the shortest, then the first.
 @q("top_path", f"""WITH RECURSIVE {NET.removeprefix('WITH ')},
 w AS (SELECT [0] AS path, 'inf'::DOUBLE AS flux UNION ALL SELECT list_append(path, net.j), least(flux, net.v) FROM w JOIN net ON net.i = path[-1] WHERE NOT list_contains(path, net.j) AND path[-1] <> 2 AND net.v > 1e-12),
@@ -261,10 +256,6 @@ def net5(s, d):
     return tpt.net_fluxes(t, [0], [4], pi).where("v > 1e-12")
 
 
-for _mode in ("subtract", "bottleneck"):
-    q(f"top_paths_{_mode}")(lambda s, d, mode=_mode: cells(tpt.paths([0], [4], net5(s, d), mode, n_states=5), "flux"))
-
-
 @q("i_minus_q", f"{C1}, {FULL}, t AS (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM g) SELECT i, j, round(CASE WHEN i IN (0, 4) OR j IN (0, 4) THEN (i = j)::INT ELSE (i = j)::INT - v END, 9) + 0.0::DOUBLE AS v FROM t")
 def _(s, d):
     return cells(tpt.i_minus_q(msm.normalize(counts1(s, d), calculate_eq_probs=False)[1], [0, 4], 5))
@@ -331,11 +322,6 @@ def _(s, d):
     return rounded(cl.kcenters(dm.em(s, d), "euclidean", 4, key=KEY, use_triangle_inequality=True).assignments)
 
 
-@q("kcenters_radius")
-def _(s, d):
-    return rounded(cl.kcenters(dm.em(s, d), "euclidean", 25, 1.2, key=KEY).assignments)
-
-
 def four(s, d):
     return [list(r.x) for r in dm.em(s, d).where("vec_id IN (3, 50, 120, 333)").orderBy("vec_id").collect()]
 
@@ -402,11 +388,6 @@ def _(s, d):
     return rounded(cl.pam_sweep(e, start, "euclidean", KEY, {k: (v,) for k, v in enumerate(PROPOSALS)}).assignments)
 
 
-@q("khybrid_k3")
-def _(s, d):
-    return rounded(cl.hybrid(dm.em(s, d), "euclidean", 1, 3, key=KEY, seed=4).assignments)
-
-
 @q("kmedoids_random")
 def _(s, d):
     return rounded(cl.kmedoids(dm.em(s, d), "euclidean", 3, 1, KEY, seed=2).assignments)

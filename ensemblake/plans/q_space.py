@@ -135,20 +135,15 @@ def _(s, d):
 
 
 GRID = 1.0
-ATOMS = "atm AS (SELECT frame, px AS x, py AS y, pz AS z, 0.6 AS radius FROM pts WHERE frame < 3)"
+ATOMS = "atm AS (SELECT frame, px AS x, py AS y, pz AS z, 0.6 AS radius FROM pts)"
 GR = f"""{PTS}, {ATOMS}, en AS (SELECT frame, min(x) AS lx, min(y) AS ly, min(z) AS lz, ceil((max(x) - min(x)) / {GRID})::INT AS nx, ceil((max(y) - min(y)) / {GRID})::INT AS ny, ceil((max(z) - min(z)) / {GRID})::INT AS nz FROM atm GROUP BY frame),
 gr AS (SELECT frame, x, y, unnest(range(0, nz + 1))::INT AS z, lx, ly, lz FROM (SELECT *, unnest(range(0, ny + 1))::INT AS y FROM (SELECT *, unnest(range(0, nx + 1))::INT AS x FROM en))),
 gp AS (SELECT frame, x, y, z, lx + x * {GRID} AS px, ly + y * {GRID} AS py, lz + z * {GRID} AS pz FROM gr),
 tp AS (SELECT g.*, (EXISTS (SELECT 1 FROM atm a WHERE a.frame = g.frame AND (a.x - g.px) ** 2 + (a.y - g.py) ** 2 + (a.z - g.pz) ** 2 < 0.49))::INT AS touch FROM gp g)"""
 
 
-def all_atoms(s, d):
-    return dm.points(s, d).select("frame", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"), F.lit(0.6).alias("radius"))
-
-
 def atoms(s, d):
-    """The frames that the SQL of the queries below takes."""
-    return all_atoms(s, d).where("frame < 3")
+    return dm.points(s, d).select("frame", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"), F.lit(0.6).alias("radius"))
 
 
 @q("pocket_grid", f"WITH {GR} SELECT frame, x, y, z, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz FROM gp")
@@ -206,19 +201,21 @@ def _(s, d):
     return pk.cluster_points(dm.points(s, d), 0.8, n_clouds=1).select("id", "frame", "cluster")
 
 
-@q("pocket_clusters")
+POCKETS = "WITH RECURSIVE " + CLUSTER.format(head=RANK.replace("rk AS (SELECT frame, x, y, z, ", "rk AS (SELECT frame, x, y, z, px, py, pz, "), nodes="SELECT frame, x, y, z, frame || ',' || x || ',' || y || ',' || z AS id, px, py, pz FROM rk WHERE rank >= 2", reach=(1.5 * GRID) ** 2, having="")
+
+
+@q("pocket_clusters", POCKETS + " SELECT n.frame, n.x, n.y, n.z, cluster FROM nodes n JOIN cm USING (id) JOIN sz ON sz.frame = n.frame AND sz.component = cm.component")
 def _(s, d):
-    return pk.pockets(all_atoms(s, d), GRID, 0.1, 2, 0, 0.6).select("frame", "x", "y", "z", "cluster")
+    return pk.pockets(atoms(s, d), GRID, 0.1, 2, 0, 0.6).select("frame", "x", "y", "z", "cluster")
 
 
-@q("clash_filter", f"WITH {PTS}, {ATOMS} SELECT id, frame FROM pts p WHERE frame < 3 AND id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM atm a WHERE a.frame = p.frame AND NOT (a.x = p.px AND a.y = p.py AND a.z = p.pz) AND (a.x - p.px) ** 2 + (a.y - p.py) ** 2 + (a.z - p.pz) ** 2 < 0.49)")
+@q("clash_filter", f"WITH {PTS}, {ATOMS} SELECT id, frame FROM pts p WHERE NOT EXISTS (SELECT 1 FROM pts a WHERE a.frame = p.frame AND a.id <> p.id AND (a.px - p.px) ** 2 + (a.py - p.py) ** 2 + (a.pz - p.pz) ** 2 < 0.49)")
 def _(s, d):
-    p = dm.points(s, d).where("frame < 3")
-    own = p.where("id % 3 = 0")
-    # A point isn't its own neighbour: clashes are sought with all others of the frame.
-    hit = pk.near_points(own.withColumn("me", F.col("id")), p.select("frame", "id", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z")), ["px", "py", "pz"], F.lit(0.7), 0.7, ["frame"])
+    p = dm.points(s, d)
+    # A point is near itself: those that are near nothing else stay.
+    hit = pk.near_points(p, p.select("frame", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z")), ["px", "py", "pz"], F.lit(0.7), 0.7, ["frame"])
     alone = hit.groupBy("frame", "id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("frame", "id")
-    return own.join(alone, ["frame", "id"]).select("id", "frame")
+    return p.join(alone, ["frame", "id"]).select("id", "frame")
 
 
 HALVES = f"{PTS}, pa AS (SELECT * FROM pts WHERE id % 2 = 0), pb AS (SELECT * FROM pts WHERE id % 2 = 1), dd AS (SELECT frame, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) + (a.pz - b.pz) * (a.pz - b.pz)) AS r FROM pa a JOIN pb b USING (frame)), hh AS (SELECT frame, floor(r / 0.5)::INT AS bin, count(*) AS n FROM dd GROUP BY ALL), tops AS (SELECT frame, unnest(range(0, floor(max(r) / 0.5)::INT + 2))::INT AS bin FROM dd GROUP BY frame), hist AS (SELECT frame, bin, coalesce(n, 0) AS n FROM tops LEFT JOIN hh USING (frame, bin))"
@@ -317,15 +314,15 @@ def _(s, d):
     return fr.per_state_efficiency(states, dye_events(s, d)).select("state", F.round("fe", 9).alias("fe"))
 
 
-@q("isotropic_fe", f"""WITH {VEC}, dn AS (SELECT vec_id % 5 + 1.0 AS p, a_, b_, c_, d_, e_, f_ FROM vs WHERE vec_id < 20), ac AS (SELECT vec_id % 3 + 1.0 AS p, a_ + 5 AS g_, b_ AS h_, c_ AS i_, d_ AS j_, e_ AS k_, f_ AS l_ FROM vs WHERE vec_id BETWEEN 20 AND 44),
+@q("isotropic_fe", f"""WITH {VEC}, dn AS (SELECT vec_id % 5 + 1.0 AS p, a_, b_, c_, d_, e_, f_ FROM vs WHERE vec_id % 2 = 0), ac AS (SELECT vec_id % 3 + 1.0 AS p, a_ + 5 AS g_, b_ AS h_, c_ AS i_, d_ AS j_, e_ AS k_, f_ AS l_ FROM vs WHERE vec_id % 2 = 1),
 kb AS (SELECT dn.p * ac.p AS w, *, g_ - a_ AS rx, h_ - b_ AS ry, i_ - c_ AS rz FROM dn, ac), kn AS (SELECT *, sqrt(rx*rx+ry*ry+rz*rz) AS r, sqrt(d_*d_+e_*e_+f_*f_) AS dl, sqrt(j_*j_+k_*k_+l_*l_) AS al FROM kb),
 kk AS (SELECT w, r, pow((d_*j_+e_*k_+f_*l_)/(dl*al) - 3*((d_*rx+e_*ry+f_*rz)/(dl*r))*((j_*rx+k_*ry+l_*rz)/(al*r)), 2) AS k2 FROM kn), z AS (SELECT w, r, 0.02108 * pow(k2 * 0.92 * 2.4e15 / pow(1.333, 4), 1.0 / 6) AS r0 FROM kk)
 SELECT round(sum(w * pow(r0, 6) / (pow(r0, 6) + pow(r, 6))) / sum(w), 6) AS fe FROM z""")
 def _(s, d):
     e = emb(s, d)
     shifted = F.array(F.col("v0")[0] + 5, F.col("v0")[1], F.col("v0")[2])
-    donors = e.where("vec_id < 20").select((F.col("vec_id") % 5 + 1.0).alias("p"), F.col("v0").alias("origin"), F.col("v1").alias("dipole"))
-    acceptors = e.where("vec_id BETWEEN 20 AND 44").select((F.col("vec_id") % 3 + 1.0).alias("p"), shifted.alias("origin"), F.col("v1").alias("dipole"))
+    donors = e.where("vec_id % 2 = 0").select((F.col("vec_id") % 5 + 1.0).alias("p"), F.col("v0").alias("origin"), F.col("v1").alias("dipole"))
+    acceptors = e.where("vec_id % 2 = 1").select((F.col("vec_id") % 3 + 1.0).alias("p"), shifted.alias("origin"), F.col("v1").alias("dipole"))
     return fr.isotropic_efficiency(donors, acceptors, 2.4e15, 0.92).select(F.round("fe", 6).alias("fe"))
 
 
