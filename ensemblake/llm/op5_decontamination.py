@@ -168,7 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     An alignment's score is that of one match and what each step to the next match adds: MATCH less the step's errors. Steps of two errors or
     more add nothing, so a copy has seeds in reach whose sum is at least least(n) - MATCH. Of each item the seeds at the places whose seeds are commonest
     in docs are left out, and what they could add is taken off: what is left still must be there. Seeds of texts are joined to those of items;
-    where enough of an item's lie in reach of each other a text is aligned, so none that may hold a copy is left out. How often docs is read doesn't depend on the benchmark.
+    where enough of an item's lie in reach of each other a text is aligned, so none that may hold a copy is left out. docs is read once for seeds, whatever the size of the benchmark.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -178,8 +178,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return spark.createDataFrame([], f"doc_id {own.dtypes[0][1]}, item_id long, score double, start long, `end` long, text_key long")
     seeds = written(items.select("item_id", "n", "spare", "needed", F.inline("seeds")), "seeds")
     distances = [d for d in (0, 1, 2) if d or not items.where("n = 1").isEmpty()]
-    kept = written(_rare(seeds, _counts(own, Filter(seeds.select("seed").distinct()), distances)), "rare-seeds")
-    hits = _hits(own, Filter(kept.select("seed").distinct()), distances)
+    # One pass over the texts; how common a seed is, and which seeds matter, is then told from the hits alone.
+    hits = written(_hits(own, Filter(seeds.select("seed").distinct()), distances), "hits")
+    kept = written(_rare(seeds, hits.groupBy("seed").agg(F.count(F.lit(1)).alias("times"))), "rare-seeds")
     # Few seeds go out to the hits; more are joined by a shuffle. A long text's hits of one place count once, by what they add at most.
     found = hits.join(sized(kept.select("seed", "item_id", "adds")), "seed").groupBy("doc_id", "text_key", "item_id").agg(F.collect_list(F.struct("place", "adds")).alias("hits"), F.sum("adds").alias("sum"))
     needed = kept.select("item_id", "n", "needed").distinct()
@@ -208,18 +209,6 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return written(found.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k"), "items")
 
 
-def _counts(own: DataFrame, known: Filter, distances: list[int]) -> DataFrame:
-    """seed, times: how often each occurs in all texts."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, 0)):
-            keys = np.concatenate([k for _, _, k in known.hits(batch.column(0).to_pylist(), distances)])
-            seed, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(n, pa.int64())], names=["seed", "n"])
-
-    return own.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("times"))
-
-
 def _rare(seeds: DataFrame, counts: DataFrame) -> DataFrame:
     """seed, item_id, adds, n, needed: an item's seeds without those at its commonest places, and the sum that a copy has of the rest."""
     times = F.coalesce("times", F.lit(0))

@@ -266,17 +266,17 @@ def _apart(placed: DataFrame, texts: Texts, counted: bool, threshold: float) ->
     before = Window.partitionBy("node").orderBy("n", "shingles").rowsBetween(Window.unboundedPreceding, -1)
     lost = F.coalesce(F.sum("weights").over(before), F.lit(0.0))
     first = cells.withColumn("lost", lost).join(shared, "node").where(F.col("weight") - F.col("shared") + F.col("lost") <= (1 - threshold) * F.col("weight") + 1e-6)
-    first = written(first.join(inside, "node").select("node", "class", "strange", "weight", "shared", "shingles", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "rare-shingles")
-    x, y = (first.select("shingles", "parts", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "class", "strange", "weight", "shared"))) for p in "xy")
+    first = first.select("node", "shared", "shingles", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")).join(inside, "node").join(sets.select("node", "weight", "bits"), "node")
+    first = written(first, "rare-shingles")
+    x, y = (first.select("shingles", "parts", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "class", "strange", "weight", "shared", "bits"))) for p in "xy")
     x = x.where("x_strange").withColumn("part", F.pmod(F.xxhash64("x_node"), F.col("parts")).cast("int")).drop("parts")
     y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     w, v = F.col("x_weight"), F.col("y_weight")
     near = (F.least(w, v) >= threshold * F.greatest(w, v) - 1e-6) & (F.least("x_shared", "y_shared") >= threshold / (1 + threshold) * (w + v) - 1e-6)
+    differ = sum(F.bit_count(F.col("x_bits")[k].bitwiseXOR(F.col("y_bits")[k])) for k in range(PARITIES))
+    near = near & (differ <= (1 - threshold) / (1 + threshold) * (w + v) + 1e-6)
     pairs = x.join(y, ["shingles", "part"]).where((F.col("x_class") != F.col("y_class")) & near)
-    pairs = written(pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct(), "near-pairs")
-    bits = lambda c: sets.select(F.col("node").alias(c), F.col("weight").alias(f"{c}_weight"), F.col("bits").alias(f"{c}_bits"))
-    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
-    return pairs.join(bits("a"), "a").join(bits("b"), "b").where(differ <= (1 - threshold) / (1 + threshold) * (F.col("a_weight") + F.col("b_weight")) + 1e-6).select("a", "b")
+    return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
 
 
 #: 64-bit words of a text's parities.

@@ -118,56 +118,36 @@ class Segment:
 SEGMENTS = "part int, seq int, n_docs long, n_ids long, image binary"
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
-    """doc_id, n_ids, width (bytes an id), ids: whole texts of docs (doc_id, text) as little-endian numbers, in 16 bits where the vocabulary fits them."""
-
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, end_id)
-        width = 2 if own.short else 4
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # few texts as Python strings at a time
-                few = batch.slice(at, 500)
-                ids = list(own.encode(few.column(1).to_pylist()))
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                data = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}")
-                ends = np.concatenate(([0], np.cumsum(n * width))).astype(np.int32)
-                cells = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(n), pa.array(np.full(len(n), width, np.int32)), cells], names=["doc_id", "n_ids", "width", "ids"])
-
-    return docs.mapInArrow(encode, "doc_id long, n_ids long, width int, ids binary")
-
-
 def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int = SEGMENT_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes whole texts and writes segments in ascending order of ids to the shared folder; returns the written table.
+    """Encodes whole texts in ascending order of ids and writes segments to the shared folder; returns the written table.
 
-    Texts are encoded where they are, and only their ids, a fraction of the text, are moved and sorted. Null texts are empty ones. Rows with one id
-    are in the order of their lengths and ids; null ids come first. Ids are long integers.
+    Null texts are empty ones. Rows with one id stay in order of their texts; null ids come first. Ids are long integers.
     """
     spark = docs.sparkSession
     prepare(spark)
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, keys, sizes, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, seq, keys, encoded, size, encode = TaskContext.get().partitionId(), 0, [], [], 0, encoder(path, end_id).encode
 
         def image() -> pa.RecordBatch:
-            own = Segment(keys, EliasFano.of(np.cumsum(sizes, dtype=np.int64)), np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64()), pa.array([own.to_bytes()], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "image"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size // 4], pa.int64()), pa.array([Segment.of(keys, encoded).to_bytes()], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "image"])
 
         for batch in batches:
-            for key, n, width, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
-                keys.append(key)
-                sizes.append(n)
-                held.append(np.frombuffer(ids.as_buffer(), f"<u{width}").copy())
-                size += n
-                if size >= segment_ids:
-                    yield image()
-                    seq, keys, sizes, held, size = seq + 1, [], [], [], 0
+            for at in range(0, batch.num_rows, 500):  # few texts as Python strings at a time
+                few = batch.slice(at, 500)
+                for key, ids in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist()), strict=True):
+                    keys.append(key)
+                    encoded.append(ids)
+                    size += len(ids)
+                    if size >= 4 * segment_ids:
+                        yield image()
+                        seq, keys, encoded, size = seq + 1, [], [], 0
         if keys:
             yield image()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = written(encoded(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path, end_id), "encoded", "snappy")
-    ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_ids", "ids")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ordered = own.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return written(ordered.mapInArrow(segments, SEGMENTS), "token-segments", "snappy")
 
 
