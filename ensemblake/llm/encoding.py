@@ -6,7 +6,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -42,6 +42,14 @@ def by_words(path: str) -> bool:
     )
 
 
+def plain(text: str) -> bool:
+    """Whether a text is all Latin-1, whose characters are composed as they are and have lower cases of their own."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 def chunks_of(text: str) -> list[str]:
     """Those between spaces, tabs and line ends; some may be empty.
 
@@ -49,7 +57,7 @@ def chunks_of(text: str) -> list[str]:
     within it, and no added token holds any: ids of a text are those of its chunks in order.
     Other Unicode spaces stay inside a chunk, where the library itself splits at them.
     """
-    if text.isascii() and "<|" not in text:
+    if "<|" not in text and plain(text):
         text = text.lower()  # as the tokenizer does, but for an added token
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
@@ -110,31 +118,28 @@ class WordEncoder:
         fresh = [x for x in set().union(*chunks) if x not in known]
         if former:
             met = [x for x in fresh if x in former]
-            self._keep(met, map(former.__getitem__, met))
+            self._keep(met, list(map(former.__getitem__, met)))
             fresh = [x for x in fresh if x not in known]
-        # Case is folded by the tokenizer and a final stop is a piece of its own, so most new chunks share a stem.
-        stems = [stem_of(chunk) for chunk in fresh]
-        simple, other = [], []
-        for x, single in {*stems, *((x, False) for x in STOPS)}:
-            if x not in known:
-                (simple if single else other).append(x)
-        self._encode(other)
-        self._encode_joined(simple)
-        for chunk, (stem, _) in zip(fresh, stems, strict=True):
-            if chunk != stem:
-                ids = known[stem]
-                known[chunk] = ids = ids + known[chunk[-1]] if len(chunk) > len(stem) else ids
-                self.size += len(ids) + 4 * len(chunk)
-
-    def _keep(self, words: Iterable[str], ids: Iterable[bytes]) -> None:
-        for word, own in zip(words, ids, strict=True):
-            self.known[word] = own
-            self.size += len(own) + 4 * len(word)
+        # Case is folded by the tokenizer and a final stop is a piece of its own, so most new chunks share a stem; most others are stems themselves.
+        simple = {x for x in fresh if x.isascii() and x.isalpha() and x.islower()}
+        others, rest = {x for x in STOPS if x not in known}, [x for x in fresh if x not in simple]
+        stems = list(map(stem_of, rest))
+        for stem, single in stems:
+            if stem not in known:
+                (simple if single else others).add(stem)
+        self._encode(list(others))
+        self._encode_joined(list(simple))
+        derived = [(chunk, stem) for chunk, (stem, _) in zip(rest, stems, strict=True) if chunk != stem]
+        self._keep([chunk for chunk, _ in derived], [known[stem] + known[chunk[-1]] if len(chunk) > len(stem) else known[stem] for chunk, stem in derived])
+
+    def _keep(self, words: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(words, ids, strict=True))
+        self.size += sum(map(len, ids)) + 4 * sum(map(len, words))
 
     def _encode(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            self._keep(part, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+            self._keep(part, [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
 
     def _encode_joined(self, words: list[str]) -> None:
         """Words that are one pre-token each, many in one call; the id that ends each word tells them apart."""
@@ -144,7 +149,7 @@ class WordEncoder:
             ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
             if len(ends) == len(part) and ends[-1] == ids.nbytes:
                 raw = ids.tobytes()
-                self._keep(part, (raw[a:z] for a, z in zip([0, *ends], ends, strict=False)))
+                self._keep(part, [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)])
             else:
                 self._encode(part)
 
