@@ -4,27 +4,17 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..plans.shared import shared_dir, sized
 
 T = TypeVar("T")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is made only where none is configured (tests)."""
-    sc = spark.sparkContext
-    where = sc.getCheckpointDir()
-    if where is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ensemblake-"))
-        where = sc.getCheckpointDir()
-    return where
+__all__ = ["only", "prepare", "shared_dir", "sized", "table", "tokenizer_path", "written"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -69,11 +59,6 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """A join's small side: broadcast while its rows, a key or two each, are counted to be few; beyond that the join shuffles."""
-    return F.broadcast(rows) if rows.count() <= most else rows
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
