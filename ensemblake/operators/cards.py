@@ -50,7 +50,7 @@ def rotamers(angles: DataFrame, boundaries: list[float], buffer_width: float = 1
     """by, frame, state: the first frame's basin, kept until an angle is beyond its buffers.
 
     With two basins the state is that of the last frame in either core, one window. With more, what leaving means depends on where
-    one is, so each series is passed over once in order.
+    one is, so frames are maps from basin to basin, which are composed.
     """
     if not 0 <= buffer_width < 360:
         raise ImproperlyConfigured("the buffer must be from 0 to under 360 degrees")
@@ -67,31 +67,23 @@ def rotamers(angles: DataFrame, boundaries: list[float], buffer_width: float = 1
 
 
 def _many_basins(own: DataFrame, boundaries: list[float], buffer_width: float, by: list[str]) -> DataFrame:
-    """A linear pass over each series, in Arrow batches sorted by series and frame."""
-    import numpy as np
-
-    gone = gates(boundaries, buffer_width)
-    inner = np.array(boundaries[1:-1], float)
-    kinds = dict(own.dtypes)
-
-    def run(batches):
-        last, state = None, 0
-        for batch in batches:
-            keys = batch[by].itertuples(index=False, name=None)
-            out = np.empty(len(batch), np.int32)
-            for k, (key, angle) in enumerate(zip(keys, batch["angle"])):
-                now = int((angle >= inner).sum())
-                if key != last:
-                    last, state = key, now
-                else:
-                    low, high = gone[state]
-                    if high <= angle <= low if high < low else high > low and not low <= angle <= high:
-                        state = now
-                out[k] = state
-            yield batch[[*by, "frame"]].assign(state=out)
-
-    ordered = own.repartition(*by).sortWithinPartitions(*by, "frame")
-    return ordered.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, "frame"]) + ", state int")
+    """A frame maps each basin one may be in to the one after it; what the maps of all frames so far make of the first frame's basin is the state.
+
+    Maps of twice as many frames are composed in each round, so a series of n frames takes log2(n) rounds of one window, in whose order the rows
+    are already. The first frame's map is constant.
+    """
+    ordered = Window.partitionBy(*by).orderBy("frame")
+    n, angle = len(boundaries) - 1, F.col("angle")
+    longest = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    hard, first = basin(angle, boundaries), F.row_number().over(ordered) == 1
+    now = own.select(*by, "frame", *(F.when(first | left_basin(F.lit(k), angle, boundaries, buffer_width), hard).otherwise(k).cast("int").alias(f"__{k}") for k in range(n)))
+    step = 1
+    while step < longest:
+        now = now.select("*", *(F.lag(f"__{k}", step).over(ordered).alias(f"__before{k}") for k in range(n)))
+        through = [F.coalesce(*(F.when(F.col(f"__before{k}") == x, F.col(f"__{x}")) for x in range(n)), F.col(f"__{k}")) for k in range(n)]
+        now = now.select(*by, "frame", *(t.alias(f"__{k}") for k, t in enumerate(through)))
+        step *= 2
+    return now.select(*by, "frame", F.col("__0").alias("state"))
 
 
 def phi_rotamers(angles: DataFrame, buffer_width: float = 15) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import written
+from .graph import components
 
 CELL = ["x", "y", "z"]
 
@@ -80,20 +80,6 @@ def pocket_cells(atoms: DataFrame, grid_spacing: float = 0.1, probe_radius: floa
     return all_ranks(touches_protein(grid, atoms, probe_radius, most_radius, by), by).where(F.col("rank") >= min_rank)
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, component (the smallest id reached): labels spread over links (a, b) and jump to their label's label, until none changes."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, "links")
-    now, before = written(nodes.select("id", F.col("id").alias("component")), "labels"), None
-    while (state := tuple(now.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first())) != before:
-        before = state
-        near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("n"))
-        spread = now.join(near, "id", "left").select("id", F.least("component", "n").alias("component"))
-        jump = spread.select(F.col("id").alias("component"), F.col("component").alias("j"))
-        now = written(spread.join(jump, "component", "left").select("id", F.least("component", "j").alias("component")), "labels")
-    return now
-
-
 def cluster_points(points: DataFrame, reach: float, by: list[str] = ("frame",), min_size: int = 0, n_clouds: int | None = None) -> DataFrame:
     """points (by, id, px, py, pz) with cluster: single linkage at `reach`, numbered from 0 by falling size (ties: the smallest id), small ones left out."""
     by = list(by)

@@ -8,17 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg
-from ..plans.shared import workers_can_import
+from ..plans.shared import workers_can_import, written
 from .fret import uniform
 
 
+BLOCK = 65_536
+
+
 def bootstrap_weights(assigns: DataFrame, n_trials: int, seed: int = 0) -> DataFrame:
     """trial, traj_id, times: how often each trajectory is drawn in a resample with replacement, of as many as there are."""
-    w = Window.orderBy("traj_id")
-    ids = assigns.select("traj_id").distinct().withColumn("at", F.row_number().over(w) - 1)
+    ids = written(assigns.select("traj_id").distinct(), "trajectories")
     n = ids.count()
+    # Numbers by blocks of some ten thousand, so no window has all trajectories.
+    ids = ids.withColumn("block", F.pmod(F.xxhash64("traj_id"), F.lit(n // BLOCK + 1)))
+    firsts = ids.groupBy("block").agg(F.count(F.lit(1)).alias("k"))
+    firsts = firsts.select("block", F.coalesce(F.sum("k").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("block").orderBy("traj_id")) - 1
+    ids = ids.withColumn("inside", inside).join(firsts, "block").select("traj_id", (F.col("first") + F.col("inside")).alias("at"))
     draws = ids.select("at").crossJoin(assigns.sparkSession.range(n_trials).withColumnRenamed("id", "trial"))
-    draws = draws.select("trial", F.floor(uniform("trial", "at", seed=seed) * n).cast("int").alias("at"))
+    draws = draws.select("trial", F.floor(uniform("trial", "at", seed=seed) * n).cast("long").alias("at"))
     return draws.groupBy("trial", "at").agg(F.count(F.lit(1)).alias("times")).join(ids, "at").select("trial", "traj_id", "times")
 
 

@@ -86,7 +86,16 @@ def _(s, d):
     return cells(msm.transpose(counts1(s, d))[2])
 
 
-@q("tprob_mle")
+# The fixed point of x_ij = (c_ij + c_ji) / (c_i / x_i + c_j / x_j), by its own iteration.
+MLE = f"""WITH RECURSIVE {C1.removeprefix('WITH ')}, {FULL}, ri AS (SELECT i, sum(v) AS r FROM g GROUP BY i), bo AS (SELECT a.i, a.j, a.v + b.v AS s FROM g a JOIN g b ON a.i = b.j AND a.j = b.i),
+x AS (SELECT 0 AS n, i, j, s AS x FROM bo UNION ALL
+      SELECT n + 1, i, j, y / sum(y) OVER () FROM (
+        SELECT x.n, x.i, x.j, bo.s / (p.r / sum(x.x) OVER (PARTITION BY x.i) + q.r / sum(x.x) OVER (PARTITION BY x.j)) AS y
+        FROM x JOIN bo ON bo.i = x.i AND bo.j = x.j JOIN ri p ON p.i = x.i JOIN ri q ON q.i = x.j WHERE n < 300))
+SELECT i, j, round(x / sum(x) OVER (PARTITION BY i), 9) AS v FROM x WHERE n = 300"""
+
+
+@q("tprob_mle", MLE)
 def _(s, d):
     return cells(msm.mle(counts1(s, d), n_states=5)[1])
 

@@ -13,6 +13,7 @@ from ..operators import counts as tc
 from ..operators import fret as fr
 from ..operators import pockets as pk
 from ..operators import ragged as rg
+from ..operators import sampling
 from ..sources import tables
 from . import domain as dm
 from . import q_info, q_model, q_space
@@ -512,3 +513,97 @@ def _(s, d):
     dm.table(s, d, "region").select(entry.alias("value")).coalesce(1).write.text(path)
     return tables.load_dye_library(s, path).select("name", "author", "filename", F.array_join("r", ",").alias("r"), F.array_join("mu", ",").alias("mu"))
 
+
+
+# --- what holds of random results, whatever was drawn ----------------------------------------------------------------
+
+
+@q("bootstrap_draws", "WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events) SELECT trial, n AS draws, true AS known FROM n, (SELECT unnest(range(0, 6)) AS trial)")
+def _(s, d):
+    e = dm.ev(s, d)
+    w = sampling.bootstrap_weights(e, 6, 2)
+    known = e.select("traj_id").distinct().withColumn("known", F.lit(True))
+    return w.join(known, "traj_id", "left").groupBy("trial").agg(F.sum("times").cast("long").alias("draws"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
+
+
+@q("bootstrap_rows_sum_to_one", f"WITH {EV}, {dm.counts('ev')} SELECT trial, i, 1.0::DOUBLE AS v FROM (SELECT DISTINCT i FROM c), (SELECT unnest(range(0, 5)) AS trial)")
+def _(s, d):
+    return cells(sampling.bootstrap_models(dm.ev(s, d), 1, 5, seed=3).groupBy("trial", "i").agg(F.sum("v").alias("v")))
+
+
+@q("synthetic_trajectory_shape", f"WITH {EV}, {dm.counts('ev')} SELECT k AS traj_id, 50::BIGINT AS n, 2 AS first, true AS possible FROM (SELECT unnest(range(0, 20)) AS k)")
+def _(s, d):
+    t = msm.normalize(q_model.counts1(s, d), calculate_eq_probs=False)[1]
+    own = sampling.synthetic_trajectories(t, 5, 20, 50, start_state=2, seed=1)
+    step = own.withColumn("j", F.lead("state").over(Window.partitionBy("traj_id").orderBy("frame")))
+    seen = step.join(t.where("v > 0").select(F.col("i").alias("state"), "j", F.lit(True).alias("ok")), ["state", "j"], "left")
+    return seen.groupBy("traj_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("state", "frame").alias("first"), F.bool_and(F.coalesce("ok", F.col("j").isNull())).alias("possible"))
+
+
+@q("burst_photons", f"WITH {q_space.PHOTONS} SELECT burst_id, count(*) AS n, true AS known FROM ph WHERE dt_us IS NOT NULL GROUP BY burst_id")
+def _(s, d):
+    own = q_space.Q["sample_bursts"][0](s, d)
+    return own.groupBy("burst_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("state").between(0, 4)).alias("known"))
+
+
+@q("drawn_distances_are_possible", f"WITH {EV} SELECT state, count(*) AS n, true AS possible FROM ev GROUP BY state")
+def _(s, d):
+    h = rg.make_distribution(fr.distance_histogram(*q_space.halves(s, d), 0.5), ["frame"]).withColumnRenamed("frame", "state")
+    drawn = fr.sample_distances(dm.ev(s, d).select("traj_id", "frame", "state"), h, "state", ["traj_id", "frame"], 1)
+    hit = drawn.withColumn("bin", F.floor(F.col("r") / 0.5).cast("int")).join(h.where("n > 0").select("state", "bin", F.lit(True).alias("ok")), ["state", "bin"], "left")
+    return hit.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("possible"))
+
+
+@q("drawn_events_gave_light", f"WITH {EV}, e AS (SELECT user_id % 40 AS state FROM events WHERE event_type <> 'error'), b AS (SELECT traj_id AS burst_id, event_id % 40 AS state FROM ev) SELECT burst_id, count(*) AS n, true AS light FROM b WHERE state IN (SELECT state FROM e) GROUP BY burst_id")
+def _(s, d):
+    bursts = dm.ev(s, d).select(F.col("traj_id").alias("burst_id"), F.col("frame").alias("k"), (F.col("event_id") % 40).alias("state"))
+    own = fr.photon_events(bursts, q_space.dye_events(s, d), 3)
+    return own.groupBy("burst_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("outcome") != "non_radiative").alias("light"))
+
+
+@q("remade_histogram", "WITH h AS (SELECT floor(value / 10)::INT AS bin, count(*) AS n FROM events GROUP BY ALL) SELECT bin, n FROM h")
+def _(s, d):
+    made = sampling.remake_from_histogram(metrics.histogram(dm.table(s, d, "events"), "value", 10.0), 4)
+    return made.groupBy(F.floor(F.col("value") / 10).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("random_row_is_one", "SELECT 1::BIGINT AS n, true AS known")
+def _(s, d):
+    e = dm.ev(s, d).select("traj_id", "frame", "state")
+    own = sampling.random_row(e, ["traj_id", "frame"], 5)
+    return own.join(e, ["traj_id", "frame", "state"]).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == 1).alias("known"))
+
+
+@q("every_excitation_decays", "SELECT count(*) AS n, true AS positive, 3::BIGINT AS outcomes FROM events")
+def _(s, d):
+    own = q_space.Q["resolve_excitations"][0](s, d)
+    return own.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("lifetime") > 0).alias("positive"), F.count_distinct("outcome").alias("outcomes"))
+
+
+@q("bursts_are_shares", f"WITH {EV} SELECT traj_id AS burst_id, count(*) AS n, true AS share FROM ev GROUP BY traj_id")
+def _(s, d):
+    own = fr.burst_efficiencies(dm.ev(s, d).select(F.col("traj_id").alias("burst_id"), F.col("frame").alias("k"), (F.col("value") / 200).alias("e")), "e", 3)
+    return own.select("burst_id", "n", F.col("efficiency").between(0, 1).alias("share"))
+
+
+@q("medoids_are_members", "SELECT 3::BIGINT AS n, true AS at_zero, true AS nearest")
+def _(s, d):
+    own = cl.kmedoids(dm.em(s, d), "euclidean", 3, 1, KEY, seed=2)
+    at = own.assignments.join(own.centers.select(F.col("state").alias("own"), "vec_id"), "vec_id")
+    again = cl.assign_to_nearest_center(dm.em(s, d), own.centers.select("state", "x"))
+    same = again.select("vec_id", F.col("distance").alias("least")).join(own.assignments, "vec_id").agg(F.bool_and(F.col("distance") <= F.col("least") + 1e-9).alias("nearest"))
+    return at.agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("state") == F.col("own")) & (F.col("distance") < 1e-9)).alias("at_zero")).crossJoin(same)
+
+
+@q("exposon_labels", "SELECT residue, true AS labelled FROM (SELECT unnest(range(0, 4))::INT AS residue)")
+def _(s, d):
+    return q_info.Q["exposons"][0](s, d).select("residue", (F.col("exposon") >= -1).alias("labelled"))
+
+
+@q("superposed_rmsd_is_least", "SELECT vec_id, true AS least, vec_id = 0 AS self FROM embeddings")
+def _(s, d):
+    e = dm.table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 30).cast("array<double>").alias("x"))
+    ref = e.where("vec_id = 0").select(F.col("x").alias("y"))
+    both = e.crossJoin(F.broadcast(ref)).withColumn("rmsd", geometry.rmsd(F.col("x"), F.col("y")))
+    plain = F.sqrt(metrics.sqeuclidean(F.col("x"), F.col("y")) / 10)
+    return both.select("vec_id", (F.col("rmsd") <= plain + 1e-9).alias("least"), (F.col("rmsd") < 1e-6).alias("self"))

@@ -10,12 +10,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..exceptions import ImproperlyConfigured
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where none is configured (tests)."""
+    """The session's checkpoint folder; one of this machine only where none is configured and Spark runs on this machine alone (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ensemblake-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if where is None and not sc.master.startswith("local"):
+            raise ImproperlyConfigured("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="ensemblake-"))
     return sc.getCheckpointDir()
 
 
