@@ -209,36 +209,47 @@ def checked(pairs: DataFrame, texts: Texts, counted: bool, threshold: float) ->
 def classes(reps: DataFrame, docs: DataFrame, threshold: float = SIMILARITY, counted: bool = False) -> DataFrame:
     """node, component: connected nodes of different texts whose word shingles have a similarity of the threshold or more.
 
-    In a band's bucket a member is first compared with its smallest leader, then with its other leaders, then members of
-    buckets that are still in different classes with each other: no pair that shares a band goes unlinked, but
-    members already connected aren't compared, so a large group costs about one check a member.
+    In a band's bucket a member is first compared with a leader: the member that shares most buckets with others, as a text does that
+    others are copies of. Of a text's leaders that of most company is tried first, then its other ones, then each bucket's next leader by those not yet in the
+    first one's class, and so on for ROUNDS; then members of buckets that are still in different classes with each other: no pair that shares a
+    band goes unlinked, but members already connected aren't compared, so a large group costs some checks a member.
     """
     texts = Texts(docs, reps)
-    members = written(reps.select(F.explode("bands").alias("bucket"), "node").distinct(), "members")
-    leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
+    members = reps.select(F.explode("bands").alias("bucket"), "node").distinct()
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Only buckets with company matter from here on.
-    members = written(members.join(leaders, "bucket"), "company")
-    tried = written(members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("b")).select(F.col("node").alias("a"), "b"), "pairs")
-    links = written(checked(tried, texts, counted, threshold), "links")
-    placed = _placed(members, links)
-    more = placed.where("class <> leader_class").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(more, "pairs")
-    links = written(links.unionByName(checked(more, texts, counted, threshold)), "links")
-    placed = _placed(members, links)
-    rest = _apart(placed, texts, counted, threshold)
-    both = tried.unionByName(more)
-    rest = written(rest.join(both, ["a", "b"], "left_anti"), "pairs")
+    members = written(members.join(sizes, "bucket"), "company")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    members = written(members.select("bucket", "node").join(company, "node"), "members")
+    tried = links = None
+    placed = members.withColumn("class", F.col("node"))
+    for k in range(ROUNDS):
+        # In the first round a text's best leader only, which settles most; then all that are still in other classes.
+        leaders = placed.groupBy("bucket").agg(F.max_by("node", "company").alias("leader"), F.max("company").alias("fame"), F.max_by("class", "company").alias("leader_class")) if k < 2 else _next_leaders(placed)
+        asked = placed.join(leaders, "bucket").where("class <> leader_class")
+        if k == 0:
+            asked = asked.groupBy("node").agg(F.max_by("leader", "fame").alias("leader"))
+        pairs = asked.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = checked(pairs, texts, counted, threshold)
+        tried = pairs if tried is None else written(tried.unionByName(pairs), "tried")
+        links = written(found if links is None else links.unionByName(found), "links")
+        parts = connected_components(links).withColumnRenamed("component", "class")
+        placed = written(members.join(parts, "node", "left").withColumn("class", F.coalesce("class", "node")), "placed")
+    rest = written(_apart(placed, texts, counted, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = written(links.unionByName(checked(rest, texts, counted, threshold)), "links")
     return connected_components(links)
 
 
-def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with the classes that the links so far give them and their leaders."""
-    parts = connected_components(links)
-    own = parts.select("node", F.col("component").alias("own"))
-    lead = parts.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
-    found = members.join(own, "node", "left").join(lead, "leader", "left")
-    return written(found.select("bucket", "node", "leader", F.coalesce("own", "node").alias("class"), F.coalesce("lead", "leader").alias("leader_class")), "placed")
+#: Rounds in which members are compared with leaders of their buckets.
+ROUNDS = 4
+
+
+def _next_leaders(placed: DataFrame) -> DataFrame:
+    """bucket, leader, leader_class of buckets of several classes: the member of most company outside the class of the bucket's first."""
+    first = placed.groupBy("bucket").agg(F.max_by("class", "company").alias("first"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    others = placed.join(first.select("bucket", "first"), "bucket").where("class <> first")
+    return others.groupBy("bucket").agg(F.max_by("node", "company").alias("leader"), F.max_by("class", "company").alias("leader_class"))
 
 
 #: Nodes that one task joins to all others of a shingle.
@@ -254,9 +265,10 @@ def _apart(placed: DataFrame, texts: Texts, counted: bool, threshold: float) ->
     weights differ by a factor of t at most; what two share is at most what either shares with any other, and must be t / (1 + t) of both weights; where
     parities of two texts' shingles differ in a cell a shingle differs, and (1 - t) / (1 + t) of both weights may.
     """
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-    inside = placed.join(sized(written(mixed, "mixed")), "bucket", "left_semi")
-    inside = written(inside.groupBy("node").agg(F.min("class").alias("class"), F.max(F.col("class") != F.col("leader_class")).alias("strange")), "mixed-members")
+    mixed = placed.groupBy("bucket").agg(F.max_by("class", "company").alias("first"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket", "first")
+    # Of two members in different classes one at least isn't in that of the bucket's first: it looks for the other.
+    inside = placed.join(sized(written(mixed, "mixed")), "bucket")
+    inside = written(inside.groupBy("node").agg(F.min("class").alias("class"), F.max(F.col("class") != F.col("first")).alias("strange")), "mixed-members")
     sets = _sets(texts.of(inside.select("node")), counted)
     cells = sets.select("node", "weight", F.inline(F.arrays_zip("shingles", "weights")))
     # A shingle of one text alone joins nothing; it only counts as lost.
