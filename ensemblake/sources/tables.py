@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,16 +99,19 @@ PDB_ATOMS = T.StructType([T.StructField(n, t) for n, t in (("traj_id", T.LongTyp
 
 
 def load_pdb(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Atoms of PDB files in nm: a trajectory per file, a frame per model. The text is parsed by column positions, in the JVM.
+    """Atoms of PDB files in nm: a trajectory per file, a frame per model in order of model numbers. The text is parsed by column positions, in the JVM.
 
-    A file is read as one row, so that its models and atoms keep their order.
+    A model is a record, so large files are read by several tasks; a file without models is one. What stands before the first model of a file isn't one.
     """
-    text = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
-    names = sorted(r.path for r in text.select("path").collect())
-    number = spark.createDataFrame([(p, k) for k, p in enumerate(names)], "path string, traj_id long")
-    models = text.join(number, "path").select("traj_id", F.posexplode(F.split("value", r"(?m)^MODEL .*$")).alias("m", "part"))
-    first = models.groupBy("traj_id").agg(F.max("m").alias("last"))
-    models = models.join(first, "traj_id").where("m > 0 OR last = 0").select("traj_id", F.greatest(F.col("m") - 1, F.lit(0)).cast("long").alias("frame"), "part")
+    text = spark.read.option("lineSep", "\nMODEL ").text(paths).select(F.input_file_name().alias("path"), F.col("value").alias("part"))
+    number = F.regexp_extract("part", r"\A(?:MODEL )?\s*(\d+)\s*(?:\r?\n|\z)", 1)
+    text = text.withColumn("serial", F.when(number != "", number.cast("long")))
+    keys = text.select("path", "serial").distinct()
+    names = sorted(r.path for r in keys.select("path").distinct().collect())
+    files = spark.createDataFrame([(p, k) for k, p in enumerate(names)], "path string, traj_id long")
+    frames = keys.withColumn("many", F.max("serial").over(Window.partitionBy("path")).isNotNull()).where("serial IS NOT NULL OR NOT many")
+    frames = frames.withColumn("frame", (F.row_number().over(Window.partitionBy("path").orderBy("serial")) - 1).cast("long")).join(files, "path").select(F.col("path").alias("__path"), F.col("serial").alias("__serial"), "traj_id", "frame")
+    models = text.join(frames, (F.col("path") == F.col("__path")) & F.col("serial").eqNullSafe(F.col("__serial"))).select("traj_id", "frame", "part")
     lines = F.filter(F.split("part", r"\r?\n"), lambda x: x.startswith("ATOM  ") | x.startswith("HETATM"))
     own = models.select("traj_id", "frame", F.posexplode(lines).alias("atom_id", "l"))
     field = lambda a, n: F.trim(F.substring("l", a, n))
