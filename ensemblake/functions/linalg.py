@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..exceptions import DataInvalid, InsufficientResourceError
+from ..exceptions import ConvergenceWarning, DataInvalid, InsufficientResourceError
 
 #: A dense matrix on the driver has at most so many rows.
 MOST_STATES = 5000
@@ -97,6 +98,8 @@ def reversible_mle(c: np.ndarray, tol: float = 1e-12, most: int = 100_000) -> tu
             x = new
             break
         x = new
+    else:
+        warnings.warn(f"the most likely model still changes after {most} rounds", ConvergenceWarning, stacklevel=2)
     return row_normalized(x), x.sum(axis=1) / x.sum()
 
 
@@ -200,6 +203,8 @@ def affinity_propagation(similarity: np.ndarray, damping: float = 0.5, preferenc
         last = chosen
         if same >= steady and chosen.any():
             break
+    else:
+        warnings.warn(f"exemplars still change after {most} rounds", ConvergenceWarning, stacklevel=2)
     exemplars = np.flatnonzero(last)
     if not len(exemplars):
         return np.full(n, -1)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ensemblake.exceptions import DataInvalid, ImproperlyConfigured
+from ensemblake.exceptions import ConvergenceWarning, DataInvalid, ImproperlyConfigured
 from ensemblake.functions import linalg
 from ensemblake.operators import cards, clustering, counts, info, msm, sampling, tpt
 
@@ -88,6 +88,8 @@ def test_builders(spark):
         x = (flux * np.exp(0.05 * rng.normal(size=(3, 3))))
         x = x + x.T
         assert likelihood(linalg.row_normalized(x)) <= likelihood(t) + 1e-9
+    with pytest.warns(ConvergenceWarning):
+        linalg.reversible_mle(c, most=3)
     both, t, pi = msm.transpose(matrix(spark, c))
     assert dense(both, 3).tolist() == ((c + c.T) / 2).tolist() and np.allclose(linalg.gather_vector(pi, 3), (c + c.T).sum(axis=1) / (2 * c.sum()))
     _, t, _ = msm.normalize(matrix(spark, [[0, 0], [1, 3]]), n_states=2)
