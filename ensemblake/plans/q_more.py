@@ -76,7 +76,7 @@ def _(s, d):
     return tables.export_assignments(tables.load_assignments(dm.ev_missing(s, d))).select("traj_id", "frame", "state")
 
 
-COORDS = f"{PTS}, co AS (SELECT frame AS traj_id, row_number() OVER (PARTITION BY frame ORDER BY id) - 1 AS atom_id, px AS x, py AS y, pz AS z FROM pts)"
+COORDS = f"{PTS}, co AS (SELECT frame::BIGINT AS traj_id, row_number() OVER (PARTITION BY frame ORDER BY id) - 1 AS atom_id, px AS x, py AS y, pz AS z FROM pts)"
 
 
 def coords(s, d):
