@@ -53,17 +53,20 @@ def measures(docs: DataFrame) -> DataFrame:
     windows = F.slice(F.zip_with(pairs, F.slice("words", 3, n), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(n - 2, F.lit(0)))
     own = barrier(
         own,
-        F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias("windows"),
+        windows.alias("hashes"),
         n.cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     ).drop("words", "lines")
+    # Most texts have no window twice, which a set of hashes tells without sorting them; for those all that follows is null.
+    some = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    own = barrier(own, F.when(some, F.sort_array(F.transform("hashes", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))).alias("windows")).drop("hashes")
     own = barrier(own, F.zip_with("windows", F.slice("windows", 2, F.size("windows") + 1), lambda a, b: F.coalesce(a["w"] == b["w"], F.lit(False))).alias("same"))
     twice = F.zip_with("same", F.concat(F.array(F.lit(False)), F.col("same")), lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)))
     starts = F.zip_with("windows", twice, lambda w, t: F.when(t, w["i"]))
     own = barrier(own, F.sort_array(F.filter(starts, lambda x: x.isNotNull())).alias("starts")).drop("windows", "same")
     covered = F.zip_with("starts", F.slice("starts", 2, F.size("starts") + 1), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    return own.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_repeat_words"))
+    return own.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def signals(deviations: float = 0.0) -> dict[str, Column]:
