@@ -93,15 +93,15 @@ class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, with an end id appended.
 
     Keeps the ids of chunks it has met. At half of `limit_bytes` it starts a new generation, to which only chunks that come
-    again pass over, so memory is bounded however many distinct words a corpus has, and frequent words stay.
+    again pass over, so memory is bounded however many distinct words a corpus has, and frequent words stay. (A word takes some four times what is counted.)
     """
 
-    def __init__(self, path: str, end_id: int = 1, limit_bytes: int = 64_000_000):
+    def __init__(self, path: str, end_id: int = 1, limit_bytes: int = 48_000_000, words: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.limit = Tokenizer.from_file(path), array("I", [end_id]).tobytes(), limit_bytes
-        self.by_words = by_words(path)
+        self.by_words = by_words(path) if words is None else words
         vocabulary = self.tokenizer.get_vocab()
         #: Whether all ids fit 16 bits.
         self.short = max(end_id, *vocabulary.values()) < 1 << 16
@@ -172,6 +172,6 @@ class WordEncoder:
                 yield b"".join(map(look, own)) + self.end
 
 
-def encoder(path: str, end_id: int) -> WordEncoder:
-    """One encoder for each worker process and setting."""
-    return only(("encoder", path, end_id), lambda: WordEncoder(path, end_id))
+def encoder(path: str, end_id: int, words: bool) -> WordEncoder:
+    """One encoder for each worker process and setting. words: by_words(path), which is read once on the driver."""
+    return only(("encoder", path, end_id), lambda: WordEncoder(path, end_id, words=words))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, table, tokenizer_path, written
-from .encoding import encoder
+from .encoding import by_words, encoder
 
 CAPACITY = 4096
 #: Rows of one length are ranked in so many independent parts: copies may give a length a third of all rows.
@@ -127,9 +127,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def cut(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token pieces of whole documents: only a document over the capacity has more than one. Null text: empty."""
     prepare(docs.sparkSession)
+    words = by_words(path)
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, end_id).encode
+        encode = encoder(path, end_id, words).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 few, rows = batch.slice(at, 500), []

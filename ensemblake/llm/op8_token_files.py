@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, table, tokenizer_path, written
-from .encoding import encoder
+from .encoding import by_words, encoder
 
 MAGIC, SELECT = b"ELFATOK2", 64
 #: A segment ends with the document that brings it to so many ids.
@@ -123,11 +123,11 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int =
 
     Null texts are empty ones. Rows with one id stay in order of their texts; null ids come first. Ids are long integers.
     """
-    spark = docs.sparkSession
+    spark, words = docs.sparkSession, by_words(path)
     prepare(spark)
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, keys, encoded, size, encode = TaskContext.get().partitionId(), 0, [], [], 0, encoder(path, end_id).encode
+        part, seq, keys, encoded, size, encode = TaskContext.get().partitionId(), 0, [], [], 0, encoder(path, end_id, words).encode
 
         def image() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size // 4], pa.int64()), pa.array([Segment.of(keys, encoded).to_bytes()], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "image"])
