@@ -17,7 +17,7 @@ from .common import only, prepare, table
 #: The bounded labelled sample: documents a language, characters taken from each, bytes a language in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 64, 512, 16_384
 #: Texts parsed at once, a symbol of each at a time; where fewer than FEW go on, they are parsed one by one.
-LANES, FEW = 4096, 64
+LANES, FEW = 4096, 128
 #: A text none of whose languages has phrases of so many symbols on average is in no learned language.
 LEAST_PHRASE = 1.5
 #: Symbols that a score counts as independent evidence at most.
