@@ -115,14 +115,16 @@ class WordEncoder:
         if self.size > self.limit // 2:
             self.former, self.known, self.size = self.known, {}, 0
         known, former = self.known, self.former
-        fresh = [x for x in set().union(*chunks) if x not in known]
+        # Sets of words less the keys of a dictionary are made in one go, without a step of Python a word.
+        fresh = set().union(*chunks).difference(known)
         if former:
-            met = [x for x in fresh if x in former]
+            new = fresh.difference(former)
+            met = list(fresh - new)
             self._keep(met, list(map(former.__getitem__, met)))
-            fresh = [x for x in fresh if x not in known]
+            fresh = new
         # Case is folded by the tokenizer and a final stop is a piece of its own, so most new chunks share a stem; most others are stems themselves.
         simple = {x for x in fresh if x.isascii() and x.isalpha() and x.islower()}
-        others, rest = {x for x in STOPS if x not in known}, [x for x in fresh if x not in simple]
+        others, rest = {x for x in STOPS if x not in known}, list(fresh - simple)
         stems = list(map(stem_of, rest))
         for stem, single in stems:
             if stem not in known:
