@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, table, tokenizer_path, written
-from .encoding import by_words, encoder
+from .encoding import by_words, encoder, keyed
 
 CAPACITY = 4096
 #: Rows of one length are ranked in so many independent parts: copies may give a length a third of all rows.
@@ -130,16 +130,21 @@ def cut(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, i
     words = by_words(path)
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, end_id, words).encode
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                few, rows = batch.slice(at, 500), []
-                for key, ids in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist()), strict=True):
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[a : a + 4 * capacity]
-                        rows.append((key, k, a // 4, len(own) // 4, zlib.crc32(own)))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        for key, ids in encoder(path, end_id, words).encode_keyed(keyed(batches)):
+            for k, a in enumerate(range(0, len(ids), 4 * capacity)):
+                own = ids[a : a + 4 * capacity]
+                rows.append((key, k, a // 4, len(own) // 4, zlib.crc32(own)))
+            if len(rows) >= 1000:
+                yield made()
+                rows.clear()
+        if rows:
+            yield made()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, PIECES)
 

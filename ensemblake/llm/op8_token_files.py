@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, table, tokenizer_path, written
-from .encoding import by_words, encoder
+from .encoding import by_words, encoder, keyed
 
 MAGIC, SELECT = b"ELFATOK2", 64
 #: A segment ends with the document that brings it to so many ids.
@@ -127,21 +127,18 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int =
     prepare(spark)
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, keys, encoded, size, encode = TaskContext.get().partitionId(), 0, [], [], 0, encoder(path, end_id, words).encode
+        part, seq, keys, encoded, size, encode = TaskContext.get().partitionId(), 0, [], [], 0, encoder(path, end_id, words).encode_keyed
 
         def image() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size // 4], pa.int64()), pa.array([Segment.of(keys, encoded).to_bytes()], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "image"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # few texts as Python strings at a time
-                few = batch.slice(at, 500)
-                for key, ids in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist()), strict=True):
-                    keys.append(key)
-                    encoded.append(ids)
-                    size += len(ids)
-                    if size >= 4 * segment_ids:
-                        yield image()
-                        seq, keys, encoded, size = seq + 1, [], [], 0
+        for key, ids in encode(keyed(batches)):
+            keys.append(key)
+            encoded.append(ids)
+            size += len(ids)
+            if size >= 4 * segment_ids:
+                yield image()
+                seq, keys, encoded, size = seq + 1, [], [], 0
         if keys:
             yield image()
 

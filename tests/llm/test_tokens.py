@@ -2,11 +2,15 @@
 
 import functools
 import itertools
+import os
 import random
+import subprocess
+import sys
 import time
 import zlib
 from array import array
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +50,60 @@ def test_encoder_matches_library_on_whole_texts():
         assert [array("I", x).tolist() for x in encoder.encode(TEXTS + noise)] == [ids(t) for t in TEXTS + noise]
 
 
+def test_encoder_matches_library_at_stops_between_slices_and_after_forgetting(monkeypatch):
+    monkeypatch.setattr("ensemblake.llm.encoding.SLICE_CHARS", 500)
+    rng = random.Random(4)
+    signs = [*"abTéÉßÿ÷×ÀÞµªº.,.,  '\n\t\r\x0b\x85\xa0\x1c!?1<|Σσſİ“’й", "<|endoftext|>", "'s", "the ", "é.", "H̱. ", "x.\n"]
+    for limit in (500, 20_000, 16_000_000):
+        encoder = WordEncoder(WORDS, limit_bytes=limit)
+        for few in (len(signs), 20, len(signs)):
+            texts = [None, "", *("".join(rng.choice(signs[:few]) for _ in range(rng.randrange(90))) for _ in range(300))]
+            assert [array("I", x).tolist() for x in encoder.encode(texts)] == [ids(t) for t in texts]
+            assert limit > 500 or len(encoder.words) < 500
+
+
+def invented(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(("an", "er", "ti", "on", "sh", "é", "ou", "ble")) for _ in range(9)) for _ in range(n)]
+
+
+def test_words_that_are_known_take_less_than_a_step_of_python_each():
+    words = invented(60_000, 1)
+    text = " ".join(words * 10)
+    encoder = WordEncoder(WORDS)
+    known = dict(zip(words, encoder.encode(words), strict=True))
+    assert len(list(encoder.encode([text]))[0]) == 10 * sum(len(known[w]) - 4 for w in words) + 4
+
+    def seconds(work):
+        took = []
+        for _ in range(4):
+            at = time.process_time()
+            work()
+            took.append(time.process_time() - at)
+        return min(took)
+
+    assert seconds(lambda: list(encoder.encode([text]))) < seconds(lambda: b"".join(map(known.__getitem__, text.lower().split(" "))))
+
+
+def test_memory_of_many_distinct_words():
+    code = f"""
+import re
+from ensemblake.llm.encoding import WordEncoder
+from tests.llm.test_tokens import invented
+anon = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+encoder = WordEncoder({WORDS!r})
+list(encoder.encode(["one"]))
+had = anon()
+for seed in range(20):
+    for _ in encoder.encode([" ".join(invented(30_000, seed))]):
+        pass
+print(anon() - had)
+"""
+    env = os.environ | {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+    got = subprocess.run([sys.executable, "-c", code], env=env, cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True, timeout=300)
+    assert float(got.stdout) < 45, got.stdout
+
+
 def test_encoder_matches_a_library_of_another_kind():
     from tokenizers import Tokenizer
 
