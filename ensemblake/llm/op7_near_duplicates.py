@@ -234,15 +234,17 @@ def classes(reps: DataFrame, docs: DataFrame, threshold: float = SIMILARITY, cou
         found = checked(pairs, texts, counted, threshold)
         tried = pairs if tried is None else written(tried.unionByName(pairs), "tried")
         links = written(found if links is None else links.unionByName(found), "links")
-        parts = connected_components(links).withColumnRenamed("component", "class")
+        parts = connected_components(links, FEW_LINKS).withColumnRenamed("component", "class")
         placed = written(members.join(parts, "node", "left").withColumn("class", F.coalesce("class", "node")), "placed")
     rest = written(_apart(placed, texts, counted, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = written(links.unionByName(checked(rest, texts, counted, threshold)), "links")
-    return connected_components(links)
+    return connected_components(links, FEW_LINKS)
 
 
 #: Rounds in which members are compared with leaders of their buckets.
 ROUNDS = 4
+#: Links, two numbers each, that one task connects; more are shuffled.
+FEW_LINKS = 100_000
 
 
 def _next_leaders(placed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ensemblake.llm import op1_sharding, op2_urls, op3_language, op4_quality
+from ensemblake.llm import op1_sharding, op2_urls, op3_language, op4_quality, op7_near_duplicates
 from ensemblake.llm.graph import connected_components
 
 
@@ -37,6 +37,30 @@ def test_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_take_few_tasks(spark):
+    """The driver keeps a record of each task, so rounds over a few links must not cost one a partition of every shuffle."""
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(k, 1000 - k) for k in range(200, 260)]
+    links, want = spark.createDataFrame(edges, "a long, b long"), components(edges)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, tracker = {k: spark.conf.get(k) for k in held}, spark.sparkContext.statusTracker()
+
+    def tasks(group, few):
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r.node: r.component for r in connected_components(links, few).collect()}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == want
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        return sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert 0 < tasks("few-links", op7_near_duplicates.FEW_LINKS) < tasks("many-links", len(edges) - 1) / 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def url_brute(pages, rules):
     def parts(url):
         if url is None or "://" not in url:
