@@ -18,12 +18,13 @@ from .op7_near_duplicates import op7_near_duplicates
 from .op8_token_files import op8_token_files
 from .op9_counts import op9_token_counts
 from .op10_packing import op10_best_fit_packing
+from .op11_spelling_variants import op11_spelling_variants
 from .op13_fill_in_middle import ORACLE as OP13_SQL
 from .op13_fill_in_middle import op13_fill_in_middle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minimax_shards, op2_url_filter, op3_language_id, op4_adaptive_quality, op5_decontamination, op6_secret_scan, op7_near_duplicates, op8_token_files, op9_token_counts, op10_best_fit_packing, op13_fill_in_middle)
+    own = (op1_minimax_shards, op2_url_filter, op3_language_id, op4_adaptive_quality, op5_decontamination, op6_secret_scan, op7_near_duplicates, op8_token_files, op9_token_counts, op10_best_fit_packing, op11_spelling_variants, op13_fill_in_middle)
     return {f.__name__: f for f in own}
 
 
