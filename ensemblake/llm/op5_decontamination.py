@@ -20,8 +20,10 @@ WORD = re.compile(r"\w+")
 STEPS = {(1, 1): 2, (1, 2): 1, (2, 1): 1, (2, 2): 1}
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A passage is a copy if its alignment has this share of the item's full score, or the score of so many equal words in a row.
-#: Items of fewer than WHOLE words must be there whole, since half of two is any one word.
-SHARE, RUN, WHOLE = 0.5, 13, 3
+#: Items of up to WHOLE words must be there whole, since ordinary prose has any few words of them; from there to RUN words the share falls evenly.
+SHARE, RUN, WHOLE = 0.5, 13, 7
+#: Rows of seeds that go out to the hits; of more, each goes to this many parts, since two common words are a seed that many hits share.
+MOST_SENT, SALTS = 500_000, 16
 #: Bits of the filter that texts are read through: so many a seed, and at most so many. What it lets through in error the join drops.
 FILTER_BITS, MOST_BITS = 16, 1 << 28
 #: Bytes of texts that are searched together.
@@ -43,7 +45,8 @@ def spans_of(text: str) -> list[tuple[int, int]]:
 
 def least(n: int) -> float:
     """Score from which a passage is a copy of an item of n words."""
-    return min(SHARE * MATCH * n, RUN * MATCH) if n >= WHOLE else MATCH * n
+    share = 1 - (1 - SHARE) * min(1, max(0, n - WHOLE) / (RUN - WHOLE))
+    return min(share * MATCH * n, RUN * MATCH)
 
 
 def reach(n: int) -> int:
@@ -159,11 +162,11 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, score (0 to 1), start, end, text_key: the best copy of each benchmark item that a document holds.
+    """doc_id, item_id, score (0 to 1), start, end, text_key, item_key: the best copy of each benchmark item that a document holds.
 
-    docs and benchmark (item_id, text) are compared in lower-case words; every row of docs is searched whole. Null and empty texts and items have no copies;
-    repeated rows are reported each, repeated items of one id once (the text that sorts first). Rows are told apart by id and text (text_key, see keyed()), so an id
-    may have several texts, or be null.
+    docs and benchmark (item_id, text) are compared in lower-case words; every row of docs is searched whole, for every text of benchmark. Null and empty texts and
+    items have no copies; repeated rows of docs are reported each, repeated rows of benchmark once. Documents are told apart by id and text (text_key, see keyed()),
+    items by id and text (item_key, a hash of the text): an id may have several texts, or be null, and keeps its type. Each text is looked for once, whatever its ids.
 
     An alignment's score is that of one match and what each step to the next match adds: MATCH less the step's errors. Steps of two errors or
     more add nothing, so a copy has seeds in reach whose sum is at least least(n) - MATCH. Of each item the seeds at the places whose seeds are commonest
@@ -173,27 +176,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     prepare(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = _items(benchmark)
+    named = benchmark.select("item_id", F.xxhash64("text").alias("item_key"), F.col("text").alias("item_text")).where("item_text is not null")
+    items = _items(named.select("item_key", "item_text"))
     if items.isEmpty():
-        return spark.createDataFrame([], f"doc_id {own.dtypes[0][1]}, item_id long, score double, start long, `end` long, text_key long")
-    seeds = written(items.select("item_id", "n", "spare", "needed", F.inline("seeds")), "seeds")
+        return spark.createDataFrame([], f"doc_id {own.dtypes[0][1]}, item_id {named.dtypes[0][1]}, score double, start long, `end` long, text_key long, item_key long")
+    seeds = written(items.select("item_key", "n", "spare", "needed", F.inline("seeds")), "seeds")
     distances = [d for d in (0, 1, 2) if d or not items.where("n = 1").isEmpty()]
     # One pass over the texts; how common a seed is, and which seeds matter, is then told from the hits alone.
     hits = written(_hits(own, Filter(seeds.select("seed").distinct()), distances), "hits")
     kept = written(_rare(seeds, hits.groupBy("seed").agg(F.count(F.lit(1)).alias("times"))), "rare-seeds")
-    # Few seeds go out to the hits; more are joined by a shuffle. A long text's hits of one place count once, by what they add at most.
-    found = hits.join(sized(kept.select("seed", "item_id", "adds")), "seed").groupBy("doc_id", "text_key", "item_id").agg(F.collect_list(F.struct("place", "adds")).alias("hits"), F.sum("adds").alias("sum"))
-    needed = kept.select("item_id", "n", "needed").distinct()
-    spans = written(_spans(found.join(sized(needed), "item_id").where("sum >= needed"), own.dtypes[0][1]), "spans")
+    # A long text's hits of one place count once, by what they add at most.
+    found = _met(hits, kept.select("seed", "item_key", "adds")).groupBy("doc_id", "text_key", "item_key").agg(F.collect_list(F.struct("place", "adds")).alias("hits"), F.sum("adds").alias("sum"))
+    needed = kept.select("item_key", "n", "needed").distinct()
+    spans = written(_spans(found.join(sized(needed), "item_key").where("sum >= needed"), own.dtypes[0][1]), "spans")
     wanted = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
     texts = keyed(own).join(sized(written(wanted, "leaky")), same, "left_semi")
-    cases = spans.join(items.select("item_id", "item_text"), "item_id").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("item_id", "item_text", "spans")).alias("cases"))
-    return _aligned(texts.join(cases, same).select("doc_id", "text_key", "text", "cases"))
+    cases = spans.join(items.select("item_key", "item_text"), "item_key").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("item_key", "item_text", "spans")).alias("cases"))
+    aligned = _aligned(texts.join(cases, same).select("doc_id", "text_key", "text", "cases"))
+    return aligned.join(sized(written(named.select("item_id", "item_key").distinct(), "item-ids")), "item_key").select("doc_id", "item_id", "score", "start", "end", "text_key", "item_key")
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_text, n words, spare (places left out), needed (sum of the rest's seeds in a copy), seeds: items with words, each id once."""
+def _met(hits: DataFrame, kept: DataFrame) -> DataFrame:
+    """hits with each item that has their seed."""
+    if kept.count() <= MOST_SENT:
+        return hits.join(F.broadcast(kept), "seed")
+    dealt = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "place"), F.lit(SALTS)).cast("int"))
+    return dealt.join(kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["seed", "salt"])
+
+
+def _items(named: DataFrame) -> DataFrame:
+    """item_key, item_text, n words, spare (places left out), needed (sum of the rest's seeds in a copy), seeds: texts with words, each once."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("at", pa.int64()), ("seed", pa.int64()), ("adds", pa.int64())]))
@@ -201,22 +214,19 @@ def _items(benchmark: DataFrame) -> DataFrame:
             rows = [(k, t, n, commonest(n), least(n) - MATCH - MATCH * commonest(n), [dict(zip(("at", "seed", "adds"), x, strict=True)) for x in seeds_of(t)]) for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (n := len(words(t)))]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item_id", "item_text", "n", "spare", "needed", "seeds"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item_key", "item_text", "n", "spare", "needed", "seeds"])
 
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id is not null AND item_text is not null")
-    found = own.mapInArrow(make, "item_id long, item_text string, n long, spare long, needed double, seeds array<struct<at:long,seed:long,adds:long>>")
-    first = Window.partitionBy("item_id").orderBy("item_text")
-    return written(found.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k"), "items")
+    return written(named.distinct().mapInArrow(make, "item_key long, item_text string, n long, spare long, needed double, seeds array<struct<at:long,seed:long,adds:long>>"), "items")
 
 
 def _rare(seeds: DataFrame, counts: DataFrame) -> DataFrame:
-    """seed, item_id, adds, n, needed: an item's seeds without those at its commonest places, and the sum that a copy has of the rest."""
+    """seed, item_key, adds, n, needed: an item's seeds without those at its commonest places, and the sum that a copy has of the rest."""
     times = F.coalesce("times", F.lit(0))
-    places = seeds.join(counts, "seed", "left").groupBy("item_id", "spare", "at").agg(F.sum(times).alias("times"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("times").desc(), "at"))
-    rare = places.withColumn("rank", rank).where("rank > spare").select("item_id", "at")
-    kept = seeds.join(rare, ["item_id", "at"])
-    return kept.groupBy("seed", "item_id").agg(F.max("adds").alias("adds"), F.first("n").alias("n"), F.first("needed").alias("needed"))
+    places = seeds.join(counts, "seed", "left").groupBy("item_key", "spare", "at").agg(F.sum(times).alias("times"))
+    rank = F.row_number().over(Window.partitionBy("item_key").orderBy(F.col("times").desc(), "at"))
+    rare = places.withColumn("rank", rank).where("rank > spare").select("item_key", "at")
+    kept = seeds.join(rare, ["item_key", "at"])
+    return kept.groupBy("seed", "item_key").agg(F.max("adds").alias("adds"), F.first("n").alias("n"), F.first("needed").alias("needed"))
 
 
 def _hits(own: DataFrame, known: Filter, distances: list[int]) -> DataFrame:
@@ -250,7 +260,7 @@ def within(places: np.ndarray, adds: np.ndarray, needed: float, far: int) -> lis
 
 
 def _spans(found: DataFrame, kind: str) -> DataFrame:
-    """doc_id, text_key, item_id, spans of words."""
+    """doc_id, text_key, item_key, spans of words."""
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,15 +270,15 @@ def _spans(found: DataFrame, kind: str) -> DataFrame:
                 near.append(within(own.field("place").to_numpy(), own.field("adds").to_numpy(), needed, reach(n)))
             keep = pa.array([k for k, x in enumerate(near) if x], pa.int64())
             spans = pa.array([[{"a": a, "z": z} for a, z in x] for x in near if x], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in range(3)), spans], names=["doc_id", "text_key", "item_id", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in range(3)), spans], names=["doc_id", "text_key", "item_key", "spans"])
 
-    return found.select("doc_id", "text_key", "item_id", "hits", "n", "needed").mapInArrow(look, f"doc_id {kind}, text_key long, item_id long, spans array<struct<a:long,z:long>>")
+    return found.select("doc_id", "text_key", "item_key", "hits", "n", "needed").mapInArrow(look, f"doc_id {kind}, text_key long, item_key long, spans array<struct<a:long,z:long>>")
 
 
 def copies(text: str, cases: list[dict]) -> Iterator[tuple[int, float, int, int]]:
     """(item, share of its full score, start, end in code points): the best passage for each item."""
     own, places = words(text), None
-    for case in sorted(cases, key=lambda x: x["item_id"]):
+    for case in sorted(cases, key=lambda x: x["item_key"]):
         item, best = words(case["item_text"]), (0, 0, 0)
         codes = {w: k for k, w in enumerate(dict.fromkeys(item))}
         coded, enough = np.array([codes[w] for w in item]), least(len(item))
@@ -280,7 +290,7 @@ def copies(text: str, cases: list[dict]) -> Iterator[tuple[int, float, int, int]
             best = max(best, (score, span["a"] + s, span["a"] + e), key=lambda x: (x[0], -x[1]))
         if best[0] >= enough:
             places = places or spans_of(text)
-            yield case["item_id"], best[0] / (MATCH * len(item)), places[best[1]][0], places[best[2] - 1][1]
+            yield case["item_key"], best[0] / (MATCH * len(item)), places[best[1]][0], places[best[2] - 1][1]
 
 
 def _aligned(cases: DataFrame) -> DataFrame:
@@ -289,10 +299,10 @@ def _aligned(cases: DataFrame) -> DataFrame:
             rows = [(k, *x) for k, (text, own) in enumerate(zip(batch.column(2), batch.column(3), strict=True)) for x in copies(text.as_py(), own.as_py())]
             at, *cols = list(zip(*rows, strict=True)) or [()] * 5
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)), batch.column(1).take(at)], names=["doc_id", "item_id", "score", "start", "end", "text_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)), batch.column(1).take(at)], names=["doc_id", "item_key", "score", "start", "end", "text_key"])
 
-    return cases.mapInArrow(find, f"doc_id {cases.dtypes[0][1]}, item_id long, score double, start long, `end` long, text_key long")
+    return cases.mapInArrow(find, f"doc_id {cases.dtypes[0][1]}, item_key long, score double, start long, `end` long, text_key long")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key", "item_key")

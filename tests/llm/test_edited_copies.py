@@ -27,7 +27,7 @@ def test_evenly_edited_copies(spark):
 
 def test_found_copies_equal_alignment_of_whole_texts(spark):
     rng = random.Random(4)
-    items = {k: words(rng, n, 40) for k, n in enumerate((1, 2, 3, 3, 5, 9, 14, 20, 27, 40))}
+    items = {k: words(rng, n, 40) for k, n in enumerate((1, 2, 3, 3, 5, 7, 8, 9, 11, 12, 14, 20, 27, 40))}
     texts = [None, "", *(" ".join(words(rng, rng.randint(1, 150), 60)) for _ in range(40))]
     for own in items.values():
         for _ in range(6):
@@ -37,7 +37,7 @@ def test_found_copies_equal_alignment_of_whole_texts(spark):
     for t, text in enumerate(texts):
         for k, own in items.items():
             n, best = len(own), score(own, leaks.words(text))
-            if best >= (min(n, 26) if n >= 3 else 2 * n):
+            if best >= (2 * n if n < 8 else min(n, 26) if n >= 13 else 2 * n - n * (n - 7) / 6):
                 want[t, k] = best / (2 * n)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     found = leaks.contaminated(docs, spark.createDataFrame([(k, " ".join(own)) for k, own in items.items()], "item_id long, text string"))
