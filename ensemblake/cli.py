@@ -24,8 +24,9 @@ def parser() -> argparse.ArgumentParser:
     jobs = top.add_subparsers(dest="job", required=True)
     c = jobs.add_parser("cluster", help="cluster features (traj_id, frame, x) or structures, then assign all frames")
     c.add_argument("--features", nargs="+")
-    c.add_argument("--trajectories", nargs="+", action="append", help="PDB files; may be repeated, with an --atoms for each")
+    c.add_argument("--trajectories", nargs="+", action="append", help="PDB or DCD files; may be repeated, with an --atoms for each")
     c.add_argument("--atoms", action="append", help="selection of the atoms to compare")
+    c.add_argument("--topology", action="append", help="PDB file with the atoms of a group of DCD files, or none for a group of PDB files; once for each --trajectories")
     c.add_argument("--metric")
     c.add_argument("--algorithm", choices=["kcenters", "khybrid", "kmedoids"], default="khybrid")
     c.add_argument("--clusters", type=int)
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--features", nargs="+")
     r.add_argument("--trajectories", nargs="+", action="append")
     r.add_argument("--atoms", action="append")
+    r.add_argument("--topology", action="append")
     r.add_argument("--centers", required=True)
     r.add_argument("--metric")
     t = jobs.add_parser("implied", help="implied timescales of assignments (traj_id, frame, state)")
@@ -99,7 +101,8 @@ def _frames(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, str]
     if a.trajectories:
         if not a.atoms:
             raise ImproperlyConfigured("--trajectories needs --atoms")
-        return tables.load_trajectories(spark, a.trajectories, a.atoms), a.metric or "rmsd"
+        topologies = a.topology and [None if t == "none" else t for t in a.topology]
+        return tables.load_trajectories(spark, a.trajectories, a.atoms, topologies), a.metric or "rmsd"
     if a.metric == "rmsd" or a.atoms:
         raise ImproperlyConfigured("features have neither atoms nor an rmsd")
     return tables.load_features(spark, a.features if len(a.features) > 1 else a.features[0]), a.metric or "euclidean"

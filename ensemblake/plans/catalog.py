@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_info, q_model, q_more, q_ragged, q_space
+from . import q_info, q_large, q_model, q_more, q_ragged, q_space
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    return {k: v for module in (q_ragged, q_model, q_info, q_space, q_more) for k, v in module.Q.items()}
+    return {k: v for module in (q_ragged, q_model, q_info, q_space, q_more, q_large) for k, v in module.Q.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

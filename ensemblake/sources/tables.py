@@ -10,6 +10,7 @@ from ..exceptions import DataInvalid, ImproperlyConfigured
 from ..functions.geometry import selection
 from ..operators.pockets import radius_of
 from ..operators.ragged import Ragged, partition_indices
+from .dcd import listed, load_dcd
 
 KEY = ["traj_id", "frame"]
 
@@ -136,15 +137,29 @@ def structures(coords: DataFrame) -> DataFrame:
     return own.select("traj_id", "frame", F.flatten(F.transform("a", lambda r: r["p"])).alias("x"))
 
 
-def load_trajectories(spark: SparkSession, groups: list[list[str] | str], selections: list[str]) -> DataFrame:
-    """As structures, of groups of PDB files, each with a selection of its own; all must select equally many atoms. Trajectories are numbered on."""
-    if len(groups) != len(selections):
+def load_trajectories(spark: SparkSession, groups: list[list[str] | str], selections: list[str], topologies: list[str | None] | None = None, stride: int = 1) -> DataFrame:
+    """As structures, of groups of PDB or DCD files, each with a selection of its own; all must select equally many atoms. Trajectories are numbered on.
+
+    DCD files hold coordinates alone: their group's topology is a PDB file with its atoms, and only the atoms that are selected are read.
+    """
+    topologies = topologies or [None] * len(groups)
+    if not len(groups) == len(selections) == len(topologies):
         raise ImproperlyConfigured("needs a selection for each group of trajectories")
     found, at = None, 0
-    for paths, text in zip(groups, selections, strict=True):
-        atoms = load_pdb(spark, paths)
-        own = structures(select_atoms(atoms, atoms, text)).withColumn("traj_id", F.col("traj_id") + at)
-        at += atoms.agg(F.max("traj_id") + 1).first()[0]
+    for paths, text, top in zip(groups, selections, topologies, strict=True):
+        paths = [paths] if isinstance(paths, str) else list(paths)
+        if top is None and any(p.endswith(".dcd") for p in paths):
+            raise ImproperlyConfigured(f"{paths[0]} needs a topology, a PDB file with its atoms")
+        if top is None:
+            atoms = load_pdb(spark, paths)
+            own = structures(select_atoms(atoms, atoms, text)).where(F.col("frame") % stride == 0)
+            many = atoms.agg(F.max("traj_id") + 1).first()[0]
+        else:
+            first = load_pdb(spark, top).where("traj_id = 0 AND frame = 0")
+            wanted = [r.atom_id for r in select_atoms(first, first, text).select("atom_id").distinct().collect()]  # a structure's atoms, as many as one frame has
+            own, many = load_dcd(spark, paths, stride, wanted).select("traj_id", "frame", "x"), len(listed(paths))
+        own = own.withColumn("traj_id", F.col("traj_id") + at)
+        at += many
         found = own if found is None else found.unionByName(own)
     sizes = [r.n for r in found.select((F.size("x") / 3).cast("int").alias("n")).distinct().limit(2).collect()]
     if len(sizes) > 1:
