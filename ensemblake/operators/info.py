@@ -1,4 +1,4 @@
-"""Information theory: joint counts of all feature pairs in one self-join, and what follows from them."""
+"""Information theory: joint counts of all feature pairs, and what follows from them."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..exceptions import DataInvalid
 from ..functions import linalg
+from ..functions.pairs import pair_counts
+from ..plans.shared import workers_can_import
 from .counts import assigns_to_counts
 from .msm import normalize, with_prior
 
@@ -25,18 +27,18 @@ def joint_counts(x: DataFrame, y: DataFrame | None = None, keys: list[str] = FRA
     """(fa, fb, u, v, n): how often feature fa is in state u while fb is in v, in all frames of all trajectories.
 
     x, y: long tables (keys, feature, state). Alone, x is joined with itself for fa <= fb only, and the other half is mirrored after the counting.
-    A frame's features meet in one array, so the pairs are made without a second shuffle, and counted before the next.
+    A frame's features meet in one array. Tasks count pairs of (feature, state) as products of indicator matrices and hand on sums alone, so what is shuffled
+    doesn't grow with the frames, nor are pairs ever rows.
     """
-    value = F.sum("w") if weight else F.count(F.lit(1))
+    workers_can_import(x.sparkSession)
     cell = F.struct("feature", "state", *([F.col(weight).cast("double").alias("w")] if weight else []))
-    own = x.groupBy(*keys).agg(F.collect_list(cell).alias("a"))
-    other = own.select(*keys, F.col("a").alias("b")) if y is None else y.groupBy(*keys).agg(F.collect_list(F.struct("feature", "state")).alias("b"))
-    both = own.withColumn("b", F.col("a")) if y is None else own.join(other, keys)
-    both = both.select(F.explode("a").alias("p"), "b").select("p", F.explode("b").alias("q"))
-    if y is None:
-        both = both.where("p.feature <= q.feature")
-    both = both.select(F.col("p.feature").alias("fa"), F.col("q.feature").alias("fb"), F.col("p.state").alias("u"), F.col("q.state").alias("v"), *([F.col("p.w").alias("w")] if weight else []))
-    found = both.groupBy("fa", "fb", "u", "v").agg(value.alias("n"))
+    both = x.groupBy(*keys).agg(F.collect_list(cell).alias("a"))
+    if y is not None:
+        both = both.join(y.groupBy(*keys).agg(F.collect_list(F.struct("feature", "state")).alias("b")), keys)
+    kinds = [dict(t.dtypes) for t in (x, x if y is None else y)]
+    schema = f"fa {kinds[0]['feature']}, fb {kinds[1]['feature']}, u {kinds[0]['state']}, v {kinds[1]['state']}, n {'double' if weight else 'long'}"
+    found = both.select("a", *(["b"] if y is not None else [])).mapInArrow(pair_counts(weight is not None), schema)
+    found = (found.where("fa <= fb") if y is None else found).groupBy("fa", "fb", "u", "v").agg(F.sum("n").alias("n"))
     if y is not None:
         return found
     mirror = found.where("fa < fb").select(F.col("fb").alias("fa"), F.col("fa").alias("fb"), F.col("v").alias("u"), F.col("u").alias("v"), "n")
