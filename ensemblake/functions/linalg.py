@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import warnings
 
 import numpy as np
@@ -70,17 +69,6 @@ def row_normalized(c: np.ndarray) -> np.ndarray:
     return np.divide(c, total, out=np.zeros_like(c, float), where=total > 0)
 
 
-def strong_components(edges: np.ndarray) -> np.ndarray:
-    """A label for each node of a boolean adjacency matrix, equal where nodes reach each other."""
-    n = len(edges)
-    reach = edges | np.eye(n, dtype=bool)
-    while True:
-        wider = (reach.astype(np.float32) @ reach.astype(np.float32)) > 0
-        if (wider == reach).all():
-            return np.argmax(reach & reach.T, axis=1)
-        reach = wider
-
-
 def reversible_mle(c: np.ndarray, tol: float = 1e-12, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Maximum-likelihood transition matrix under detailed balance, and its populations.
 
@@ -129,52 +117,6 @@ def mfpts(t: np.ndarray, sinks: list[int] | None = None, populations: np.ndarray
     return lagtime * np.linalg.solve(system, right)
 
 
-def widest_path(flux: np.ndarray, sources: list[int], sinks: list[int]) -> tuple[list[int], float]:
-    """The path from a source to a sink whose least flux is largest; no path: ([], 0). Ties: fewer steps, then smaller states."""
-    done: set[int] = set()
-    heap, width = [(-np.inf, s) for s in sorted(sources)], 0.0
-    while heap:
-        least, at = heapq.heappop(heap)
-        if at in sinks:
-            width = float(-least)
-            break
-        if at not in done:
-            done.add(at)
-            for to in np.flatnonzero(flux[at] > 0).tolist():
-                heapq.heappush(heap, (max(least, -flux[at, to]), to))
-    if not width:
-        return [], 0.0
-    # Of the paths that are so wide, the shortest: level by level, each state by its first path.
-    level, seen = [[s] for s in sorted(sources)], set(sources)
-    while True:
-        if ends := [path for path in level if path[-1] in sinks]:
-            return min(ends), width
-        longer = [[*path, to] for path in level for to in np.flatnonzero((flux[path[-1]] >= width) & (flux[path[-1]] > 0)).tolist() if to not in seen]
-        level = list({path[-1]: path for path in sorted(longer, reverse=True)}.values())
-        seen.update(path[-1] for path in level)
-
-
-def top_paths(flux: np.ndarray, sources: list[int], sinks: list[int], remove: str = "subtract", num_paths: float = np.inf, flux_cutoff: float = 1 - 1e-10) -> list[tuple[list[int], float]]:
-    """Widest paths one after another, each taken out of the flux, until they carry the cut-off's share of what leaves the sources."""
-    left, total, done, out = flux.astype(float).copy(), flux[sources].sum(), 0.0, []
-    while len(out) < num_paths and done < flux_cutoff * total:
-        path, width = widest_path(left, sources, sinks)
-        if not path or not np.isfinite(width):
-            break
-        out.append((path, width))
-        done += width
-        if callable(remove):
-            left = remove(left, path)
-            continue
-        edges = list(zip(path, path[1:]))
-        least = min(edges, key=lambda e: left[e])
-        if remove == "subtract":
-            for e in edges:
-                left[e] -= width
-        left[least] = 0
-    return out
-
-
 def affinity_propagation(similarity: np.ndarray, damping: float = 0.5, preference: float | None = None, most: int = 10_000, steady: int = 15) -> np.ndarray:
     """Exemplar labels 0, 1, ... by message passing; -1 everywhere if no exemplar emerges."""
     s = similarity.astype(float).copy()

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from ..exceptions import DataInvalid, ImproperlyConfigured
 from ..functions import linalg
 from ..plans.shared import sized, written
+from . import sparse
 from .counts import assigns_to_counts, counts_by_lag
 
+#: So many eigenvalues at most come from block iterations on the edge table; all of a larger matrix, from a dense one of a checked size.
+LEADING = 40
+
 
 def with_prior(counts: DataFrame, prior: float | DataFrame | None, n_states: int | None = None) -> DataFrame:
     """Counts with a pseudocount, or a table of them, added to every cell of the n x n grid."""
@@ -68,9 +72,8 @@ def transpose(counts: DataFrame, prior_counts: float | DataFrame | None = None,
 def mle(counts: DataFrame, prior_counts: float | DataFrame | None = None, calculate_eq_probs: bool = True, n_states: int | None = None) -> Model:
     """(counts, T, populations) of the most likely reversible model."""
     counts = with_prior(counts, prior_counts, n_states)
-    t, pi = linalg.reversible_mle(linalg.gather(counts, n_states))
-    spark = counts.sparkSession
-    return counts, linalg.scatter(spark, t), linalg.scatter(spark, pi) if calculate_eq_probs else None
+    t, pi = sparse.reversible_mle(counts, n_states)
+    return counts, t, pi if calculate_eq_probs else None
 
 
 BUILDERS: dict[str, Callable[..., Model]] = {"normalize": normalize, "transpose": transpose, "mle": mle}
@@ -85,11 +88,26 @@ def builder(method: str | Callable[..., Model]) -> Callable[..., Model]:
 
 
 def eigenspectrum(t: DataFrame, n_eigs: int | None = None, left: bool = True, n_states: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    return linalg.eigenspectrum(linalg.gather(t, n_states), n_eigs, left)
+    """Eigenvalues by falling real part, and their vectors as columns of an array; the first sums to 1. Up to LEADING of them come from the edge table alone."""
+    n = n_states or state_count(t)
+    k = n if n_eigs is None else n_eigs
+    if k < 2:
+        raise ValueError("at least two eigenvalues")
+    if k > LEADING:
+        return linalg.eigenspectrum(linalg.gather(t, n), n_eigs, left)
+    values, vectors = sparse.leading_spectrum(t, k, left, n)
+    out = np.zeros((linalg.few_states(n), len(values)))
+    for i, j, v in vectors.select("i", "k", "v").collect():
+        out[i, j] = v
+    return values, out
 
 
 def eq_probs(t: DataFrame, n_states: int | None = None) -> DataFrame:
-    return linalg.scatter(t.sparkSession, linalg.stationary(linalg.gather(t, n_states)))
+    """(i, v): the left vector of eigenvalue 1, with sum 1. Beyond what fits a dense matrix, from the edge table."""
+    n = n_states or state_count(t)
+    if n > linalg.MOST_STATES:
+        return sparse.leading_spectrum(t, 1, n_states=n)[1].select("i", "v")
+    return linalg.scatter(t.sparkSession, linalg.stationary(linalg.gather(t, n)))
 
 
 def power_iteration(t: DataFrame, n_states: int, steps: int) -> DataFrame:
@@ -110,11 +128,19 @@ def trim_disconnected(counts: DataFrame, threshold: float = 1, renumber_states:
 
     Parts are those of counts at or above the threshold; sums are of all counts; ties go to the smallest state. Kept states are numbered from 0, or keep their numbers.
     """
-    c = linalg.gather(counts, n_states)
-    labels = linalg.strong_components(c >= threshold)
-    weight = np.bincount(labels, c.sum(axis=1), minlength=len(c)) if len(c) else np.zeros(0)
-    kept = np.flatnonzero(labels == weight.argmax()) if len(c) else []
-    mapping = counts.sparkSession.createDataFrame([(int(o), k if renumber_states else int(o)) for k, o in enumerate(kept)], "original int, mapped int")
+    counts = counts.select("i", "j", "v")
+    states = counts.select("i").union(counts.select("j")).distinct()
+    if threshold <= 0:  # cells that aren't there count too
+        kept = counts.sparkSession.range(n_states or state_count(counts)).select(F.col("id").cast("int").alias("i"))
+    else:
+        part = sparse.strong_components(counts.where(F.col("v") >= threshold)).withColumnRenamed("state", "i")
+        labels = written(states.join(part, "i", "left").select("i", F.coalesce("component", "i").alias("part")), "parts")
+        rows = counts.groupBy("i").agg(F.sum("v").alias("w"))
+        weight = labels.join(rows, "i", "left").groupBy("part").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("w"))
+        top = weight.orderBy(F.col("w").desc(), "part").first()
+        kept = labels.where(F.col("part") == (top.part if top else -1)).select("i")
+    mapping = sparse.numbered(kept) if renumber_states else kept.select(F.col("i").cast("int").alias("original"), F.col("i").cast("int").alias("mapped"))
+    mapping = written(mapping, "mapping")
     return mapping, apply_mapping(counts, mapping)
 
 
@@ -159,21 +185,21 @@ class TrimMapping:
         return cls(df)
 
 
-def timescales_of(t: np.ndarray, lag_time: int, n_times: int) -> np.ndarray:
+def timescales_of(t: DataFrame, lag_time: int, n_times: int, n_states: int) -> np.ndarray:
     """-lag / ln of the eigenvalues after the first."""
-    values = linalg.eigenspectrum(t, n_times + 1)[0][1:]
+    values = eigenspectrum(t, n_times + 1, n_states=n_states)[0][1:] if n_times + 1 > LEADING else sparse.leading_spectrum(t, n_times + 1, n_states=n_states)[0][1:]
     with np.errstate(divide="ignore", invalid="ignore"):
         return -lag_time / np.log(values)
 
 
 def implied_timescales(assigns: DataFrame, lag_times: list[int], method: str | Callable[..., Model] = "normalize", n_times: int | None = None, sliding_window: bool = True, trim: bool = False, prior: bool = False) -> DataFrame:
-    """(lag, k, timescale), k from 0: all lags are counted in one job; each lag's small matrix is solved on its own.
+    """(lag, k, timescale), k from 0: all lags are counted in one job; each lag's matrix stays a table of cells.
 
     prior: a pseudocount of one over the number of states in every cell first.
     """
     spark = assigns.sparkSession
     counts = written(counts_by_lag(assigns, lag_times, sliding_window), "lags")
-    n = linalg.few_states(state_count(counts))
+    n = state_count(counts)
     n_times = min(n // 10 + 1 if n_times is None else n_times, n - 1)
     out = []
     for lag in lag_times:
@@ -181,8 +207,8 @@ def implied_timescales(assigns: DataFrame, lag_times: list[int], method: str | C
         if trim:
             mapping, own = trim_disconnected(own, n_states=n)
             size = mapping.count()
-        t = linalg.gather(builder(method)(own, 1.0 / size if prior else None, False, size)[1], size)
-        out += [(int(lag), k, float(x)) for k, x in enumerate(timescales_of(t, lag, min(n_times, size - 1)))]
+        t = builder(method)(own, 1.0 / size if prior else None, False, size)[1]
+        out += [(int(lag), k, float(x)) for k, x in enumerate(timescales_of(t, lag, min(n_times, size - 1), size))] if size > 1 else []
     return spark.createDataFrame(out, "lag int, k int, timescale double")
 
 

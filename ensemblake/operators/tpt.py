@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
+from . import sparse
 from .msm import eq_probs, state_count
 
 
@@ -71,11 +72,11 @@ def reactive_populations(t: DataFrame, sources: list[int], sinks: list[int], pop
 
 
 def top_path(sources: list[int], sinks: list[int], net_flux: DataFrame, n_states: int | None = None) -> tuple[list[int], float]:
-    return linalg.widest_path(linalg.gather(net_flux, n_states), sources, sinks)
+    return sparse.widest_path(net_flux, sources, sinks)
 
 
 def paths(sources: list[int], sinks: list[int], net_flux: DataFrame, remove_path="subtract", num_paths: float = float("inf"), flux_cutoff: float = 1 - 1e-10, n_states: int | None = None) -> DataFrame:
     """(path_rank, step, state, flux) of the widest paths in order."""
-    found = linalg.top_paths(linalg.gather(net_flux, n_states), sources, sinks, remove_path, num_paths, flux_cutoff)
+    found = sparse.top_paths(net_flux, sources, sinks, remove_path, num_paths, flux_cutoff)
     rows = [(k, s, int(x), float(w)) for k, (path, w) in enumerate(found) for s, x in enumerate(path)]
     return net_flux.sparkSession.createDataFrame(rows, "path_rank int, step int, state int, flux double")
