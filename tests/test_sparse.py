@@ -4,6 +4,7 @@ import time
 import warnings
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ensemblake.exceptions import ConvergenceWarning
@@ -13,9 +14,7 @@ from ensemblake.operators import msm, sparse, tpt
 
 def table(spark, rows):
     i, j, v = (np.asarray(x) for x in zip(*rows)) if not isinstance(rows, tuple) else rows
-    import pandas as pd
-
-    return spark.createDataFrame(pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": v.astype(float)}))
+    return spark.createDataFrame(pa.table({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": v.astype(float)}))
 
 
 def parts_of(n, edges):
@@ -141,7 +140,8 @@ def test_reversible_model_of_edges(spark):
 def test_reversible_model_of_100000_states(spark):
     n = 100_000
     i, j, v = walk(n, np.random.default_rng(6), 2)
-    t, pi = sparse.reversible_mle(table(spark, (i, j, v)), n, tol=1e-2, few=10_000)
+    with pytest.warns(ConvergenceWarning):  # eight rounds won't do, but detailed balance holds after each
+        t, pi = sparse.reversible_mle(table(spark, (i, j, v)), n, most=8, few=10_000)
     t, p = t.toPandas(), pi.toPandas().sort_values("i").v.to_numpy()
     assert np.isclose(p.sum(), 1) and (p > 0).all()
     flow = {(a, b): x for a, b, x in zip(t.i, t.j, p[t.i] * t.v)}
@@ -162,9 +162,9 @@ def test_widest_paths_either_way(spark):
 def test_widest_path_among_100000_states(spark):
     n, rng = 100_000, np.random.default_rng(8)
     i, j, v = walk(n, rng, 4)
-    v = rng.random(len(v))
+    v = rng.integers(1, 7, len(v)).astype(float)
     path, width = sparse.widest_path(table(spark, (i, j, v)), [0, 1], [n - 1], few=10_000)
-    assert (path, width) == sparse._widest(i, j, v, [0, 1], [n - 1]) and width > 0.3 and len(path) > 5
+    assert (path, width) == sparse._widest(i, j, v, [0, 1], [n - 1]) and width > 1 and len(path) > 5
     edge = {}
     for a, b, w in zip(i.tolist(), j.tolist(), v.tolist()):
         edge[a, b] = max(w, edge.get((a, b), 0))
