@@ -473,11 +473,12 @@ def widest_path(flux: DataFrame, sources: list[int], sinks: list[int], few: int
     if set(sources) & set(sinks):
         raise DataInvalid("a state is both source and sink")
     edges = flux.where("v > 0").select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v"))
+    edges = written(edges, "fluxes")
     if edges.count() <= few:
         rows = edges.toArrow()
         return _widest(*(rows.column(c).to_numpy() for c in "ijv"), sources, sinks)
     spark = flux.sparkSession
-    edges, best = written(edges, "fluxes"), 0.0
+    best = 0.0
     start = spark.createDataFrame([(int(s), float("inf")) for s in sources], "i int, w double")
     known, front = start, start
     while not front.isEmpty():
@@ -513,7 +514,7 @@ def top_paths(flux: DataFrame, sources: list[int], sinks: list[int], remove: str
 
     remove: "subtract" takes the path's flux from its edges and "bottleneck" its narrowest edge (the first of equal ones); a callable gets (edges, path) and returns edges.
     """
-    left = flux.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v"))
+    left = written(flux.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v")), "flux")
     total = left.where(F.col("i").isin(sources)).agg(F.sum("v")).first()[0] or 0.0
     done, out, spark = 0.0, [], flux.sparkSession
     while len(out) < num_paths and done < flux_cutoff * total:
