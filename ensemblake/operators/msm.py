@@ -343,33 +343,74 @@ def bayesian_prune(counts: DataFrame | np.ndarray, factor: float = float(np.log(
     return (*absorb(c, np.flatnonzero(score < factor).tolist()), np.flatnonzero(score >= factor))
 
 
-def bace(counts: DataFrame | np.ndarray, n_macrostates: int) -> tuple[dict[int, float], dict[int, np.ndarray]]:
-    """(log Bayes factors, labels) by number of macrostates: the pair of linked states whose merger loses least, again and again."""
-    c, label, kept = bayesian_prune(counts)
-    n = len(c)
-    alive, c = kept.tolist(), c.copy()
-    c[np.ix_(alive, alive)] += 1.0 / n
-    linked = lambda: [(x, y) for k, x in enumerate(alive) for y in alive[k + 1 :] if max(c[x, y], c[y, x]) > 1]
-    factors, labels = {}, {}
+def _xlogx(v: np.ndarray) -> np.ndarray:
+    return v * np.log(np.where(v > 0, v, 1))
+
+
+class Mergers:
+    """Linked pairs of states with what their merger loses, kept up from merger to merger.
+
+    With g(v) = v ln v, rows a, b of sums w and r = a + b, a loss is the sum of g(a) + g(b) - g(r) over columns, less g(w_a) + g(w_b) - g(w_a + w_b). A merger
+    replaces two columns by one: every pair's sum changes by three terms, and only the pairs of the merged state are made anew.
+    """
+
+    def __init__(self, c: np.ndarray):
+        self.c, self.alive = c, np.ones(len(c), bool)
+        self.w, self.s = c.sum(axis=1), _xlogx(c).sum(axis=1)
+        self.p, self.q = np.nonzero(np.triu(np.maximum(c, c.T) > 1, 1))
+        self.j = np.concatenate([np.zeros(0), *(_xlogx(c[self.p[k : k + 1000]] + c[self.q[k : k + 1000]]).sum(axis=1) for k in range(0, len(self.p), 1000))])
 
-    def loss(x: int, y: int) -> float:
-        a, b = c[x, alive], c[y, alive]
+    def loss(self, x: int, y: int) -> float:
+        """From both rows as they are."""
+        a, b = self.c[x, self.alive], self.c[y, self.alive]
         wa, wb = a.sum(), b.sum()
         shared = (a + b) / (wa + wb)
         with np.errstate(divide="ignore", invalid="ignore"):
             return float(np.nansum(a * np.log(a / wa / shared)) + np.nansum(b * np.log(b / wb / shared)))
 
-    while len(alive) > n_macrostates and (pairs := linked()):
-        x, y = min(pairs, key=lambda p: (loss(*p), p))
-        factors[len(alive) - 1] = loss(x, y)
+    def best(self) -> tuple[float, int, int] | None:
+        """(loss, x, y) of the least loss, ties to the smallest pair: what is least but for rounding is computed again."""
+        if not len(self.p):
+            return None
+        w = self.w
+        kept = self.s[self.p] + self.s[self.q] - self.j - _xlogx(w[self.p]) - _xlogx(w[self.q]) + _xlogx(w[self.p] + w[self.q])
+        near = np.flatnonzero(kept <= kept.min() + 1e-10 * (1 + np.abs(self.j).max()))
+        return min((self.loss(x, y), x, y) for x, y in zip(self.p[near].tolist(), self.q[near].tolist(), strict=True))
+
+    def merge(self, x: int, y: int) -> None:
+        """y goes into x."""
+        c, p, q = self.c, self.p, self.q
+        self.j -= _xlogx(c[p, x] + c[q, x]) + _xlogx(c[p, y] + c[q, y])
+        self.s -= _xlogx(c[:, x]) + _xlogx(c[:, y])
         c[x] += c[y]
         c[:, x] += c[:, y]
         c[y], c[:, y] = 0, 0
-        gone, to = label[y], label[x]
+        self.alive[y] = False
+        self.j += _xlogx(c[p, x] + c[q, x])
+        self.s += _xlogx(c[:, x])
+        self.s[x], self.w[x], self.s[y], self.w[y] = _xlogx(c[x]).sum(), c[x].sum(), 0, 0
+        stay = (p != x) & (q != x) & (p != y) & (q != y)
+        others = np.flatnonzero((np.maximum(c[x], c[:, x]) > 1) & (np.arange(len(c)) != x))
+        self.p = np.concatenate((p[stay], np.minimum(others, x)))
+        self.q = np.concatenate((q[stay], np.maximum(others, x)))
+        self.j = np.concatenate((self.j[stay], _xlogx(c[others] + c[x]).sum(axis=1)))
+
+
+def bace(counts: DataFrame | np.ndarray, n_macrostates: int) -> tuple[dict[int, float], dict[int, np.ndarray]]:
+    """(log Bayes factors, labels) by number of macrostates: the pair of linked states whose merger loses least, again and again."""
+    c, label, kept = bayesian_prune(counts)
+    own = Mergers(c[np.ix_(kept, kept)] + 1.0 / len(c))
+    factors, labels = {}, {}
+    left = len(kept)
+    while left > n_macrostates and (found := own.best()):
+        loss, x, y = found
+        factors[left - 1] = loss
+        own.merge(x, y)
+        gone, to = label[kept[y]], label[kept[x]]
         label = np.where(label == gone, to, label)
         label = np.where(label > gone, label - 1, label)
-        alive.remove(y)
-        labels[len(alive)] = label.copy()
+        left -= 1
+        labels[left] = label.copy()
     return factors, labels
 
 

@@ -1,5 +1,6 @@
 """Queries over transition counts, Markov models, paths and clustering."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clustering as cl
@@ -287,9 +288,11 @@ def _(s, d):
 
 @q("bace_levels")
 def _(s, d):
-    # Events mix too well to have macrostates; two pairs and a single state are made to stay together.
-    kept = s.createDataFrame([(i, i, 9e5) for i in range(5)] + [(0, 1, 4e5), (1, 0, 4e5), (2, 3, 5e5), (3, 2, 5e5)], "i int, j int, v double")
-    factors, labels = msm.bace(msm.with_prior(counts1(s, d), kept), 2)
+    """A user's events in order of value instead of time, states their bands of value: they pass from band to band, and neighbours merge first."""
+    e = dm.table(s, d, "events").where("value is not null")
+    frame = F.row_number().over(Window.partitionBy("user_id").orderBy("value", "event_id")) - 1
+    states = e.select(F.col("user_id").alias("traj_id"), frame.cast("long").alias("frame"), F.least(F.floor(F.col("value") / 10), F.lit(9)).cast("int").alias("state"))
+    factors, labels = msm.bace(tc.assigns_to_counts(states, 1), 2)
     return s.createDataFrame([(n, k, int(x), round(factors[n], 6)) for n, own in labels.items() for k, x in enumerate(own)], "n int, state int, label int, factor double")
 
 
