@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -155,13 +156,32 @@ def affinity_propagation(similarity: np.ndarray, damping: float = 0.5, preferenc
     return labels
 
 
+def superpose_many(moving: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """m structures (m x n x 3), each rotated and shifted onto its own or the one fixed (m or 1 x n x 3) for the least RMSD, and these RMSDs (Kabsch).
+
+    NaN where a coordinate isn't finite, or there are no atoms.
+    """
+    m, n = moving.shape[:2]
+    if not m or not n:
+        return moving, np.full(m, np.nan)
+    good = np.isfinite(moving).all(axis=(1, 2)) & np.isfinite(fixed).all(axis=(1, 2))
+    if not good.all():
+        placed, least = np.full(moving.shape, np.nan), np.full(m, np.nan)
+        if good.any():
+            placed[good], least[good] = superpose_many(moving[good], fixed[good] if len(fixed) == m else fixed)
+        return placed, least
+    centre = fixed.mean(axis=1, keepdims=True)
+    a, b = moving - moving.mean(axis=1, keepdims=True), fixed - centre
+    u, _, vt = np.linalg.svd(np.swapaxes(a, 1, 2) @ b)
+    u[:, :, 2] *= np.where(np.linalg.det(u) * np.linalg.det(vt) < 0, -1.0, 1.0)[:, None]
+    placed = a @ (u @ vt)
+    return placed + centre, np.sqrt(((placed - b) ** 2).sum(axis=(1, 2)) / n)
+
+
 def superpose(moving: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, float]:
-    """moving (n x 3) rotated and shifted onto fixed for the least RMSD, and that RMSD (Kabsch)."""
-    a, b = moving - moving.mean(axis=0), fixed - fixed.mean(axis=0)
-    u, _, vt = np.linalg.svd(a.T @ b)
-    flip = np.diag([1, 1, np.sign(np.linalg.det(u @ vt)) or 1])
-    placed = a @ u @ flip @ vt
-    return placed + fixed.mean(axis=0), float(np.sqrt(((placed - b) ** 2).sum() / len(a)))
+    """moving (n x 3) rotated and shifted onto fixed for the least RMSD, and that RMSD."""
+    placed, least = superpose_many(np.asarray(moving, float)[None], np.asarray(fixed, float)[None])
+    return placed[0], float(least[0])
 
 
 def fit_exponentials(t: np.ndarray, y: np.ndarray, p0: list[float], most: int = 500) -> np.ndarray:
@@ -198,21 +218,52 @@ def sphere(n: int = 960) -> np.ndarray:
     return np.stack([r * np.cos(angle), r * np.sin(angle), z], axis=1)
 
 
-def sasa(xyz: np.ndarray, radii: np.ndarray, probe: float = 0.14, points: int = 960) -> np.ndarray:
-    """Solvent-accessible area of each atom: the share of its sphere outside all others (Shrake-Rupley)."""
-    unit, r = sphere(points), radii + probe
-    out = np.zeros(len(xyz))
-    for k in range(len(xyz)):
-        d = np.linalg.norm(xyz - xyz[k], axis=1)
-        near = np.flatnonzero((d < r[k] + r) & (d > 0))
-        spots = xyz[k] + r[k] * unit
-        free = np.ones(points, bool)
-        for j in near:
-            free &= ((spots - xyz[j]) ** 2).sum(axis=1) >= r[j] ** 2
-        out[k] = 4 * np.pi * r[k] ** 2 * free.mean()
+#: Distances, or tests of a spot against a neighbour, that are held at once.
+TILE = 2_000_000
+
+
+def sasa_many(xyz: np.ndarray, radii: np.ndarray, probe: float = 0.14, points: int = 960) -> np.ndarray:
+    """m x n solvent-accessible areas of structures (m x n x 3): the share of an atom's sphere outside all others (Shrake-Rupley).
+
+    A spot r u of an atom is within r' of a neighbour at v if u . v > (v . v + r r - r' r') / 2 r, so all spots of many atoms are one matrix product.
+    """
+    unit, r = sphere(points).T, radii + probe
+    m, n = xyz.shape[:2]
+    out = np.empty((m, n))
+    for s, k in _tiles(m, n):
+        there, own = xyz[s], xyz[s, k]
+        d2 = ((own[:, :, None, :] - there[:, None, :, :]) ** 2).sum(axis=3)
+        at, atom, other = np.nonzero((d2 < (r[k, None] + r[None, :]) ** 2) & (d2 > 0))
+        mine = r[k][atom]
+        bound = (d2[at, atom, other] + mine**2 - r[other] ** 2) / (2 * mine)
+        name = at * own.shape[1] + atom  # in rising order
+        away = there[at, other] - own[at, atom]
+        hidden = np.zeros((own.shape[0] * own.shape[1], points), bool)
+        step = max(1, TILE // points)
+        for lo in range(0, len(name), step):
+            part = slice(lo, lo + step)
+            within = away[part] @ unit > bound[part, None]
+            whose, first = np.unique(name[part], return_index=True)
+            hidden[whose] |= np.logical_or.reduceat(within, first, axis=0)
+        free = 1 - hidden.mean(axis=1).reshape(own.shape[:2])
+        out[s, k] = 4 * np.pi * r[k] ** 2 * free
     return out
 
 
+def _tiles(m: int, n: int) -> Iterator[tuple[slice, slice]]:
+    """(structures, atoms) of which no more than about TILE distances or spots are held at once."""
+    few = max(1, TILE // (max(n, 1_000) * max(n, 1)))
+    rows = max(1, min(n, TILE // max(n, 1_000)))
+    for lo in range(0, m, few):
+        for first in range(0, n, rows if few == 1 else n):
+            yield slice(lo, lo + few), slice(first, first + (rows if few == 1 else n))
+
+
+def sasa(xyz: np.ndarray, radii: np.ndarray, probe: float = 0.14, points: int = 960) -> np.ndarray:
+    """Accessible area of each atom of one structure."""
+    return sasa_many(np.asarray(xyz, float)[None], radii, probe, points)[0]
+
+
 def deconvolve(g: np.ndarray) -> np.ndarray:
     """Direct couplings from observed ones: g (1 + g)^-1."""
     return g @ np.linalg.inv(np.eye(len(g)) + g)

@@ -127,8 +127,12 @@ def minmax(df: DataFrame, value: str, by: list[str] = (), out: str = "scaled") -
 
 def histogram(df: DataFrame, value: str, width: float, by: list[str] = ()) -> DataFrame:
     """by, bin, lo, hi, n: equal bins from 0 up to one beyond the largest value, empty ones too."""
-    counts = df.groupBy(*by, F.floor(F.col(value) / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    tops = df.groupBy(*by).agg((F.floor(F.max(value) / width) + 1).cast("int").alias("__top"))
+    return filled_bins(df.groupBy(*by, F.floor(F.col(value) / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")), width, by)
+
+
+def filled_bins(counts: DataFrame, width: float, by: list[str] = ()) -> DataFrame:
+    """by, bin, lo, hi, n of counts (by, bin, n): bins from 0 up to one beyond the last, those without a count too."""
+    tops = counts.groupBy(*by).agg((F.max("bin") + 1).alias("__top"))
     grid = tops.select(*by, F.explode(F.sequence(F.lit(0), "__top")).alias("bin"))
     out = grid.join(counts, [*by, "bin"], "left")
     return out.select(*by, "bin", (F.col("bin") * width).alias("lo"), ((F.col("bin") + 1) * width).alias("hi"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))

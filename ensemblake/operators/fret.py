@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fret, linalg
 from ..functions.geometry import cb_coords, placed, residue_frame
-from ..functions.metrics import histogram
+from ..functions.metrics import filled_bins
 from ..plans.shared import sized, workers_can_import
 from .msm import normalize
 from .pockets import near_points
@@ -41,16 +44,65 @@ def clear_conformers(dye: DataFrame, atoms: DataFrame, n_atoms: int, probe_radiu
     return free.groupBy(*by, "conformer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n_atoms - atom_tol).select(*by, "conformer")
 
 
-def distance_histogram(a: DataFrame, b: DataFrame, bin_width: float = 0.1, by: list[str] = BY) -> DataFrame:
-    """by, bin, lo, hi, n, density: of all distances between two clouds of one frame.
+#: Points in a block of a cloud, about: two blocks make a million distances at a time.
+SIDE = 1024
+
+
+def _blocks(points: DataFrame, by: list[str], side: int) -> DataFrame:
+    """by, block, blocks (of a frame), px, py, pz, times (arrays): a cloud's different points in blocks of about `side`, dealt by a hash of their place."""
+    sum_ = F.col("px") + F.col("py") + F.col("pz")
+    there = points.where(sum_.isNotNull() & ~F.isnan(sum_))
+    different = there.groupBy(*by, *(F.col(c).cast("double").alias(c) for c in ("px", "py", "pz"))).agg(F.count(F.lit(1)).alias("times"))
+    sizes = different.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias("blocks"))
+    dealt = different.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("px", "py", "pz"), "blocks").cast("int"))
+    return dealt.groupBy(*by, "blocks", "block").agg(*(F.collect_list(c).alias(c) for c in ("px", "py", "pz", "times")))
 
-    One cloud's points go out as an array by frame, so pairs are made and counted in place and only counts are shuffled.
+
+def _distance_counts(width: float, by: list[str]):
+    """Of rows with a block of each cloud: by, bin, n. Differences are taken axis by axis, as the plain expression would."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, bins, counts = [], [], []
+            arrays = {c: batch.column(c) for c in ("px", "py", "pz", "times", "ox", "oy", "oz", "o_times")}
+            for k in range(batch.num_rows):
+                own = {c: a[k].values.to_numpy() for c, a in arrays.items()}
+                d2 = np.zeros((len(own["px"]), len(own["ox"])))
+                for c in "xyz":
+                    step = own[f"p{c}"][:, None] - own[f"o{c}"][None, :]
+                    d2 += step * step
+                at = np.floor(np.sqrt(d2) / width).astype(np.int64).ravel()
+                weights = own["times"][:, None] * own["o_times"][None, :]
+                found, where = np.unique(at, return_inverse=True) if at.max() > 1_000_000 else (None, at)
+                n = np.bincount(where, weights.ravel() if weights.max() > 1 else None)
+                seen = np.flatnonzero(n)
+                rows.append(np.full(len(seen), k))
+                bins.append(seen if found is None else found[seen])
+                counts.append(n[seen].astype(np.int64))
+            if rows:
+                keys = batch.select(by).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(np.concatenate(bins).astype(np.int32)), pa.array(np.concatenate(counts))], names=[*by, "bin", "n"])
+
+    return run
+
+
+def distance_histogram(a: DataFrame, b: DataFrame, bin_width: float = 0.1, by: list[str] = BY, side: int = SIDE) -> DataFrame:
+    """by, bin, lo, hi, n, density: of all distances between two clouds of one frame. Points without a place have none.
+
+    Equal points are counted once, with their number. Each block of a cloud meets each of the other's in a row of its own, so a large frame is spread over tasks, and a
+    row's distances are binned where they are made: memory is that of two blocks, and what is shuffled are blocks and counts.
     """
     by = list(by)
-    other = b.groupBy(*by).agg(F.collect_list(F.struct("px", "py", "pz")).alias("other"))
-    both = a.join(other, by).select(*by, "px", "py", "pz", F.explode("other").alias("o"))
-    d = F.sqrt(sum((F.col(f"p{c}") - F.col(f"o.p{c}")) * (F.col(f"p{c}") - F.col(f"o.p{c}")) for c in "xyz"))
-    counts = histogram(both.select(*by, d.alias("d")), "d", bin_width, by)
+    workers_can_import(a.sparkSession)
+    own, other = _blocks(a, by, side), _blocks(b, by, side)
+    ends = other.select(*by, "blocks").distinct().withColumnRenamed("blocks", "__n")
+    asked = own.drop("blocks", "block").join(ends, by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    other = other.select(*by, "block", F.col("px").alias("ox"), F.col("py").alias("oy"), F.col("pz").alias("oz"), F.col("times").alias("o_times"))
+    both = asked.join(other, [*by, "block"]).drop("block")
+    kinds = dict(both.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "bin int", "n long"])
+    counts = both.mapInArrow(_distance_counts(bin_width, by), schema).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    counts = filled_bins(counts, bin_width, by)
     total = counts.groupBy(*by).agg((F.sum("n") * bin_width).alias("__area"))
     return counts.join(total, by).withColumn("density", F.col("n") / F.col("__area")).drop("__area")
 
