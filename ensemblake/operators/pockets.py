@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
 from .graph import components
 
 CELL = ["x", "y", "z"]
@@ -80,17 +84,74 @@ def pocket_cells(atoms: DataFrame, grid_spacing: float = 0.1, probe_radius: floa
     return all_ranks(touches_protein(grid, atoms, probe_radius, most_radius, by), by).where(F.col("rank") >= min_rank)
 
 
+def _places(points: DataFrame, reach: float, by: list[str]) -> DataFrame:
+    """points with their cell, a cube so small that all its points are within reach of each other, and `apart`: the id of a point without a place."""
+    side = reach / 3**0.5 * (1 - 1e-9)
+    sum_ = F.col("px") + F.col("py") + F.col("pz")
+    own = points.select(*by, "id", *(F.col(f"p{c}").cast("double").alias(f"p{c}") for c in CELL), F.when(sum_.isNull() | F.isnan(sum_), F.col("id")).alias("apart"))
+    return own.select("*", *(F.when(F.col("apart").isNull(), F.floor(F.col(f"p{c}") / side)).alias(f"c{c}") for c in CELL))
+
+
+def _cells(places: DataFrame, by: list[str]) -> DataFrame:
+    """by, cell (the smallest id in it), its place, how many points, the box around them and those at its ends."""
+    ends = [f(F.struct("px", "py", "pz"), F.col(f"p{c}")) for c in CELL for f in (F.min_by, F.max_by)]
+    box = [f(F.col(f"p{c}")).alias(f"{n}{c}") for c in CELL for n, f in (("lo", F.min), ("hi", F.max))]
+    return places.groupBy(*by, "cx", "cy", "cz", "apart").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*ends)).alias("ends"), *box)
+
+
+def _near_cells(cells: DataFrame, reach: float, by: list[str]) -> DataFrame:
+    """(a, b, linked) of pairs of cells: linked where two of the points at their ends are within reach; else points between may be, by the boxes around them.
+
+    Points within reach are at most two cells apart, so each cell asks half of the 124 around it.
+    """
+    half = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    around = F.array(*(F.struct(*(F.lit(d).cast("long").alias(c) for d, c in zip(ds, CELL))) for ds in half))
+    box = [f"{n}{c}" for c in CELL for n in ("lo", "hi")]
+    asked = cells.select(*by, F.col("cell").alias("a"), F.col("n").alias("na"), F.col("ends").alias("ea"), *(F.col(c).alias(f"a{c}") for c in box), "cx", "cy", "cz", F.explode(around).alias("d"))
+    asked = asked.select(*by, "a", "na", "ea", *(f"a{c}" for c in box), *((F.col(f"c{c}") + F.col(f"d.{c}")).alias(f"c{c}") for c in CELL))
+    both = asked.join(cells, [*by, "cx", "cy", "cz"])
+    gap = [F.greatest(F.lit(0.0), F.col(f"lo{c}") - F.col(f"ahi{c}"), F.col(f"alo{c}") - F.col(f"hi{c}")) for c in CELL]
+    both = both.where(sum(g * g for g in gap) <= reach * reach * (1 + 1e-9))
+    d2 = lambda x, y: sum((x[f"p{c}"] - y[f"p{c}"]) * (x[f"p{c}"] - y[f"p{c}"]) for c in CELL)
+    linked = F.exists("ea", lambda x: F.exists("ends", lambda y: d2(x, y) <= reach * reach))
+    both = both.select("a", F.col("cell").alias("b"), linked.alias("linked"), "na", "n", F.size("ea").alias("ka"), F.size("ends").alias("kb"))
+    return both.where("linked OR ka < na OR kb < n").select("a", "b", "linked")
+
+
+def single_linkage(points: DataFrame, reach: float, by: list[str] = ("frame",)) -> DataFrame:
+    """id, component (the smallest id it is connected to) of points (by, id, px, py, pz): those within reach are connected; ids are of one point of one `by`.
+
+    A cell's points are one node, so links are as many as cells, however many points these hold. Most cells are told to be linked, or not, by their boxes and the points
+    at their ends. Only pairs that aren't, and that nothing else has connected, have their points compared.
+    """
+    by = list(by)
+    places = _places(points, reach, by)
+    cells = written(_cells(places, by), "cells")
+    near = written(_near_cells(cells, reach, by), "near")
+    nodes = cells.select(F.col("cell").alias("id"))
+    found = components(near.where("linked").select("a", "b"), nodes)
+    open_ = near.where("NOT linked")
+    if not open_.isEmpty():
+        found = written(found, "linked")
+        a, b = (found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        open_ = written(open_.join(a, "a").join(b, "b").where("ca <> cb").select("a", "b", "ca", "cb"), "open")
+        asked = open_.select(F.col("a").alias("cell")).union(open_.select("b")).distinct()
+        keys = [*by, "cx", "cy", "cz"]
+        inside = places.join(cells.join(asked, "cell").select(*keys, "cell"), keys).select("cell", "px", "py", "pz").distinct()
+        one, other = (inside.select(F.col("cell").alias(c), *(F.col(f"p{x}").alias(f"{c}{x}") for x in CELL)) for c in "ab")
+        d2 = sum((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in CELL)
+        more = open_.join(one, "a").join(other, "b").where(d2 <= reach * reach).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        last = components(more, found.select(F.col("component").alias("id")).distinct())
+        found = found.withColumnRenamed("component", "c").join(last.select(F.col("id").alias("c"), "component"), "c").select("id", "component")
+    own = cells.select(*by, "cx", "cy", "cz", "apart", "cell").join(found.withColumnRenamed("id", "cell"), "cell")
+    same = reduce(and_, (F.col(f"p.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*by, "cx", "cy", "cz", "apart")))
+    return places.alias("p").join(own.alias("o"), same).select("p.id", "o.component")
+
+
 def cluster_points(points: DataFrame, reach: float, by: list[str] = ("frame",), min_size: int = 0, n_clouds: int | None = None) -> DataFrame:
     """points (by, id, px, py, pz) with cluster: single linkage at `reach`, numbered from 0 by falling size (ties: the smallest id), small ones left out."""
     by = list(by)
-    as_atoms = points.select(*by, F.col("id").alias("b"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
-    bin_ = lambda v: F.floor(v / reach).cast("int")
-    around = F.array(*(F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    left = points.select(*by, F.col("id").alias("a"), "px", "py", "pz", *(bin_(F.col(f"p{c}")).alias(f"__b{c}") for c in CELL))
-    right = as_atoms.select("*", F.explode(around).alias("d")).select(*by, "b", *(F.col(c).alias(f"a{c}") for c in CELL), *((bin_(F.col(c)) + F.col(f"d.{c}")).alias(f"__b{c}") for c in CELL))
-    d2 = sum((F.col(f"p{c}") - F.col(f"a{c}")) * (F.col(f"p{c}") - F.col(f"a{c}")) for c in CELL)
-    links = left.join(right, [*by, "__bx", "__by", "__bz"]).where((F.col("a") < F.col("b")) & (d2 <= reach * reach)).select("a", "b")
-    found = points.join(components(links, points), "id")
+    found = points.join(single_linkage(points, reach, by), "id")
     sizes = found.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > min_size)
     rank = (F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("size"), "component")) - 1).alias("cluster")
     sizes = sizes.select(*by, "component", "size", rank)
