@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..exceptions import DataInvalid
 from ..functions import linalg
 from ..functions.pairs import pair_counts
-from ..plans.shared import workers_can_import
+from ..plans.shared import workers_can_import, written
 from .counts import assigns_to_counts
+from .exemplars import affinity_propagation
 from .msm import normalize, with_prior
 
 FRAME = ["traj_id", "frame"]
@@ -187,16 +188,19 @@ def condense_sidechain_sasas(sasas: DataFrame, atoms: DataFrame) -> DataFrame:
 
 
 def exposons_from_sasas(sasas: DataFrame, damping: float = 0.5, weight: str | None = None, threshold: float = 0.02) -> tuple[DataFrame, DataFrame]:
-    """(mi (fa, fb, mi), labels (residue, exposon)): residues whose exposure (area over the threshold) goes together."""
+    """(mi (fa, fb, mi), labels (residue, exposon)): residues whose exposure (area over the threshold) goes together, numbered by their exemplars' order; -1 without one."""
     states = sasas.withColumn("state", (F.col("sasa") > threshold).cast("int")).withColumnRenamed("residue", "feature").withColumn("__w", F.col(weight) if weight else F.lit(1.0))
     names = sorted(r.feature for r in states.select("feature").distinct().collect())
     mi = weighted_mi(states, "__w", dict.fromkeys(names, 2))
-    linalg.few_states(len(names))
-    number = mi.sparkSession.createDataFrame(list(enumerate(names)), f"k int, name {states.schema['feature'].dataType.simpleString()}")
-    both = mi.join(number.toDF("i", "fa"), "fa").join(number.toDF("j", "fb"), "fb")
-    dense = linalg.gather(both.select("i", "j", F.col("mi").alias("v")), len(names))
-    labels = linalg.affinity_propagation(dense, damping, 0.0)
-    return mi, mi.sparkSession.createDataFrame([(n, int(k)) for n, k in zip(names, labels)], "residue int, exposon int")
+    return mi, exposon_labels(mi, damping)
+
+
+def exposon_labels(mi: DataFrame, damping: float = 0.5) -> DataFrame:
+    """residue, exposon of couplings (fa, fb, mi): groups around exemplars; residues stand for themselves at no coupling."""
+    found = written(affinity_propagation(mi.select(F.col("fa").alias("i"), F.col("fb").alias("k"), F.col("mi").alias("s")), damping, 0.0), "labels")
+    order = Window.orderBy("exemplar")  # of exemplars alone: a row each, of one number
+    numbers = found.where("exemplar IS NOT NULL").select("exemplar").distinct().withColumn("exposon", F.row_number().over(order) - 1)
+    return found.join(numbers, "exemplar", "left").select(F.col("i").cast("int").alias("residue"), F.coalesce("exposon", F.lit(-1)).cast("int").alias("exposon"))
 
 
 def deconvolve_network(observed: DataFrame, n: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import cli
 from ..functions import fret, geometry, linalg, metrics
-from ..operators import cards, dyes, info, msm, tpt
+from ..operators import cards, dyes, exemplars, info, msm, tpt
 from ..operators import clustering as cl
 from ..operators import counts as tc
 from ..operators import fret as fr
@@ -595,9 +595,33 @@ def _(s, d):
     return at.agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("state") == F.col("own")) & (F.col("distance") < 1e-9)).alias("at_zero")).crossJoin(same)
 
 
-@q("exposon_labels", "SELECT residue, true AS labelled FROM (SELECT unnest(range(0, 4))::INT AS residue)")
-def _(s, d):
-    return q_info.Q["exposons"][0](s, d).select("residue", (F.col("exposon") >= -1).alias("labelled"))
+@q("exposon_labels", "SELECT residue, true AS grouped, true AS own, true AS best FROM (SELECT unnest(range(0, 4))::INT AS residue)")
+def _(s, d):
+    """Each residue is in a group, an exemplar is in its own, and no other exemplar tells more of a residue than its own."""
+    mi = q_info.Q["exposed_sidechain_mi"][0](s, d)
+    found = exemplars.affinity_propagation(mi.select(F.col("fa").alias("i"), F.col("fb").alias("k"), F.col("mi").alias("s")), 0.9, 0.0)
+    named = found.where("i = exemplar").select(F.col("i").alias("fb"))
+    most = mi.where("fa <> fb").join(named, "fb").groupBy(F.col("fa").alias("i")).agg(F.max("mi").alias("most"))
+    mine = found.join(mi.select(F.col("fa").alias("i"), F.col("fb").alias("exemplar"), "mi"), ["i", "exemplar"], "left").join(most, "i", "left")
+    labels = q_info.Q["exposons"][0](s, d).select(F.col("residue").alias("i"), (F.col("exposon") >= 0).alias("grouped"))
+    stands = found.select(F.col("i").alias("exemplar"), (F.col("exemplar") == F.col("i")).alias("own"))
+    best = (F.col("i") == F.col("exemplar")) | (F.col("mi") >= F.col("most") - 1e-9)
+    return mine.join(stands, "exemplar").join(labels, "i").select(F.col("i").alias("residue"), "grouped", "own", best.alias("best"))
+
+
+@q("exemplars_of_labels", "SELECT DISTINCT label, true AS own, true AS nearest FROM embeddings")
+def _(s, d):
+    """Labels by the distances of their means: an exemplar stands for itself, and no other exemplar is nearer to a label than its own."""
+    e = dm.table(s, d, "embeddings")
+    c = e.groupBy("label").agg(F.array(*(F.avg(F.col("embedding")[k].cast("double")) for k in range(8))).alias("x"))
+    a, b = c.select(F.col("label").alias("i"), "x"), c.select(F.col("label").alias("k"), F.col("x").alias("y"))
+    alike = a.join(b, F.col("i") != F.col("k")).select("i", "k", (-metrics.sqeuclidean(F.col("x"), F.col("y"))).alias("s"))
+    found = exemplars.affinity_propagation(alike, 0.9)
+    leaders = found.where("i = exemplar").select(F.col("i").alias("k"))
+    most = alike.join(leaders, "k").groupBy("i").agg(F.max("s").alias("most"))
+    mine = found.join(alike.withColumnRenamed("k", "exemplar"), ["i", "exemplar"], "left").join(most, "i", "left").join(leaders.withColumnRenamed("k", "exemplar").withColumn("own", F.lit(True)), "exemplar", "left")
+    nearest = (F.col("i") == F.col("exemplar")) | (F.col("s") >= F.col("most") - 1e-9)
+    return mine.select(F.col("i").alias("label"), F.coalesce("own", F.lit(False)).alias("own"), F.coalesce(nearest, F.lit(False)).alias("nearest"))
 
 
 @q("superposed_rmsd_is_least", "SELECT vec_id, true AS least, vec_id = 0 AS self FROM embeddings")
