@@ -48,6 +48,35 @@ def test_stream_equals_batch(spark, tmp_path, lag):
     assert (got == linalg.gather(counts.assigns_to_counts(df, lag), 4)).all() and got.sum() > 0
 
 
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Stopped with events still held: what was held, and what is kept of a key, come back; slots of 4 seconds release in order of time too."""
+    rng = np.random.default_rng(7)
+    rows = [(t, f, int(rng.integers(-1, 4))) for f in range(60) for t in range(3)]
+    df = spark.createDataFrame(rows, "traj_id long, frame long, state int").selectExpr("*", "timestamp_seconds(frame + 100) AS ts")
+    late(spark, df, tmp_path, 25)
+    kinds = {c: k for c, k in df.dtypes}
+
+    def step(last, now):
+        if now is None or now == -1:
+            return None
+        last.append(int(now))
+        return (last.pop(0), int(now)) if len(last) > 1 else None
+
+    def run(width):
+        source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/arrived{width}/*")
+        out = transitions._in_order(source, "traj_id", "state", "ts", "30 seconds", f"traj_id {kinds['traj_id']}, ts timestamp, i int, j int", "int", step, width)
+        query = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state{width}").option("path", f"{tmp_path}/out{width}").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    for width in (1, 4000):
+        for part in ((0, 1, 2), (3, 4, 5, 6)):
+            for k in part:
+                shutil.copytree(f"{tmp_path}/in/b{k}", f"{tmp_path}/arrived{width}/b{k}")
+            run(width)
+        pairs = spark.read.parquet(f"{tmp_path}/out{width}")
+        assert (linalg.gather(transitions.streaming_counts(pairs), 4) == linalg.gather(counts.assigns_to_counts(df, 1), 4)).all()
+
+
 def test_events_after_the_watermark_are_dropped(spark, tmp_path):
     df = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (0, 50, 2), (0, 51, 3)], "traj_id long, frame long, state int").selectExpr("*", "timestamp_seconds(frame + 100) AS ts")
     for k, f in enumerate(([50], [51], [0, 1], [900], [901])):
