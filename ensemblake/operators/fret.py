@@ -267,37 +267,56 @@ def isotropic_efficiency(donors: DataFrame, acceptors: DataFrame, j: float, qd:
     return found.crossJoin(F.broadcast(all_[0])).crossJoin(F.broadcast(all_[1])).select((F.col("fe") / (F.col("d_p") * F.col("a_p"))).alias("fe"))
 
 
+#: Steps of an excitation whose draws are made at a time.
+STEPS = 16
+
+
+def _drawn(cdf: np.ndarray, rows: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The state that each u falls to in its row of cumulated probabilities, by halving: as searchsorted from the right, but never past the last."""
+    low, high = np.zeros(len(u), np.int64), np.full(len(u), cdf.shape[1] - 1)
+    for _ in range(int(cdf.shape[1] - 1).bit_length()):
+        middle = (low + high) // 2
+        beyond = (cdf[rows, middle] <= u) & (low < high)
+        low, high = np.where(beyond, middle + 1, low), np.where(beyond, high, middle)
+    return low
+
+
 def resolve_excitations(samples: DataFrame, d_t: np.ndarray, a_t: np.ndarray, d_pi: np.ndarray, a_pi: np.ndarray, kret: np.ndarray, krad: float, knon: float, dt: float, seed: int = 0, most_steps: int = 1_000_000) -> DataFrame:
     """sample_id, lifetime, outcome of excitations (sample_id): both dyes move through their models until one of three decays.
 
-    kret: transfer rates by (donor state, acceptor state). A sample draws from its own seed.
+    kret: transfer rates by (donor state, acceptor state). A sample draws from its own seed: two numbers for where it starts, then one for its decay and two for its move a step.
+    The samples of a batch step together.
     """
     workers_can_import(samples.sparkSession)
     kind = dict(samples.dtypes)["sample_id"]
-    d_cdf, a_cdf = np.cumsum(d_t, axis=1), np.cumsum(a_t, axis=1)
-    names = np.array(["radiative", "non_radiative", "energy_transfer"])
+    cdfs = [np.cumsum(t, axis=1) for t in (d_t, a_t)]
+    starts = [c / c[-1] for c in (np.cumsum(pi / pi.sum()) for pi in (d_pi, a_pi))]
+    rates = np.stack(np.broadcast_arrays(float(krad), float(knon), kret), axis=-1)
+    p = 1 - np.exp(-rates * dt)
+    p /= np.maximum(p.sum(axis=-1, keepdims=True), 1)
+    decay, any_ = np.cumsum(p, axis=-1), p.sum(axis=-1)
+    names = np.array(["radiative", "non_radiative", "energy_transfer", "excited"])
 
     def run(batches):
         for batch in batches:
-            life, outcome = [], []
-            for s in batch["sample_id"]:
-                rng = np.random.default_rng([seed, int(s)])
-                d, a = int(rng.choice(len(d_pi), p=d_pi / d_pi.sum())), int(rng.choice(len(a_pi), p=a_pi / a_pi.sum()))
-                for step in range(1, most_steps + 1):
-                    p = 1 - np.exp(-np.array([krad, knon, kret[d, a]]) * dt)
-                    p = p / p.sum() if p.sum() > 1 else p
-                    u = rng.random()
-                    if u < p.sum():
-                        outcome.append(str(names[np.searchsorted(np.cumsum(p), u, "right")]))
-                        break
-                    d = int(min(np.searchsorted(d_cdf[d], rng.random(), "right"), len(d_pi) - 1))
-                    a = int(min(np.searchsorted(a_cdf[a], rng.random(), "right"), len(a_pi) - 1))
-                else:
-                    outcome.append("excited")
-                life.append(step * dt)
-            yield pd.DataFrame({"sample_id": batch["sample_id"], "lifetime": life, "outcome": outcome})
-
-    return samples.select("sample_id").mapInPandas(run, f"sample_id {kind}, lifetime double, outcome string")
+            ids = batch["sample_id"].to_numpy()
+            own = [np.random.default_rng([seed, int(s)]) for s in ids]
+            life, outcome = np.full(len(ids), most_steps * dt), np.full(len(ids), 3)
+            u = np.array([rng.random(2) for rng in own]).reshape(-1, 2)
+            d, a = (np.minimum(np.searchsorted(z, u[:, k], "right"), len(z) - 1) for k, z in enumerate(starts))
+            left, step = np.arange(len(ids)), 0
+            while len(left) and step < most_steps:
+                draws = np.array([own[k].random(3 * STEPS) for k in left]).reshape(len(left), STEPS, 3)
+                for at in range(min(STEPS, most_steps - step)):
+                    step += 1
+                    now = draws[:, at, 0] < any_[d, a]
+                    done = left[now]
+                    life[done], outcome[done] = step * dt, (decay[d[now], a[now]] <= draws[now, at, :1]).sum(axis=1)
+                    left, draws, d, a = left[~now], draws[~now], d[~now], a[~now]
+                    d, a = _drawn(cdfs[0], d, draws[:, at, 1]), _drawn(cdfs[1], a, draws[:, at, 2])
+            yield pd.DataFrame({"sample_id": batch["sample_id"], "lifetime": life, "outcome": names[outcome]})
+
+    return samples.select("sample_id").repartition("sample_id").mapInPandas(run, f"sample_id {kind}, lifetime double, outcome string")
 
 
 def photon_events(bursts: DataFrame, events: DataFrame, seed: int = 0) -> DataFrame:
