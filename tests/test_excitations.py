@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ensemblake.operators import fret as fr
+from ensemblake.plans import q_more
 
 
 def one_by_one(ids, d_t, a_t, d_pi, a_pi, kret, krad, knon, dt, seed, most_steps):
@@ -45,3 +46,11 @@ def test_a_hundred_thousand_samples_in_time(spark):
     own = fr.resolve_excitations(spark.range(0, 100_000, 1, 1).toDF("sample_id"), t, t, pi, pi, np.array([[0.5, 0.1], [0.1, 0.02]]), 0.22, 0.02, 0.1, 7)
     assert own.where("lifetime > 0").count() == 100_000
     assert time.time() - at < 40
+
+
+def test_query_over_every_event_in_time(spark, tmp_path):
+    spark.range(0, 60_000, 1, 1).selectExpr("id AS event_id").write.parquet(f"{tmp_path}/events.parquet")
+    at = time.time()
+    row = q_more.Q["every_excitation_decays"][0](spark, str(tmp_path)).first()
+    assert (row.n, row.positive, row.outcomes) == (60_000, True, 3)
+    assert time.time() - at < 25
