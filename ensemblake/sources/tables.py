@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,21 +15,39 @@ from .dcd import listed, load_dcd
 KEY = ["traj_id", "frame"]
 
 
+#: Folders of a saved table: how many parts its trajectories are dealt to, and which this is.
+PARTS, PART = "__parts", "__part"
+
+
+def _part(traj_id: Column, parts: Column) -> Column:
+    """A trajectory's part: as Spark deals rows to tasks, so each part is one task's file."""
+    return F.pmod(F.hash(traj_id), parts)
+
+
 def load(source: DataFrame | str, keys: list | None = None, stride: int = 1, spark: SparkSession | None = None) -> DataFrame:
-    """A ragged table or its folder: rows by key (pruned partitions, pushed filters) and every stride-th frame, under its own number."""
+    """A ragged table or its folder: rows by key (pruned parts, pushed filters) and every stride-th frame, under its own number."""
     if isinstance(source, DataFrame):
         df = source
     else:
         df = spark.read.parquet(source)
-        if dict(df.dtypes).get("traj_id") == "int":  # of folders' names Spark makes the smallest type
+        if keys is not None and {PARTS, PART} <= set(df.columns):
+            kind = df.schema["traj_id"].dataType
+            df = df.where(F.col(PART).isin([_part(F.lit(k).cast(kind), F.col(PARTS)) for k in keys]))
+        df = df.drop(PARTS, PART)
+        if dict(df.dtypes).get("traj_id") == "int":  # of folders' names, as other tables have them, Spark makes the smallest type
             df = df.withColumn("traj_id", F.col("traj_id").cast("long"))
     df = df if keys is None else df.where(F.col("traj_id").isin(list(keys)))
     return df if stride == 1 else df.where(F.col("frame") % stride == 0)
 
 
 def save(df: DataFrame, path: str, mode: str = "error") -> None:
-    """A folder with a part per trajectory, so that readers of some read no others."""
-    df.repartition("traj_id").sortWithinPartitions("traj_id", "frame").write.mode(mode).option("compression", "zstd").partitionBy("traj_id").parquet(path)
+    """A folder with a part for each hash of trajectories, in their order, so that readers of some skip most others.
+
+    There are as many parts as the session has shuffle partitions: files don't grow with the trajectories.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn(PARTS, F.lit(parts)).withColumn(PART, _part(F.col("traj_id"), F.lit(parts))).repartition(parts, "traj_id")
+    dealt.sortWithinPartitions(PARTS, PART, "traj_id", "frame").write.mode(mode).option("compression", "zstd").partitionBy(PARTS, PART).parquet(path)
 
 
 def save_flat(ragged: Ragged, path: str) -> None:

@@ -82,6 +82,26 @@ def test_files(spark, tmp_path):
     assert got == {(0, f): [4.0 * f, 4 * f + 1] for f in range(4)} | {(1, f): [100 + 4.0 * f, 101 + 4 * f] for f in range(2)}
 
 
+def test_saved_files_do_not_grow_with_trajectories(spark, tmp_path):
+    own = spark.range(3000).selectExpr("id % 500 AS traj_id", "id div 500 AS frame", "id AS value")
+    tables.save(own, f"{tmp_path}/r")
+    assert len(list((tmp_path / "r").rglob("*.parquet"))) <= 4
+    back = tables.load(f"{tmp_path}/r", spark=spark)
+    assert back.dtypes == own.dtypes and back.exceptAll(own).isEmpty() and back.count() == 3000
+    some = tables.load(f"{tmp_path}/r", keys=[3, 499, 1000], stride=2, spark=spark)
+    assert sorted((r.traj_id, r.frame, r.value) for r in some.collect()) == [(t, f, f * 500 + t) for t in (3, 499) for f in (0, 2, 4)]
+    one = tables.load(f"{tmp_path}/r", keys=[3], spark=spark)
+    assert one.count() == 6 and "__part#" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
+def test_saved_keys_keep_their_type(spark, tmp_path):
+    own = spark.createDataFrame([("007", 0, 1.0), ("7", 0, 2.0), (None, 0, 3.0)], "traj_id string, frame long, value double")
+    tables.save(own, f"{tmp_path}/r")
+    back = tables.load(f"{tmp_path}/r", spark=spark)
+    assert back.dtypes == own.dtypes and back.exceptAll(own).isEmpty() and back.count() == 3
+    assert [r.value for r in tables.load(f"{tmp_path}/r", keys=["007"], spark=spark).collect()] == [1.0]
+
+
 PDB = """MODEL        1
 ATOM      1  N   ALA A   1      11.104   6.134  -6.504  1.00  0.00           N
 ATOM      2  CA  ALA A   1      11.639   6.071  -5.147  1.00  0.00           C
