@@ -17,6 +17,12 @@ def r9(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 9) + F.lit(0.0)
 
 
+def r6(c: Column) -> Column:
+    """Six places, without negative zeros, by a product as the SQL's round takes them: its last digit differs from that of decimal rounding in large numbers. Others stay as they are."""
+    whole = c * 1e6
+    return F.when(F.abs(whole) < float("inf"), F.round(whole) / 1e6 + 0.0).otherwise(c)
+
+
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trajectory per user: traj_id, frame, state (event type), and the event's columns."""
     e = table(spark, sf_dir, "events")

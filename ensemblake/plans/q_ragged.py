@@ -115,9 +115,7 @@ for _name, (_f, _sql) in ARITH.items():
 
     def _run(s, d, f=_f, rounded=_round):
         out = f(values(s, d), states(s, d)).df
-        v = F.col("value").cast("double")
-        finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
-        return out.select("traj_id", "frame", F.when(finite, F.round(v, 6) + 0.0).otherwise(v).alias("v") if rounded else F.col("value").alias("v"))
+        return out.select("traj_id", "frame", (dm.r6(F.col("value").cast("double")) if rounded else F.col("value")).alias("v"))
 
     _col = f"CASE WHEN isfinite({_sql}) THEN round({_sql}, 6) + 0.0::DOUBLE ELSE {_sql} END" if _round else _sql
     q(f"ragged_arith_{_name}", f"WITH {EV} SELECT traj_id, frame, {_col} AS v FROM ev")(_run)
