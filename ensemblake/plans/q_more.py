@@ -51,8 +51,7 @@ REFLECTED = {
 for _name, (_f, _sql) in REFLECTED.items():
 
     def _run(s, d, f=_f):
-        v = F.col("value").cast("double")
-        return f(rg.Ragged(dm.ev(s, d), "value")).df.select("traj_id", "frame", F.when(F.abs(v) < float("inf"), F.round(v, 6) + 0.0).otherwise(v).alias("v"))
+        return f(rg.Ragged(dm.ev(s, d), "value")).df.select("traj_id", "frame", dm.r6(F.col("value").cast("double")).alias("v"))
 
     q(f"ragged_arith_{_name}", f"WITH {EV} SELECT traj_id, frame, CASE WHEN isfinite({_sql}) THEN round({_sql}, 6) + 0.0::DOUBLE ELSE {_sql} END AS v FROM ev")(_run)
 

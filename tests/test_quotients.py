@@ -8,7 +8,7 @@ import pytest
 from ensemblake.plans import q_more, q_ragged
 
 
-@pytest.mark.parametrize("name", ["div"])
+@pytest.mark.parametrize("name", ["div", "rdiv"])
 def test_quotients_round_as_their_sql(spark, tmp_path, name):
     rng = random.Random(6)
     kinds = ["click", "error", "purchase", "signup", "view"]
