@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fret, linalg
+from ..functions.draws import Draws
 from ..functions.geometry import cb_coords, placed, residue_frame
 from ..functions.metrics import filled_bins
 from ..plans.shared import sized, workers_can_import
@@ -267,16 +268,17 @@ def isotropic_efficiency(donors: DataFrame, acceptors: DataFrame, j: float, qd:
     return found.crossJoin(F.broadcast(all_[0])).crossJoin(F.broadcast(all_[1])).select((F.col("fe") / (F.col("d_p") * F.col("a_p"))).alias("fe"))
 
 
-#: Steps of an excitation whose draws are made at a time.
-STEPS = 16
+#: Samples that a task steps together, about: they are topped up from the next batch as others decay.
+TOGETHER = 1 << 14
 
 
 def _drawn(cdf: np.ndarray, rows: np.ndarray, u: np.ndarray) -> np.ndarray:
     """The state that each u falls to in its row of cumulated probabilities, by halving: as searchsorted from the right, but never past the last."""
-    low, high = np.zeros(len(u), np.int64), np.full(len(u), cdf.shape[1] - 1)
-    for _ in range(int(cdf.shape[1] - 1).bit_length()):
-        middle = (low + high) // 2
-        beyond = (cdf[rows, middle] <= u) & (low < high)
+    n, flat = cdf.shape[1], cdf.ravel()
+    first, low, high = rows * n, np.zeros(len(u), np.int64), np.full(len(u), n - 1)
+    for _ in range(int(n - 1).bit_length()):
+        middle = (low + high) >> 1
+        beyond = (flat.take(first + middle) <= u) & (low < high)
         low, high = np.where(beyond, middle + 1, low), np.where(beyond, high, middle)
     return low
 
@@ -285,7 +287,7 @@ def resolve_excitations(samples: DataFrame, d_t: np.ndarray, a_t: np.ndarray, d_
     """sample_id, lifetime, outcome of excitations (sample_id): both dyes move through their models until one of three decays.
 
     kret: transfer rates by (donor state, acceptor state). A sample draws from its own seed: two numbers for where it starts, then one for its decay and two for its move a step.
-    The samples of a batch step together.
+    The samples of a task step together, with the draws of each one's own generator; those that last go on beside the next batch's.
     """
     workers_can_import(samples.sparkSession)
     kind = dict(samples.dtypes)["sample_id"]
@@ -294,29 +296,44 @@ def resolve_excitations(samples: DataFrame, d_t: np.ndarray, a_t: np.ndarray, d_
     rates = np.stack(np.broadcast_arrays(float(krad), float(knon), kret), axis=-1)
     p = 1 - np.exp(-rates * dt)
     p /= np.maximum(p.sum(axis=-1, keepdims=True), 1)
-    decay, any_ = np.cumsum(p, axis=-1), p.sum(axis=-1)
-    names = np.array(["radiative", "non_radiative", "energy_transfer", "excited"])
+    decay, any_ = np.cumsum(p, axis=-1).reshape(-1, 3), p.sum(axis=-1).ravel()
+    names = pa.array(["radiative", "non_radiative", "energy_transfer", "excited"])
+
+    def begun(ids: np.ndarray) -> list:
+        """Samples as they start: id, generator, states of both dyes, steps so far."""
+        draws = Draws(seed, ids if ids.dtype.kind in "iu" else np.array([int(s) for s in ids], object))
+        d, a = (np.minimum(np.searchsorted(z, draws.random(), "right"), len(z) - 1) for z in starts)
+        return [ids, draws, d, a, np.zeros(len(ids), np.int64)]
+
+    def stepped(own: list, most: int, type_: pa.DataType) -> tuple[list, pa.RecordBatch]:
+        """What is left when no more than `most` samples last, and those that decayed."""
+        ids, draws, d, a, steps = own
+        ended = [(ids[:0], steps[:0], steps[:0])]
+        while len(ids) > most:
+            over = steps == most_steps
+            steps += ~over
+            u, at = draws.random(), d * rates.shape[1] + a
+            u[over] = 2
+            gone = over | (u < any_.take(at))
+            if gone.any():
+                ended.append((ids[gone], steps[gone], (decay[at[gone]] <= u[gone, None]).sum(axis=1)))
+                stay = np.flatnonzero(~gone)
+                ids, draws, d, a, steps = (x[stay] for x in (ids, draws, d, a, steps))
+            d, a = _drawn(cdfs[0], d, draws.random()), _drawn(cdfs[1], a, draws.random())
+        done, took, outcome = (np.concatenate(x) for x in zip(*ended, strict=True))
+        return [ids, draws, d, a, steps], pa.RecordBatch.from_arrays([pa.array(done, type_), pa.array(took * dt, pa.float64()), names.take(pa.array(outcome))], names=["sample_id", "lifetime", "outcome"])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
         for batch in batches:
-            ids = batch["sample_id"].to_numpy()
-            own = [np.random.default_rng([seed, int(s)]) for s in ids]
-            life, outcome = np.full(len(ids), most_steps * dt), np.full(len(ids), 3)
-            u = np.array([rng.random(2) for rng in own]).reshape(-1, 2)
-            d, a = (np.minimum(np.searchsorted(z, u[:, k], "right"), len(z) - 1) for k, z in enumerate(starts))
-            left, step = np.arange(len(ids)), 0
-            while len(left) and step < most_steps:
-                draws = np.array([own[k].random(3 * STEPS) for k in left]).reshape(len(left), STEPS, 3)
-                for at in range(min(STEPS, most_steps - step)):
-                    step += 1
-                    now = draws[:, at, 0] < any_[d, a]
-                    done = left[now]
-                    life[done], outcome[done] = step * dt, (decay[d[now], a[now]] <= draws[now, at, :1]).sum(axis=1)
-                    left, draws, d, a = left[~now], draws[~now], d[~now], a[~now]
-                    d, a = _drawn(cdfs[0], d, draws[:, at, 1]), _drawn(cdfs[1], a, draws[:, at, 2])
-            yield pd.DataFrame({"sample_id": batch["sample_id"], "lifetime": life, "outcome": names[outcome]})
-
-    return samples.select("sample_id").repartition("sample_id").mapInPandas(run, f"sample_id {kind}, lifetime double, outcome string")
+            new, type_ = begun(batch.column(0).to_numpy(zero_copy_only=False)), batch.schema.field(0).type
+            own = new if own is None else [x + y if isinstance(x, Draws) else np.concatenate([x, y]) for x, y in zip(own, new, strict=True)]
+            own, done = stepped(own, TOGETHER, type_)
+            yield done
+        if own is not None:
+            yield stepped(own, 0, type_)[1]
+
+    return samples.select("sample_id").repartition("sample_id").mapInArrow(run, f"sample_id {kind}, lifetime double, outcome string")
 
 
 def photon_events(bursts: DataFrame, events: DataFrame, seed: int = 0) -> DataFrame:
